@@ -5,19 +5,19 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute `df` once and cut its lineage through the shared checkpoint folder.
-
-    The folder is the cluster's `spark.checkpoint.dir`; only where none is set, as in
-    local tests, a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`; only where none is set, as in local tests, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute `df` once and cut its lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -28,7 +28,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, whatever other columns the input carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])

@@ -1,10 +1,56 @@
-"""The corpus pipeline: each stage calls one operator and hands its rows on through Parquet."""
+"""The corpus pipeline: quality filter, language filter, near-duplicate removal, packing.
+
+Every stage takes (spark, docs, sf_dir), calls one operator on all rows that its
+predecessor kept and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lexibridge.llm import langid, neardup, packing, quality
+from lexibridge.llm.common import shared_folder, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal quality model does not reject."""
+    return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are near to some learned language."""
+    return langid.filter_language(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.deduplicate(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("packing", pack_sequences),
+]
+
+#: The stages hold models and sketches, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each stage's rows lie as Parquet in the shared folder."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

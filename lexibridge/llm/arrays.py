@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters that one slice of a batch may hold (a longer text is a slice alone).
 SLICE_CHARS = 1_000_000
@@ -151,3 +152,23 @@ def weighted(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray,
         parts.append((row + start, ids, times))
     empty = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty, empty.astype(np.uint64), empty)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The groups of consecutive rows that agree in `keys` (numbers), each as one table."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        change = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        at = np.concatenate(([0], np.flatnonzero(change) + 1))
+        for start, stop in zip(at[:-1], at[1:], strict=True):
+            yield t.slice(start, stop - start)
+        rest = t.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest

@@ -9,12 +9,13 @@ two steps, so that a large group of copies costs rows in proportion to its membe
 1. In every bucket each member meets a leader; the leader is drawn by one of a few random
    orders of all documents, so that a member meets several. Verified links are contracted
    to components.
-2. What remains are pairs in one bucket but in different components. Such buckets are
-   dealt out in pairs of blocks; tasks compare the signatures in arrays and emit only the
-   pairs that may reach the threshold, which are verified like the others.
+2. What remains are pairs in one bucket but in different components. In small buckets they
+   are listed, estimated and verified like the others. Large buckets are chained to groups,
+   which are dealt out by weight level and in pairs of blocks of bounded text; tasks compare
+   the multisets exactly in arrays and emit only links that join components.
 
-No bucket is capped and no pair that shares a band is dropped unless its estimate lies
-more than four standard deviations below the threshold.
+No bucket is capped. No pair that shares a band is dropped unless its estimate lies more
+than four standard deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibridge.llm.arrays import mix64, slices, weighted
+from lexibridge.llm.arrays import grouped, mix64, slices, weighted
 from lexibridge.llm.bagminhash import signatures
 from lexibridge.llm.common import materialise
 from lexibridge.llm.components import components
 
 BANDS, ROWS = 32, 4
 LEADERS = 4
-BLOCK = 512
+#: Members up to which a bucket is compared pair by pair.
+SMALL = 16
+#: Characters of text in one block of a larger group.
+BLOCK_CHARS = 4_000_000
 
 
 def _sign(bands: int, rows: int, width: int):
@@ -59,6 +63,7 @@ def _sign(bands: int, rows: int, width: int):
                     {
                         "doc_id": batch.column("doc_id").slice(start, stop - start),
                         "text_key": batch.column("text_key").slice(start, stop - start),
+                        "weight": pa.array(np.bincount(row, weights=times, minlength=stop - start).astype(np.int64)),
                         "keys": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat),
                         "sign": pa.array([s.tobytes() if f else None for s, f in zip(short, some, strict=True)], pa.binary()),
                     }
@@ -91,58 +96,76 @@ def _verify(threshold: float, width: int):
     return run
 
 
-def _estimate(need: int):
-    """Pairs (a, b) of one (key, i, j) group and of different components that agree in `need` signature places.
+def _connect(threshold: float, width: int):
+    """Links that join components within one (cell, i, j) group of texts: enough of them to connect
+    what is connected, worked out exactly and without listing the pairs.
 
-    Rows arrive sorted by group; groups have at most two blocks of members.
+    Rows arrive sorted by group. A member of weight w meets those whose weight is near enough to
+    reach the threshold; one flag array over the group's shingles gives its overlap with all of them.
     """
 
-    def pairs(group: np.ndarray, part: np.ndarray, comp: np.ndarray, ids: np.ndarray, sign: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sizes = np.bincount(group)
-        at = np.arange(len(group))
-        for d in range(1, int(sizes.max(initial=1))):
-            at = at[sizes[group[at]] > d]
-            x = at[at + d < len(group)]
-            x = x[group[x] == group[x + d]]
-            # part: the member's own block where the group compares two blocks, else all members differ.
-            x = x[(comp[x] != comp[x + d]) & ((part[x] < 0) | (part[x] != part[x + d]))]
-            for s in range(0, len(x), 1 << 15):
-                y = x[s : s + (1 << 15)]
-                y = y[(sign[y] == sign[y + d]).sum(1) >= need]
-                yield ids[y], ids[y + d]
+    def links(t: pa.Table, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        ids, comp = t.column("id").to_pylist(), t.column("component").to_pylist()
+        block, upper = t.column("block").to_numpy(), t.column("upper").to_numpy(zero_copy_only=False)
+        row, shingle, times = weighted(t.column("text").to_pylist(), width)
+        # A shingle that occurs n times is n elements, so that the least of two counts is a plain overlap.
+        level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, element = np.repeat(row, times), mix64(np.repeat(shingle, times) + level.astype(np.uint64))
+        total = np.bincount(row, minlength=len(ids))
+        _, code, count = np.unique(element, return_inverse=True, return_counts=True)
+        shared = count[code] > 1
+        row, code = row[shared], code[shared]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids)))))
+        flags = np.zeros(len(count), bool)
+        root = {c: c for c in comp}
+        number = {c: n for n, c in enumerate(root)}
+        label = np.array([number[c] for c in comp])
+        for x in range(len(ids) - 1):
+            y = np.arange(x + 1, len(ids))
+            y = y[(label[y] != label[x]) & ~(upper[x] & upper[y]) & (np.minimum(total[x], total[y]) >= threshold * np.maximum(total[x], total[y]) - 1e-9)]
+            y = y[(block[y] != block[x]) | own[y]]
+            y = y[ends[y + 1] > ends[y]]
+            if not len(y):
+                continue
+            flags[code[ends[x] : ends[x + 1]]] = True
+            sizes = ends[y + 1] - ends[y]
+            starts = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) - np.repeat(starts - ends[y], sizes)
+            both = np.add.reduceat(flags[code[at]].astype(np.int64), starts)
+            flags[code[ends[x] : ends[x + 1]]] = False
+            for z in y[both >= threshold * (total[x] + total[y] - both) - 1e-9]:
+                if label[z] != label[x]:
+                    label[label == label[z]] = label[x]
+                    yield ids[x], ids[z]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not t.num_rows:
-                return
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            new = np.ones(t.num_rows, bool)
-            new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-            own = t.column("block").to_numpy()
-            part = np.where(key[1] == key[2], -1, own)
-            sign = np.frombuffer(b"".join(t.column("sign").to_pylist()), "<u2").reshape(t.num_rows, -1)
-            for a, b in pairs(np.cumsum(new) - 1, part, t.column("component").to_numpy(), t.column("id").to_numpy(), sign):
-                if len(a):
-                    yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            if not t.num_rows:
-                continue
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            last = np.flatnonzero((key != key[:, -1:]).any(0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            yield from work(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None:
-            yield from work(rest)
+        for t in grouped(batches, ("cell", "i", "j")):
+            found = list(links(t, (t.column("i").to_numpy() == t.column("j").to_numpy())))
+            if found:
+                yield pa.record_batch({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
     return run
 
 
+def _cells(members: DataFrame, threshold: float) -> DataFrame:
+    """Deal (group, id, component, weight, text) out into pairs of blocks of bounded text.
+
+    A cell holds the members of one weight level of one group, and those of the level above it:
+    weights in a ratio of at least `threshold` are never further apart.
+    """
+    level = F.floor(F.log(F.col("weight").cast("double")) / F.lit(math.log(1 / threshold)) + 1e-9)
+    placed = members.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cell", F.xxhash64("group", level - F.col("upper").cast("int")))
+    sizes = placed.groupBy("cell").agg(F.sum(F.length("text")).alias("chars"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").withColumn("blocks", F.ceil(F.col("chars") / BLOCK_CHARS).cast("int")).select("cell", "blocks")
+    return (
+        placed.join(sizes, "cell")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "upper", "id", "component", "text")
+        .repartition("cell", "i", "j")
+        .sortWithinPartitions("cell", "i", "j", "id")
+    )
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document id: (doc_id, class_id, n_links, kept).
 
@@ -159,11 +182,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     # A null text has a key of its own; equal texts share a 256-bit one.
     keyed = base.select("doc_id", F.coalesce(F.unhex(F.sha2("text", 256)), F.encode(F.concat(F.lit("null "), F.col("doc_id").cast("string")), "utf-8")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = materialise(keyed.mapInArrow(_sign(bands, rows, width), "doc_id long, text_key binary, keys array<long>, sign binary"))
+    signed = materialise(keyed.mapInArrow(_sign(bands, rows, width), "doc_id long, text_key binary, weight long, keys array<long>, sign binary"))
     least = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"))
     # One row per class of equal texts; the join may be split where one text has very many copies.
-    owner = signed.join(least, "text_key").select("doc_id", "id", "keys", "sign")
-    classes = materialise(owner.where((F.col("doc_id") == F.col("id")) & F.col("sign").isNotNull()).dropDuplicates(["id"]).select("id", "keys", "sign"))
+    owner = signed.join(least, "text_key").select("doc_id", "id", "weight", "keys", "sign")
+    classes = materialise(owner.where((F.col("doc_id") == F.col("id")) & F.col("sign").isNotNull()).dropDuplicates(["id"]).select("id", "weight", "keys", "sign"))
 
     places = classes.select("id", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("id", (F.col("band") % LEADERS)))
     buckets = places.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "order").alias("leader")).where("n > 1")
@@ -177,22 +200,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     first = materialise(_verified(near, texts, threshold, width))
     found = components(first)
 
-    placed = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = materialise(members.join(found, "id", "left").select("key", "id", "n", "leader", F.coalesce("component", "id").alias("component")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        placed.join(mixed, "key", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-        .join(signs, "id")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-        .select("key", "i", "j", "block", "id", "component", "sign")
-    )
-    rest = dealt.mapInArrow(_estimate(need), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    second = _verified(rest, texts, threshold, width)
-    links = materialise(first.unionByName(second))
+    open_places = placed.join(mixed, "key", "left_semi")
+    small = open_places.where(F.col("n") <= SMALL).select("key", "id", "component")
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    second = _verified(_alike(pairs.join(stars, ["a", "b"], "left_anti"), signs, need), texts, threshold, width)
+    # Large buckets of several bands mostly hold the same texts: what they chain together is compared once.
+    large = materialise(open_places.where(F.col("n") > SMALL).select("id", "leader", "component"))
+    group = components(large.select("id", F.col("leader").alias("to")), "id", "to")
+    dealt = _cells(large.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id").join(classes.select("id", "weight"), "id").join(texts, "id"), threshold)
+    third = dealt.mapInArrow(_connect(threshold, width), "a long, b long")
+    links = materialise(first.unionByName(second).unionByName(third).distinct())
     groups = components(links)
     degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     result = owner.select("doc_id", "id").distinct().join(groups.join(degree, "id"), "id", "left")

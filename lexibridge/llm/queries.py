@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibridge.llm import bytebpe, embdedup, fingerprint, langid, neardup, packing, quality, sharding, tokencount
+from lexibridge.llm import bytebpe, embdedup, fingerprint, htmltext, langid, neardup, packing, quality, sharding, tokencount
 from lexibridge.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0, 2048)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -1,0 +1,98 @@
+"""Quality queries: each rule over all bilingual segments, with the same rule in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexibridge.operators import quality_rules as Q
+from lexibridge.plans import views as V
+from lexibridge.plans.registry import QUERIES, SQL, query
+
+_COUNT = r"len(regexp_extract_all({}, '[A-Za-z0-9]+|[一-鿿]'))"
+_S, _T = _COUNT.format("source_text"), _COUNT.format("target_text")
+_END = "CASE right(rtrim({}), 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.ENDINGS.items()) + " END"
+_E, _F = _END.format("source_text"), _END.format("target_text")
+
+
+def _all(pattern: str) -> str:
+    """Number of matches in the target."""
+    return f"len(regexp_extract_all(target_text, '{pattern}'))"
+
+
+def _bag(pattern: str) -> str:
+    """Number of tokens by which the bags of both sides differ."""
+    p = pattern[1:-1].replace("'", "''")
+    s, t = f"regexp_extract_all(source_text, '{p}')", f"regexp_extract_all(target_text, '{p}')"
+    one = lambda a, b: f"coalesce(list_sum(list_transform(list_distinct({a}), lambda x: greatest(0, len(list_filter({a}, lambda y: y = x)) - len(list_filter({b}, lambda y: y = x))))), 0)"
+    return f"{one(s, t)} + {one(t, s)}"
+
+
+_LETTER = "regexp_extract({}, '[A-Za-z]')"
+_A, _B = _LETTER.format("source_text"), _LETTER.format("target_text")
+
+# Findings of each rule in a row, as a number.
+RULES_SQL = {
+    "target_without_tag": "CAST(regexp_matches(source_text, '<[a-zA-Z/][^>]*>') AND NOT regexp_matches(target_text, '<[a-zA-Z/][^>]*>') AS INTEGER)",
+    "target_tag_missing": " + ".join(rf"CAST(len(regexp_extract_all(lower(source_text), '<{t}\b[^>]*>')) > len(regexp_extract_all(lower(target_text), '<{t}\b[^>]*>')) AS INTEGER)" for t in Q.FORMAT_TAGS),
+    "ending_punctuation_mismatch": f"CAST({_E} IS NOT NULL AND {_E} IS DISTINCT FROM {_F} AS INTEGER)",
+    "extra_space_after_punctuation": _all("[,;:!?.] {2,}|[，。；：！？、] +"),
+    "missing_space_after_punctuation": _all("[,;:!?][A-Za-z]"),
+    "space_before_punctuation": _all(" +[,;:!?.]"),
+    "multiple_spaces": _all(" {2,}"),
+    "trailing_space": "CAST(regexp_matches(target_text, '[ \\t\\x{A0}\\x{202F}]$') AS INTEGER)",
+    "initial_case_mismatch": f"CAST({_A} <> '' AND {_B} <> '' AND ({_A} = upper({_A})) <> ({_B} = upper({_B})) AS INTEGER)",
+    "source_target_identical": "CAST(trim(source_text) = trim(target_text) AND regexp_matches(target_text, '[A-Za-z]') AS INTEGER)",
+    "word_count_exceeds": f"CAST({_S} > 0 AND {_T} > 0 AND {_T} > {_S} * 1.5 AS INTEGER)",
+    "word_count_below": f"CAST({_S} > 0 AND {_T} > 0 AND {_T} < {_S} * 0.5 AS INTEGER)",
+    "word_count_gap": f"CAST({_S} > 0 AND {_T} > 0 AND abs({_T} - {_S}) * 100 > {_S} * 50 AS INTEGER)",
+    "multiple_upper_initials": "len(list_distinct(list_filter(regexp_extract_all(target_text, '[A-Za-z]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]+[A-Z]') AND NOT list_contains(regexp_extract_all(source_text, '[A-Za-z]+'), x))))",
+    "same_word_case_mismatch": "len(list_distinct(list_filter(regexp_extract_all(target_text, '[A-Za-z]+'), lambda x: list_contains(regexp_extract_all(lower(source_text), '[a-z]+'), lower(x)) AND NOT list_contains(regexp_extract_all(source_text, '[A-Za-z]+'), x))))",
+    "number_mismatch": _bag(Q.NUMBER),
+    "parameter_mismatch": _bag(Q.PARAMETER),
+    "email_mismatch": _bag(Q.EMAIL),
+    "link_mismatch": _bag(Q.LINK),
+    "symbol_mismatch": _bag(Q.SYMBOL),
+}
+
+
+def _register(rule: str) -> None:
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return V.bilingual(spark, sf_dir).select("conv_id", "turn", F.size(Q.rules()[rule]).cast("long").alias("issues")).where("issues > 0")
+
+    QUERIES[f"qa_{rule}"] = found
+    if rule in RULES_SQL:
+        SQL[f"qa_{rule}"] = f"WITH {V.BILINGUAL_SQL}, n AS (SELECT conv_id, turn, CAST({RULES_SQL[rule]} AS BIGINT) AS issues FROM bilingual) SELECT * FROM n WHERE issues > 0"
+
+
+#: Rules that compare with a back-reference have no form in the oracle's expressions.
+for _rule in (*RULES_SQL, "repeated_punctuation", "consecutive_duplicate_words"):
+    _register(_rule)
+
+
+@query()
+def qa_unpaired_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.issues(V.bilingual(spark, sf_dir), ["unpaired_marks"])
+
+
+@query()
+def qa_tag_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbalanced format tags of whole pages."""
+    pages = V.table(spark, sf_dir, "pages").select("page_id", F.lit("").alias("source_text"), F.col("html").alias("target_text"))
+    return Q.issues(pages, ["unbalanced_tags"])
+
+
+@query()
+def qa_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules in one scan, counted by rule."""
+    return Q.issues(V.bilingual(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("issues"), F.countDistinct("conv_id").alias("conversations"))
+
+
+_VARIANTS = """SELECT role, lower(trim(left(text, 6))) AS source_key, count(DISTINCT trim(text)) AS targets, count(*) AS segments FROM conversations WHERE lower(trim(left(text, 6))) <> '' AND trim(text) <> '' GROUP BY 1, 2 HAVING count(DISTINCT trim(text)) > 1"""
+
+
+@query(_VARIANTS)
+def context_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that begin alike and go on differently."""
+    turns = V.table(spark, sf_dir, "conversations").select("role", F.left("text", F.lit(6)).alias("source_text"), F.col("text").alias("target_text"))
+    return Q.context_variants(turns, "role")

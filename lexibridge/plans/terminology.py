@@ -1,0 +1,58 @@
+"""Terminology queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexibridge.operators import terms as T
+from lexibridge.plans import views as V
+from lexibridge.plans.registry import query
+
+# Terms: the first two words of every benchmark item, and the capital runs of documents.
+_TERMS_SQL = "terms AS (SELECT item_id AS term_id, regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') AS term FROM benchmark)"
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("term")).where("term <> ''")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+
+
+@query(rf"""WITH {_TERMS_SQL}, w AS (SELECT doc_id AS text_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM documents),
+p AS (SELECT text_id, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT *, unnest(generate_series(1, len(words) - 1)) AS i FROM w))
+SELECT text_id, term_id, count(*) AS hits FROM p JOIN terms ON lower(term) = pair WHERE term <> '' GROUP BY 1, 2""")
+def term_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.term_matches(_texts(spark, sf_dir), _terms(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id AS text_id, CAST(len(regexp_extract_all(text, '\bTHE\b')) AS BIGINT) AS hits, 1::BIGINT AS term_id FROM documents WHERE regexp_matches(text, '\bTHE\b') AND text NOT LIKE '%\_%' ESCAPE '\'""")
+def term_acronym_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An all-capital term meets capitals only."""
+    one = spark.range(1).select((F.col("id") + 1).alias("term_id"), F.lit("THE").alias("term"))
+    texts = _texts(spark, sf_dir).where(~F.col("text").contains("_"))
+    return T.term_matches(texts, one)
+
+
+@query()
+def glossary_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.glossary_matches(_texts(spark, sf_dir), _terms(spark, sf_dir))
+
+
+@query("""SELECT lower(trim(left(text, 10))) AS source_key, count(DISTINCT lang) AS targets, count(*) AS entries FROM documents WHERE len(string_split_regex(trim(left(text, 10)), '\\s+')) <= 5 GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
+def term_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = V.table(spark, sf_dir, "documents").select(F.left("text", F.lit(10)).alias("source_text"), F.col("lang").alias("target_text"))
+    return T.conflicts(entries)
+
+
+@query(r"""SELECT abbr, count(*) AS n, count(DISTINCT text_id) AS texts FROM (SELECT doc_id AS text_id, unnest(list_filter(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,6}'))) AS abbr FROM documents) WHERE abbr NOT IN ('THE', 'AND', 'FOR', 'ARE', 'BUT', 'NOT', 'YOU', 'ALL') GROUP BY 1""")
+def abbreviation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.abbreviations(_texts(spark, sf_dir))
+
+
+@query(r"""SELECT source, count(*) AS texts, count(*) FILTER (WHERE regexp_matches(text, '[0-9],[0-9]{3}')) AS comma_thousands, count(*) FILTER (WHERE regexp_matches(text, '[0-9]\.[0-9]')) AS decimal_point, count(*) FILTER (WHERE regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS iso_date,
+count(*) FILTER (WHERE regexp_matches(text, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}')) AS slash_date, count(*) FILTER (WHERE regexp_matches(text, '\$ ?[0-9]')) AS dollar, count(*) FILTER (WHERE regexp_matches(text, '€ ?[0-9]|[0-9] ?€')) AS euro FROM documents GROUP BY source""")
+def format_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.format_profile(V.table(spark, sf_dir, "documents").select("source", "text"), "source")

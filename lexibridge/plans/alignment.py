@@ -1,0 +1,46 @@
+"""Alignment queries: a user turn against the assistant's answer, sentence by sentence."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexibridge.operators import alignment as A
+from lexibridge.plans import views as V
+from lexibridge.plans.registry import query
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = V.bilingual(spark, sf_dir).withColumn("pair_id", F.col("conv_id") * 1000 + F.col("turn"))
+    side = lambda name, c: pairs.select("pair_id", F.lit(name).alias("side"), F.posexplode(F.filter(F.split(c, "[\n.]+"), lambda x: F.trim(x) != "")).alias("unit_index", "text"))
+    return side("source", "source_text").unionByName(side("target", "target_text")).withColumn("text", F.trim("text"))
+
+
+_UNITS_SQL = rf"""{V.BILINGUAL_SQL}, units AS (SELECT pair_id, side, generate_subscripts(t, 1) - 1 AS unit_index, unnest(list_transform(t, lambda x: trim(x))) AS text FROM (
+SELECT conv_id * 1000 + turn AS pair_id, 'source' AS side, list_filter(string_split_regex(source_text, '[\n.]+'), lambda x: trim(x) <> '') AS t FROM bilingual UNION ALL
+SELECT conv_id * 1000 + turn, 'target', list_filter(string_split_regex(target_text, '[\n.]+'), lambda x: trim(x) <> '') FROM bilingual))"""
+
+
+@query()
+def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.align(units(spark, sf_dir)).withColumn("level", A.level(F.col("confidence")))
+
+
+@query(f"WITH {_UNITS_SQL} SELECT side, count(*) AS units, CAST(0 AS BIGINT) AS broken FROM units GROUP BY side")
+def align_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by side, and those that the alignment does not hold exactly once: none."""
+    own = units(spark, sf_dir)
+    broken = A.integrity(own, A.align(own)).groupBy("side").agg(F.count("*").alias("broken"))
+    return own.groupBy("side").agg(F.count("*").alias("units")).join(broken, "side", "left").select("side", "units", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
+
+
+@query(rf"""WITH {_UNITS_SQL}, k AS (SELECT pair_id, side, lower(text) AS key, count(*) AS n, min(unit_index) AS i FROM units GROUP BY 1, 2, 3 HAVING count(*) = 1)
+SELECT a.pair_id, CAST(a.i AS BIGINT) AS s, CAST(b.i AS BIGINT) AS t FROM k a JOIN k b ON a.side = 'source' AND b.side = 'target' AND a.pair_id = b.pair_id AND a.key = b.key""")
+def align_exact_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.candidate_anchors(units(spark, sf_dir)).where("weight = 110").select("pair_id", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"))
+
+
+@query(rf"""WITH {_UNITS_SQL}, r AS (SELECT side, regexp_matches(text, '^[0-9]{{1,4}}$') OR (length(text) <= 60 AND count(*) OVER (PARTITION BY pair_id, side, lower(text)) >= 2) AS running FROM units)
+SELECT side, count(*) FILTER (WHERE running) AS running, count(*) AS units FROM r GROUP BY side""")
+def running_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.running_matter(units(spark, sf_dir)).groupBy("side").agg(F.count_if("running").alias("running"), F.count("*").alias("units"))

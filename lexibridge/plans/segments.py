@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexibridge.functions import text as T
 from lexibridge.plans import views as V
 from lexibridge.plans.registry import query
+from lexibridge.sources.documents import html_blocks
 
 
 @query(f"WITH {V.SEGMENTS_SQL} SELECT file_id, seg_idx, {V.normalize_sql('source_text')} AS normalized, {V.match_sql('source_text')} AS match_text FROM segments")
@@ -120,3 +121,10 @@ def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS lines_text FROM documents")
 def normalized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", T.normalize_lines("text").alias("lines_text"))
+
+
+@query()
+def html_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of every page with the tags above them."""
+    pages = V.table(spark, sf_dir, "pages").select("page_id", F.posexplode(html_blocks("html")).alias("unit", "u"))
+    return pages.select("page_id", "unit", F.col("u.key").alias("key"), F.col("u.text").alias("text"))

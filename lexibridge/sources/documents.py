@@ -1,0 +1,159 @@
+"""Readers of text formats into units: (path, unit, key, text), in document order.
+
+Line formats are split and matched with built-in functions; only recursive ones (JSON)
+and mark-up run a small parser on Arrow batches.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+UNITS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+
+
+def _exploded(rows: DataFrame, units: Column) -> DataFrame:
+    return rows.select("path", F.posexplode(units).alias("unit", "u")).select("path", "unit", F.col("u.key").alias("key"), F.col("u.text").alias("text"))
+
+
+def _unit(key: Column | None, text: Column) -> Column:
+    return F.struct((F.lit(None).cast("string") if key is None else key).alias("key"), text.alias("text"))
+
+
+def paragraphs(value: Column) -> Column:
+    return F.transform(F.filter(F.split(value, r"\n\s*\n"), lambda p: F.trim(p) != ""), lambda p: _unit(None, F.trim(p)))
+
+
+def subtitle_cues(value: Column) -> Column:
+    """Cues between empty lines: number, time range, text."""
+    cue = r"(?s)^\s*(\d+)\s*\n([^\n]*-->[^\n]*)\n(.*)$"
+    return F.transform(F.filter(F.split(value, r"\n\s*\n"), lambda c: c.rlike(cue)), lambda c: _unit(F.regexp_extract(c, cue, 2), F.trim(F.regexp_extract(c, cue, 3))))
+
+
+def properties(value: Column) -> Column:
+    """key=value or key: value, with lines that end in a backslash continued; # and ! begin comments."""
+    lines = F.split(F.regexp_replace(value, r"\\\n[ \t]*", ""), "\n")
+    line = r"^\s*([^#!\s=:][^=:]*?)\s*[=:]\s*(.*)$"
+    return F.transform(F.filter(lines, lambda x: x.rlike(line)), lambda x: _unit(F.regexp_extract(x, line, 1), F.regexp_extract(x, line, 2)))
+
+
+def quoted_pairs(value: Column) -> Column:
+    """"key" = "text"; entries."""
+    pair = r'"((?:[^"\\]|\\.)*)"\s*=\s*"((?:[^"\\]|\\.)*)"\s*;'
+    return F.zip_with(F.regexp_extract_all(value, F.lit(pair), 1), F.regexp_extract_all(value, F.lit(pair), 2), lambda k, v: _unit(k, v))
+
+
+def array_literals(value: Column) -> Column:
+    """'key' => 'text' entries of array literals."""
+    pair = r"""['"]([^'"]+)['"]\s*=>\s*['"]((?:[^'"\\]|\\.)*)['"]"""
+    return F.zip_with(F.regexp_extract_all(value, F.lit(pair), 1), F.regexp_extract_all(value, F.lit(pair), 2), lambda k, v: _unit(k, v))
+
+
+def catalogue_entries(value: Column) -> Column:
+    """msgid and msgstr of message catalogues; strings over several lines are joined. key: msgid, text: msgstr."""
+    joined = F.regexp_replace(value, '"\\s*\n\\s*"', "")
+    entry = r'(?s)msgid\s+"((?:[^"\\]|\\.)*)"\s*\nmsgstr\s+"((?:[^"\\]|\\.)*)"'
+    pairs = F.zip_with(F.regexp_extract_all(joined, F.lit(entry), 1), F.regexp_extract_all(joined, F.lit(entry), 2), lambda k, v: _unit(k, v))
+    return F.filter(pairs, lambda u: u["key"] != "")
+
+
+def markdown_blocks(value: Column) -> Column:
+    """Blocks without their marks; fenced code is left out. key: the mark."""
+    prose = F.regexp_replace(value, r"(?ms)^```.*?^```\s*$", "")
+    mark = r"^\s{0,3}(#{1,6}|>|[-*+]|\d+\.)\s+"
+    lines = F.filter(F.split(F.regexp_replace(prose, r"(?m)^(\s{0,3}#{1,6}\s[^\n]*)$", "$1\n"), r"\n(?=\s{0,3}(?:#{1,6}|>|[-*+]|\d+\.)\s)|\n\s*\n"), lambda x: F.trim(x) != "")
+    return F.transform(lines, lambda x: _unit(F.regexp_extract(x, mark, 1), F.trim(F.regexp_replace(x, mark, ""))))
+
+
+@F.pandas_udf(UNITS)
+def json_leaves(values: pd.Series) -> pd.Series:
+    """String leaves with their paths."""
+
+    def walk(node: object, path: str) -> list[dict]:
+        if isinstance(node, str):
+            return [{"key": path, "text": node}] if node.strip() else []
+        items = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
+        return [leaf for k, v in items for leaf in walk(v, f"{path}.{k}" if path else str(k))]
+
+    def parse(value: str) -> list[dict]:
+        try:
+            return walk(json.loads(value), "")
+        except ValueError:
+            return []
+
+    return pd.Series([parse(v) for v in values], dtype="object")
+
+
+class _Blocks(HTMLParser):
+    INLINE = frozenset("a abbr b bdi bdo cite code em i kbd mark q s small span strong sub sup time u var".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.parts: list[str] = []
+        self.path: list[str] = []
+        self.skip = 0
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.found.append({"key": "/".join(self.path[-3:]), "text": text})
+        self.parts.clear()
+
+    def handle_starttag(self, tag: str, attrs: object) -> None:
+        self.skip += tag in ("script", "style")
+        if tag not in self.INLINE and tag not in ("br", "img", "input", "meta", "link", "hr"):
+            self.flush()
+            self.path.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        self.skip -= tag in ("script", "style") and self.skip > 0
+        if tag in self.path:
+            self.flush()
+            del self.path[len(self.path) - 1 - self.path[::-1].index(tag) :]
+
+    def handle_data(self, data: str) -> None:
+        if not self.skip:
+            self.parts.append(data)
+
+
+@F.pandas_udf(UNITS)
+def html_blocks(values: pd.Series) -> pd.Series:
+    """Blocks of text with the tags above them; scripts and styles are left out."""
+
+    def parse(value: str | None) -> list[dict]:
+        parser = _Blocks()
+        parser.feed(value or "")
+        parser.close()
+        parser.flush()
+        return parser.found
+
+    return pd.Series([parse(v) for v in values], dtype="object")
+
+
+#: Unit column of each file ending.
+FORMATS: dict[str, Callable[[Column], Column]] = {"txt": paragraphs, "srt": subtitle_cues, "properties": properties, "strings": quoted_pairs, "php": array_literals, "po": catalogue_entries, "pot": catalogue_entries, "md": markdown_blocks, "json": json_leaves, "html": html_blocks, "htm": html_blocks}
+
+
+def read_units(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Units of the files at `path`, read as `kind` (a key of FORMATS)."""
+    return _exploded(_whole(spark, path), FORMATS[kind](F.col("value")))
+
+
+def write_back(units: DataFrame, translations: DataFrame, template: Column) -> DataFrame:
+    """(path, value): each file's units in order with their translations, by a line template over key and text."""
+    joined = units.join(translations.select("path", "unit", F.col("text").alias("translated")), ["path", "unit"], "left")
+    lines = joined.select("path", "unit", F.col("key"), F.coalesce("translated", "text").alias("text")).select("path", F.struct("unit", template.alias("line")).alias("l"))
+    # A file's lines come together: no more than one file's text is in one place.
+    return lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("value"))

@@ -17,13 +17,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import LETTER, NUMBER, OTHER, SPACE, code_points, slices
 
 #: Pre-tokens whose ids a worker keeps.
-CACHE_SLICES = 600_000
+CACHE_SLICES = 400_000
 #: Endings that an apostrophe at the start of a pre-token takes along.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -151,20 +152,25 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, offsets): little-endian unsigned 32-bit ids of every whole text, and the byte
-    offsets of its tokens and its end in the same form. A null text counts as empty: no ids.
-    Reads doc_id and text alone; repeated rows give repeated rows."""
+    """(doc_id, ids, offsets, decoded): little-endian unsigned 32-bit ids of every whole text, the
+    byte offsets of its tokens and its end in the same form, and the bytes that the ids decode to.
+
+    A null text counts as empty: no ids. Reads doc_id and text alone; repeated rows give repeated rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, stop in slices([len(t) for t in texts]):
-                ids = encoder.encode(texts[start:stop])
-                offsets = [encoder.token_offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(start, stop - start), "ids": pa.array(ids, pa.binary()), "offsets": pa.array(offsets, pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, offsets binary")
+            names, column = batch.column("doc_id"), batch.column("text")
+            # Slices are turned into strings one at a time: a batch may hold far more text.
+            for start, stop in slices(pc.binary_length(column).to_pylist()):
+                ids = encoder.encode(column.slice(start, stop - start).to_pylist())
+                arrays = [np.frombuffer(x, "<u4") for x in ids]
+                offsets = [encoder.token_offsets(x) for x in arrays]
+                decoded = [encoder.decode(i, o) for i, o in zip(arrays, offsets, strict=True)]
+                yield pa.record_batch({"doc_id": names.slice(start, stop - start), "ids": pa.array(ids, pa.binary()), "offsets": pa.array([o.astype("<u4").tobytes() for o in offsets], pa.binary()), "decoded": pa.array(decoded, pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, offsets binary, decoded binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
+
+def bounded_sample(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About `n` of the rows, at most 2n, or all if there are fewer: those whose hashed keys are low.
+
+    Which rows are taken depends on their keys alone. One count of the rows sets the bar; no
+    task or driver ever holds more than the sample.
+    """
+    total = rows.count()
+    if total <= n:
+        return rows
+    bar = int(n / total * 2**63) - 1
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*keys), 1) <= bar).limit(2 * n)

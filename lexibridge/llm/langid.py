@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import code_points, slices, word_table
+from lexibridge.llm.common import bounded_sample
 
 DIMENSIONS = 4096
 CENTROIDS = 4
@@ -99,9 +100,10 @@ def fit(texts: list[str], languages: list[str], centroids: int = CENTROIDS, roun
 
 
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` documents for which `learn` holds: those of least hashed id."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"), "text", "lang").orderBy("h", "d", "lang", "text").limit(sample).select("text", "lang").collect()
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    """Fit on about `sample` documents for which `learn` holds, chosen by their hashed ids."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    got = sorted(tuple(r) for r in bounded_sample(rows, sample, "doc_id").select("lang", "text").collect())
+    return fit([r[1] for r in got], [r[0] for r in got])
 
 
 def held_out(doc_id: Column) -> Column:

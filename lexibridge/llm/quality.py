@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import code_points, mix64, slices, span_hashes, word_spans
+from lexibridge.llm.common import bounded_sample
 
 #: Dimensions of the two hashed families and number of plain measures.
 SHAPES, WORDS, PLAIN = 2048, 2048, 6
@@ -129,9 +130,9 @@ GRADES = 3
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn: Column | None = None) -> Model:
-    """Fit on at most `sample` rated documents: those of least hashed id. learn: a condition on doc_id."""
+    """Fit on about `sample` rated documents, chosen by their hashed ids. learn: a condition on doc_id."""
     rated = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (F.lit(True) if learn is None else learn)).select(F.col("doc_id").cast("long").alias("doc_id"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    chosen = bounded_sample(rated, sample, "doc_id")
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn: Colum
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(start, stop - start), "grade": batch.column("grade").slice(start, stop - start), "x": pa.array([_sparse(v) for v in x], pa.binary())})
 
     # The chosen ratings are bounded by `sample`, and so is what comes back.
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, grade int, x binary").orderBy("doc_id", "grade", "x").limit(2 * sample).collect()
+    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, grade int, x binary").limit(4 * sample).collect()
+    got.sort()
     x = np.zeros((len(got), SHAPES + WORDS + PLAIN), np.float32)
     for i, (_, _, v) in enumerate(got):
         at, value = np.frombuffer(v, "<u2", len(v) // 6), np.frombuffer(v, "<f4", offset=len(v) // 3) if len(v) else np.zeros(0)

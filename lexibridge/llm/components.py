@@ -1,12 +1,43 @@
-"""Connected components by alternating large-star and small-star steps, on DataFrames."""
+"""Connected components on DataFrames: contraction within partitions, stars between them.
+
+Every partition of the edge list is contracted by union-find to a star forest, which no
+component needs more than one edge per node for. Where that leaves several partitions,
+alternating large-star and small-star steps join the forests; each step is contracted again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.common import materialise
 
+#: Edges that one task contracts.
+PARTITION_EDGES = 200_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of a partition's edges, each with the least node that it is connected to there."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = root.setdefault(x, x)
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    nodes = [x for x in root if root[x] != x]
+    yield pa.record_batch({"a": pa.array(nodes, pa.int64()), "b": pa.array([find(x) for x in nodes], pa.int64())})
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours on the least node of each neighbourhood.
@@ -20,18 +51,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", partition_edges: int = PARTITION_EDGES) -> DataFrame:
     """(id, component) of every node of an undirected edge list; component: its least node.
 
-    Self-loops and repeated edges are allowed; no edges give no rows. A hub's edges are
-    pre-aggregated before each exchange and its join may be split by adaptive execution.
+    Self-loops and repeated edges are allowed; a null end makes no edge; no edges give no rows.
+    A hub's edges are pre-aggregated before each exchange and its join may be split by adaptive
+    execution. partition_edges: how many edges a task contracts; it does not change the result.
     """
-    now = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     seen = None
     while True:
+        now = materialise(now.mapInArrow(_contract, "a long, b long"))
         # The pair (edges, sum of ends) stands still only once every node hangs on its component's least node.
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
+        parts = max(1, -(-state[0] // partition_edges))
+        if parts == 1:
+            now = materialise(now.coalesce(1).mapInArrow(_contract, "a long, b long"))
+        if parts == 1 or state == seen:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         seen = state
-        now = materialise(_star(_star(now, True), False))
+        now = _star(_star(now.coalesce(parts), True), False)

@@ -60,32 +60,41 @@ class FreeSpace:
 
 
 def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Best-fit decreasing for lengths[n] pieces of n tokens: rows (length, rank, sequence, offset).
+    """Best-fit decreasing for lengths[n] pieces of n tokens: rows (length, rank, sequence, offset, each).
 
     A row stands for the run of pieces that begins with its rank and ends before the next row's:
-    they go to consecutive sequences from `sequence` on, at `offset`.
+    they fill consecutive sequences from `sequence` on, from `offset` on, `each` of them one after
+    the other in every sequence. After a piece its sequence is the tightest of all as long as an
+    equal one still fits, so equal pieces go there first, as they would one by one.
     """
     free, runs = FreeSpace(capacity), {room: [] for room in range(capacity + 1)}
     out, opened = [], 0
+
+    def leave(room: int, first: int, count: int) -> None:
+        if room and count:
+            runs[room].append((first, count))
+            free.add(room, count)
+
     for length in sorted(lengths, reverse=True):
         left, rank = lengths[length], 0
         while left:
             room = free.tightest(length)
             if room is None:
-                first, count, room = opened, left, capacity
-                opened += count
+                each = capacity // length
+                first, there, room = opened, -(-left // each), capacity
+                opened += there
             else:
+                each = room // length
                 first, there = runs[room].pop()
-                count = min(left, there)
-                free.add(room, -count)
-                if count < there:
-                    runs[room].append((first + count, there - count))
-            out.append((length, rank, first, capacity - room))
-            if room > length:
-                runs[room - length].append((first, count))
-                free.add(room - length, count)
+                free.add(room, -there)
+            count = min(left, there * each)
+            full, rest = divmod(count, each)
+            out.append((length, rank, first, capacity - room, each))
+            leave(room - each * length, first, full)
+            leave(room - rest * length, first + full, 1 if rest else 0)
+            leave(room, first + full + bool(rest), there - full - bool(rest))
             left, rank = left - count, rank + count
-    return np.array(out, np.int64).reshape(-1, 4)
+    return np.array(out, np.int64).reshape(-1, 5)
 
 
 #: Words whose letters, digits and signs can be told apart without the tokenizer: printable
@@ -184,7 +193,7 @@ def token_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPAC
 
 def _place(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     order = np.lexsort((table[:, 1], table[:, 0]))
-    length, rank, first, offset = table[order].T
+    length, rank, first, offset, each = table[order].T
     steps = length << 44 | rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +201,8 @@ def _place(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             own, place = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(steps, own << 44 | place, side="right") - 1
             columns = [c for c in batch.schema.names if c != "rank"]
-            yield pa.record_batch([batch.column(c) for c in columns] + [pa.array(first[at] + place - rank[at]), pa.array(offset[at])], names=[*columns, "sequence_id", "offset"])
+            there, inside = np.divmod(place - rank[at], each[at])
+            yield pa.record_batch([batch.column(c) for c in columns] + [pa.array(first[at] + there), pa.array(offset[at] + inside * own)], names=[*columns, "sequence_id", "offset"])
 
     return run
 

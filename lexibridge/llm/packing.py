@@ -110,6 +110,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class RunIds(dict):
+    """Ids of runs of plain characters, each looked up in the tokenizer's model once."""
+
+    def __init__(self, model):
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        tokens = self.tokenize(run.encode().decode("latin-1").translate(self.letters))
+        ids = self[run] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return ids
+
+
 class WordIds:
     """Token ids of a text by its words, each word encoded once by the tokenizer.
 
@@ -126,17 +140,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-
-    def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            if len(self.runs) >= CACHE_WORDS:
-                self.runs.clear()
-            tokens = self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(self.letters))
-            ids = self.runs[run] = b"".join(t.id.to_bytes(4, "little") for t in tokens)
-        return ids
+        self.runs = RunIds(self.tokenizer.model)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
@@ -144,10 +148,10 @@ class WordIds:
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words = {}
             new = {w for ws in words for w in ws}
-        odd = []
+        odd, run = [], self.runs.__getitem__
         for w in new:
             if PLAIN.fullmatch(w) and "<|" not in w:
-                self.words[w] = b"".join(map(self._run, RUNS.findall(w.lower())))
+                self.words[w] = b"".join(map(run, RUNS.findall(w.lower())))
             else:
                 odd.append(w)
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):

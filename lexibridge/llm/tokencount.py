@@ -7,8 +7,10 @@ than the count before that token. Truncation and budget questions read the table
 never encode again.
 
 The pieces of the vocabulary begin with blanks or hold none, and no piece holds a line
-feed; so texts fall into words whose tables are independent and are kept in a cache, and a
-prefix of the text is whole words and a prefix of one.
+feed; so texts fall into words whose tables are independent, and a prefix of the text is whole
+words and a prefix of one. The state at a prefix serves all words that begin with it: new
+words are worked out in order, each from where it parts from the one before. Whole words'
+counts are kept in a cache; a table is made again for the word that a budget ends in.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose tables a worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose token counts a worker keeps.
+CACHE_WORDS = 1_000_000
 CACHE_PAIRS = 1_000_000
 WORDS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
@@ -44,7 +46,6 @@ class PrefixCounter:
         self.longest = max(map(len, self.ranks))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.totals: dict[str, int] = {}
-        self.tables: dict[str, list[int]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves; a character without a piece stays alone."""
@@ -70,25 +71,34 @@ class PrefixCounter:
             known = self.pairs[key] = self.merge(before + token) == ([before, token] if before else [token])
         return known
 
-    def table(self, word: str) -> list[int]:
-        """Token counts of all prefixes of a word, from the empty one on."""
-        ranks, counts, last = self.ranks, [0], [""]
-        if word.startswith("  "):
-            # Runs of blanks merge at equal scores, where neighbours alone do not decide.
-            return [sum(1 if p in ranks else len(p.encode()) for p in self.merge(word[:i])) for i in range(len(word) + 1)]
-        for i in range(1, len(word) + 1):
+    def _extend(self, word: str, counts: list[int], last: list[str]) -> None:
+        """Carry counts and last tokens of the first prefixes of `word` on to all of them."""
+        ranks, pairs = self.ranks, self.pairs
+        for i in range(len(counts), len(word) + 1):
             if word[i - 1] not in ranks:
                 counts.append(counts[-1] + len(word[i - 1].encode()))
                 last.append("")
                 continue
-            for j in range(i - 1, max(i - 1 - self.longest, -1), -1):
+            # Mostly the longest piece that ends here is the one; exactly one is valid.
+            for j in range(max(i - self.longest, 0), i):
                 token = word[j:i]
-                if token in ranks and self._valid(last[j], token):
+                if token in ranks and (pairs[known] if (known := (last[j], token)) in pairs else self._valid(*known)):
                     counts.append(counts[j] + 1)
                     last.append(token)
                     break
             else:
                 raise ValueError(f"no encoding ends at {i} of {word!r}")
+
+    def _blanks(self, word: str) -> list[int]:
+        """The table of a word after several blanks: these merge at equal scores, where neighbours alone do not decide."""
+        return [sum(1 if p in self.ranks else len(p.encode()) for p in self.merge(word[:i])) for i in range(len(word) + 1)]
+
+    def table(self, word: str) -> list[int]:
+        """Token counts of all prefixes of a word, from the empty one on."""
+        if word.startswith("  "):
+            return self._blanks(word)
+        counts, last = [0], [""]
+        self._extend(word, counts, last)
         return counts
 
     def _words(self, text: str) -> list[str]:
@@ -98,12 +108,20 @@ class PrefixCounter:
         new = words.difference(self.totals)
         if len(self.totals) + len(new) > CACHE_WORDS:
             self.totals.clear()
-            self.tables.clear()
             new = words
-        for w in new:
-            t = self.table(w)
-            self.totals[w] = t[-1]
-            self.tables[w] = t
+        counts, last, before = [0], [""], ""
+        for w in sorted(new):
+            if w.startswith("  "):
+                self.totals[w] = self._blanks(w)[-1]
+                continue
+            same = 0
+            for x, y in zip(before, w):
+                if x != y:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :]
+            self._extend(w, counts, last)
+            self.totals[w], before = counts[-1], w
 
     def count(self, texts: list[str], budget: int) -> tuple[list[int], list[int]]:
         """Of every text: its tokens, and the characters of its longest prefix of at most `budget` tokens."""
@@ -118,7 +136,8 @@ class PrefixCounter:
             # No piece is longer than `longest`, so counts of longer prefixes cannot fall below this again.
             if spent > budget:
                 break
-            inside = max((i for i, n in enumerate(self.tables[w]) if spent + n <= budget), default=0)
+            # A prefix has no more tokens than bytes.
+            inside = len(w) if spent + 4 * len(w) <= budget else max((i for i, n in enumerate(self.table(w)) if spent + n <= budget), default=0)
             best = max(best, chars + inside)
             chars, spent = chars + len(w), spent + self.totals[w]
         return max(best - 1, 0)  # without the blank before the text

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexibridge.functions import text as T
 from lexibridge.operators import quality_rules as Q
 from lexibridge.plans import views as V
 from lexibridge.plans.registry import QUERIES, SQL, query
@@ -96,3 +97,10 @@ def context_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that begin alike and go on differently."""
     turns = V.table(spark, sf_dir, "conversations").select("role", F.left("text", F.lit(6)).alias("source_text"), F.col("text").alias("target_text"))
     return Q.context_variants(turns, "role")
+
+
+@query(f"""WITH {V.BILINGUAL_SQL}, n AS (SELECT lower({V.normalize_sql("source_text")}) AS source_key, trim(target_text) AS target_text FROM bilingual)
+SELECT source_key, count(DISTINCT target_text) AS targets, count(*) AS segments FROM n WHERE source_key <> '' AND target_text <> '' GROUP BY 1 HAVING count(DISTINCT target_text) > 1""")
+def context_inconsistency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal whole user turns, normalised, with different replies."""
+    return Q.context_variants(V.bilingual(spark, sf_dir).withColumn("source_text", T.normalize_text("source_text")))

@@ -47,6 +47,12 @@ def term_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.conflicts(entries)
 
 
+@query(rf"""WITH {V.BILINGUAL_SQL} SELECT lower(trim(source_text)) AS source_key, count(DISTINCT target_text) AS targets, count(*) AS entries FROM bilingual WHERE len(string_split_regex(trim(source_text), '\s+')) <= 5 GROUP BY 1 HAVING count(DISTINCT target_text) > 1""")
+def term_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole user turns as sources and the replies as targets."""
+    return T.conflicts(V.bilingual(spark, sf_dir))
+
+
 @query(r"""SELECT abbr, count(*) AS n, count(DISTINCT text_id) AS texts FROM (SELECT doc_id AS text_id, unnest(list_filter(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,6}'))) AS abbr FROM documents) WHERE abbr NOT IN ('THE', 'AND', 'FOR', 'ARE', 'BUT', 'NOT', 'YOU', 'ALL') GROUP BY 1""")
 def abbreviation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.abbreviations(_texts(spark, sf_dir))

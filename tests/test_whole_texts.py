@@ -23,3 +23,14 @@ def test_whole_texts_are_keys(spark, alike):
     assert sorted((r.target, r.action) for r in run("upsert_overwrite")) == [("de", "unchanged"), ("en", "created")]
     assert sorted((r.target, r.action) for r in run("upsert_keep")) == [("de", "unchanged"), ("en", "created")]
     assert sorted((r.target, r.entries, r.bases) for r in run("merge_bases_last_wins")) == [("de", 1, 1), ("en", 2, 2)]
+
+
+def test_whole_texts_are_sources(spark, alike):
+    run = lambda name: catalogue.queries()[f"{name}_whole"](spark, alike).collect()
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{alike}/labels.parquet")
+    turns = [(1, 0, "user", "red apple pie"), (1, 1, "assistant", "a"), (2, 0, "user", "red apple tart"), (2, 1, "assistant", "b"), (3, 0, "user", "Red  apple pie"), (3, 1, "assistant", "c"), (4, 0, "user", "red apple pie"), (4, 1, "assistant", "d"), (5, 0, "user", "red apple and four more words"), (5, 1, "assistant", "e"), (6, 0, "user", "red apple and four more words"), (6, 1, "assistant", "f")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{alike}/conversations.parquet")
+    assert [(r.members, r.id, r.target_text) for r in run("propagation_winner")] == [(2, 1, "T1")]
+    assert sorted((r.id, r.tier) for r in run("convergence_winner")) == [(1, 0), (2, 2)]
+    assert [tuple(r) for r in run("term_conflicts")] == [("red apple pie", 2, 2)]
+    assert sorted((r.source_key, r.targets, r.segments) for r in run("context_inconsistency")) == [("red apple and four more words", 2, 2), ("red apple pie", 3, 3)]

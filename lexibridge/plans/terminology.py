@@ -32,8 +32,7 @@ def term_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_acronym_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An all-capital term meets capitals only."""
     one = spark.range(1).select((F.col("id") + 1).alias("term_id"), F.lit("THE").alias("term"))
-    texts = _texts(spark, sf_dir).where(~F.col("text").contains("_"))
-    return T.term_matches(texts, one)
+    return T.term_matches(_texts(spark, sf_dir), one)
 
 
 @query()

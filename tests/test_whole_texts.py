@@ -34,3 +34,9 @@ def test_whole_texts_are_sources(spark, alike):
     assert sorted((r.id, r.tier) for r in run("convergence_winner")) == [(1, 0), (2, 2)]
     assert [tuple(r) for r in run("term_conflicts")] == [("red apple pie", 2, 2)]
     assert sorted((r.source_key, r.targets, r.segments) for r in run("context_inconsistency")) == [("red apple and four more words", 2, 2), ("red apple pie", 3, 3)]
+
+
+def test_acronym_in_documents_with_underscores(spark, tmp_path):
+    rows = [(1, "snake_case and THE end, THE", "en"), (2, "the_end", "en"), (3, "THE_X", "en"), (4, "OTHER", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.text_id, r.hits) for r in catalogue.queries()["term_acronym_case"](spark, str(tmp_path)).collect()} == {(1, 2), (3, 1)}

@@ -26,7 +26,7 @@ from lexibridge.llm.arrays import code_points, slices, span_hashes, word_spans
 PATH, WORDS, PLAIN, HIDDEN = 128, 16, 8, 20
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -34,6 +34,8 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[a-z]+")
 #: Tags that stay within a block; all others end it.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+#: Skipped with all inside, if their end tag follows. (Scripts and styles without one reach to the page's end.)
+SKIPPED = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("noscript", "template", "svg", "iframe", "object", "title")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind closes an open one of the second.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -70,7 +72,10 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         state["linked"] = 0
 
-    for m in _TOKEN.finditer(page):
+    at, unended = 0, set()
+    # The pattern's last part takes whatever comes, so it matches up to the end.
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         text = m[8]
         if text is not None:
             # A reference may be cut only by markup, so pieces of text decode alone.
@@ -93,15 +98,21 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if depth is not None:
+                del stack[depth:]
             continue
+        if tag in SKIPPED and tag not in unended and not attributes.endswith("/"):
+            if end := SKIPPED[tag].search(page, at):
+                at = end.end()
+                continue
+            unended.add(tag)
         if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
             stack.pop()
         elif tag in ENDS_P and stack and stack[-1][0] == "p":
             stack.pop()
-        if tag not in VOID and not attributes.endswith("/"):
+        # The end tags of head may be left out: it encloses nothing here.
+        if tag not in VOID and tag not in ("head", "title") and not attributes.endswith("/"):
             stack.append((tag, _names(tag, attributes)))
     flush()
     return out
@@ -134,7 +145,7 @@ def features(page: list[Block]) -> np.ndarray:
     if _path_vector.cache_info().currsize > 50_000:
         _path_vector.cache_clear()
     texts = [b.text for b in page]
-    x[:, :PATH] = np.stack([_path_vector(b.path[-24:]) for b in page])
+    x[:, :PATH] = np.stack([_path_vector(b.path) for b in page])
     points, offsets = code_points([t.lower() for t in texts])
     starts, ends, row = word_spans(points, offsets)
     count = np.bincount(row, minlength=n)

@@ -126,3 +126,23 @@ def test_lstm_gradients():
                 loss.append(float((htmltext._run(x, mask, w, u)[0] * goal).sum()))
             m[at] = keep
             assert abs((loss[0] - loss[1]) / 2e-2 - grads[at]) < 2e-2 * max(1, abs(grads[at]))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>t</title><body><article><p>one</p><p>two</p></article>",
+        "<head><title>t</title><article><p>one</p><p>two</p></article>",
+        "<p>one<svg class='i'/></p><p>two</p><svg><text>no</text></svg>",
+        "<p>one</p><noscript><p>two</p>",
+        "<p>one</p><iframe src='x'/><object><svg><p>two</p><script>no",
+    ],
+)
+def test_tags_without_an_end_drop_no_text(page):
+    assert [b.text for b in htmltext.blocks(page)] == ["one", "two"]
+
+
+def test_far_tags_count():
+    deep = tuple(x for i in range(30) for x in ("div", f".c{i}"))
+    near, far = (htmltext.features([htmltext.Block("text", path, 0.0)]) for path in (deep, ("nav", *deep)))
+    assert not np.array_equal(near, far)

@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import code_points, slices, word_table
-from lexibridge.llm.common import bounded_sample
 
 DIMENSIONS = 4096
 CENTROIDS = 4
 #: Bound of the labelled rows that the model is fitted on (documented parameter).
 SAMPLE = 4000
+#: Rows that a language of as many or more gives to the sample at least.
+FLOOR = 40
 #: A text is rejected below this share of the least cosine that a language's training texts had.
 REJECT = 0.5
 
@@ -99,10 +100,39 @@ def fit(texts: list[str], languages: list[str], centroids: int = CENTROIDS, roun
     return model
 
 
+def sample_level(counts: list[int], sample: int) -> int:
+    """Rows of each language that fill about `sample` rows if smaller languages give all of theirs; FLOOR at least."""
+    left, level = sample, 0
+    for k, n in enumerate(sorted(counts)):
+        level = left // (len(counts) - k)
+        if n > level:
+            break
+        left -= n
+    return max(level, FLOOR)
+
+
+def language_sample(rows: DataFrame, sample: int) -> DataFrame:
+    """About `sample` of the rows, or about FLOOR of each language if that is more; at most twice as many.
+
+    Languages of few rows are kept whole and the others share what is left evenly, by low hashes of
+    id and text, so that no language is lost as the table grows.
+    """
+    draw = F.xxhash64("doc_id", "text")
+    # Repeated rows share a hash, so they count and are drawn once.
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct(draw)).collect()}
+    level = sample_level(list(counts.values()), sample)
+    large = {g: n for g, n in counts.items() if n > level}
+    if not large:
+        return rows.distinct()
+    bars = F.create_map(*[F.lit(x) for g, n in large.items() for x in (g, int(level / n * 2**63) - 1)])
+    low = F.shiftrightunsigned(draw, 1) <= F.element_at(bars, F.col("lang"))
+    return rows.where(F.coalesce(low, F.lit(True))).distinct()
+
+
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    """Fit on about `sample` documents for which `learn` holds, chosen by their hashed ids."""
+    """Fit on about `sample` documents for which `learn` holds, drawn by language."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    got = sorted(tuple(r) for r in bounded_sample(rows, sample, "doc_id").select("lang", "text").collect())
+    got = sorted(tuple(r) for r in language_sample(rows, sample).select("lang", "text").collect())
     return fit([r[1] for r in got], [r[0] for r in got])
 
 

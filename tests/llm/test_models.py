@@ -146,3 +146,30 @@ def test_far_tags_count():
     deep = tuple(x for i in range(30) for x in ("div", f".c{i}"))
     near, far = (htmltext.features([htmltext.Block("text", path, 0.0)]) for path in (deep, ("nav", *deep)))
     assert not np.array_equal(near, far)
+
+
+def test_small_languages_are_learned(spark):
+    from pyspark.sql import functions as F
+
+    df = documents(spark, [(i, f"some words of text number {i}", "en") for i in range(4000)] + [(9000 + i, f"autres mots {i}", "fr") for i in range(3)])
+    rows = langid.language_sample(df.select("doc_id", "text", "lang"), 100).groupBy("lang").count().collect()
+    count = {r["lang"]: r["count"] for r in rows}
+    assert count["fr"] == 3 and 50 < count["en"] < 200
+    assert langid.train(df, F.lit(True), 100).languages == ["en", "fr"]
+
+
+def test_level_of_the_sample():
+    assert langid.sample_level([10, 1000, 5000], 4000) == 2990
+    assert langid.sample_level([10, 20], 4000) >= 20 and langid.sample_level([], 4000) == langid.FLOOR
+    assert langid.sample_level([10**6] * 1000, 4000) == langid.FLOOR
+
+
+def test_foreign_text_of_a_known_script_is_rejected(spark, sf01):
+    model = langid.train(spark.read.parquet(f"{sf01}/documents.parquet"), langid.F.lit(True))
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    ]
+    best, score = model.predict(foreign)
+    assert (score < model.least[best]).all()

@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,10 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _buckets(bits: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            sizes = pa.compute.list_value_length(whole.column("vector")).to_numpy(zero_copy_only=False)
+            for length in np.unique(sizes):
+                batch = whole.take(pa.array(np.flatnonzero(sizes == length)))
                 keys = Codes(_unit(_matrix(batch.column("vector"))), bits, tables).keys
                 ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables)
                 yield pa.record_batch({"id": batch.column("id"), "label": batch.column("label"), "vector": batch.column("vector"), "keys": pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))})
@@ -93,11 +96,20 @@ def _buckets(bits: int, tables: int):
 
 def _links(bits: int, tables: int, threshold: float):
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by length first; vectors of one length are one matrix."""
+        lengths = t.column("length").to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(lengths)) + 1, len(lengths))
+        for begin, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+            yield from one(t.slice(begin, end - begin))
+
+    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, table = t.column("id").to_numpy(), t.column("band").to_numpy()
         block, alone = t.column("block").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
         vectors = _matrix(t.column("vector"))
         norm = np.linalg.norm(vectors, axis=1)
         codes = Codes(vectors / norm[:, None], bits, tables)
+        # The keys that rows were dealt by: worked out anew, a sign could turn in the last bit.
+        keys = np.array(t.column("keys").to_pylist(), np.int64)
         name = np.stack([t.column(c).to_numpy() for c in ("label", "band", "key", "i", "j")])
         new = np.ones(t.num_rows, bool)
         new[1:] = (name[:, 1:] != name[:, :-1]).any(0)
@@ -107,7 +119,7 @@ def _links(bits: int, tables: int, threshold: float):
 
         def exact(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
             earlier = np.arange(tables) < table[x][:, None]
-            fresh = ~((codes.keys[x] == codes.keys[y]) & earlier).any(1) & (alone[x] | (block[x] != block[y]))
+            fresh = ~((keys[x] == keys[y]) & earlier).any(1) & (alone[x] | (block[x] != block[y]))
             x, y = x[fresh], y[fresh]
             near = np.einsum("ij,ij->i", vectors[x], vectors[y]) / (norm[x] * norm[y]) >= threshold
             if near.any():
@@ -133,7 +145,7 @@ def _links(bits: int, tables: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        names = ("label", "band", "key", "i", "j")
+        names = ("length", "label", "band", "key", "i", "j")
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = (pa.concat_tables([rest, t]) if rest is not None else t).combine_chunks()
@@ -165,29 +177,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     sound = F.col("label").isNotNull() & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     marked = materialise(rows.withColumn("sound", F.coalesce(sound, F.lit(False))))
     classes = materialise(marked.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
-    lengths = [r[0] for r in classes.select(F.size("vector")).distinct().limit(64).collect()]
     most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     bits = min(max(math.ceil(math.log2(most + 1)), 8), 40)
     tables = tables_for(bits, threshold)
-    links = None
-    for length in lengths:
-        own = classes.where(F.size("vector") == length).select("id", "label", "vector")
-        placed = own.mapInArrow(_buckets(bits, tables), "id long, label long, vector array<double>, keys array<long>").select("id", "label", "vector", F.posexplode("keys").alias("band", "key"))
-        full = materialise(placed.select("label", "band", "key")).groupBy("label", "band", "key").agg(F.count("*").alias("m")).where("m > 1")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = (
-            placed.join(full, ["label", "band", "key"])
-            .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("label", "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "vector")
-            .repartition("label", "band", "key", "i", "j")
-            .sortWithinPartitions("label", "band", "key", "i", "j")
-        )
-        found = dealt.mapInArrow(_links(bits, tables, threshold), "a long, b long")
-        links = found if links is None else links.unionByName(found)
-    if links is None:
-        return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = materialise(links)
+    own = classes.select("id", "label", "vector")
+    keyed = own.mapInArrow(_buckets(bits, tables), "id long, label long, vector array<double>, keys array<long>").withColumn("length", F.size("vector"))
+    placed = keyed.select("id", "length", "label", "vector", "keys", F.posexplode("keys").alias("band", "key"))
+    bucket = ["length", "label", "band", "key"]
+    full = materialise(placed.select(*bucket)).groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = (
+        placed.join(full, bucket)
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "vector", "keys")
+        .repartition(*bucket, "i", "j")
+        .sortWithinPartitions(*bucket, "i", "j")
+    )
+    links = materialise(dealt.mapInArrow(_links(bits, tables, threshold), "a long, b long").distinct())
     groups = components(links)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     count = both.join(classes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))

@@ -223,3 +223,10 @@ def test_fingerprints_of_awkward_and_empty_tables(awkward, nothing):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert prints[1] == prints[2] and len(prints[1]) == 1 and prints[3] == prints[4] == {""}
     assert fingerprint.fingerprint_documents(nothing).collect() == []
+
+
+def test_vectors_of_many_lengths(spark):
+    """A pair of near vectors of each of 70 lengths."""
+    rows = [(2 * n + k, [1.0] * n + [1.0 + k / 1000], 1, "k", 0, 0, "") for n in range(1, 71) for k in (0, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_vectors(vectors(spark, rows)).collect()}
+    assert got == {2 * n + k: (1, 2 * n) for n in range(1, 71) for k in (0, 1)}

@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import LETTER, NUMBER, OTHER, SPACE, code_points, slices
+from lexibridge.llm.merging import merged
 
-#: Pre-tokens whose ids a worker keeps.
-CACHE_SLICES = 400_000
+#: Bytes of the pre-tokens whose ids a worker keeps; those longer than CACHE_LONGEST are merged each time.
+CACHE_BYTES = 8_000_000
+CACHE_LONGEST = 64
 #: Endings that an apostrophe at the start of a pre-token takes along.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -88,6 +90,7 @@ class Encoder:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, filter(bytes.strip, lines))}
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         size = max(self.ranks.values()) + 1
         tokens = [b""] * size
         for t, r in self.ranks.items():
@@ -101,18 +104,8 @@ class Encoder:
         rank = self.ranks.get(piece)
         if rank is not None:
             return rank.to_bytes(4, "little")
-        ranks, none = self.ranks, 1 << 60
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (least := min(pairs)) < none:
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return b"".join(ranks[p].to_bytes(4, "little") for p in parts)
+        parts = merged([piece[i : i + 1] for i in range(len(piece))], self.ranks)
+        return b"".join(self.ranks[p].to_bytes(4, "little") for p in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
@@ -128,13 +121,18 @@ class Encoder:
         cuts = place[np.append(start, len(points))].tolist()
         pieces = list(map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])))
         new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > CACHE_SLICES:
-            self.known = {}
-            new = set(pieces)
+        if self.held > CACHE_BYTES:
+            self.known, self.held, new = {}, 0, set(pieces)
         self.known.update((p, self.merge(p)) for p in new)
         ends = np.searchsorted(start, offsets).tolist()
         look = self.known.__getitem__
-        return [b"".join(map(look, pieces[a:b])) for a, b in zip(ends[:-1], ends[1:])]
+        encoded = [b"".join(map(look, pieces[a:b])) for a, b in zip(ends[:-1], ends[1:])]
+        for p in new:
+            if len(p) > CACHE_LONGEST:
+                del self.known[p]
+            else:
+                self.held += len(p)
+        return encoded
 
     def token_offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offsets of the tokens and the end."""

@@ -11,6 +11,10 @@ feed; so texts fall into words whose tables are independent, and a prefix of the
 words and a prefix of one. The state at a prefix serves all words that begin with it: new
 words are worked out in order, each from where it parts from the one before. Whole words'
 counts are kept in a cache; a table is made again for the word that a budget ends in.
+
+Blanks merge with one another at equal scores, after all other merges, so neighbours alone do
+not decide there. But then a run of blanks falls into longest pieces from the left: its count
+is periodic, and a word after several blanks is a run of blanks and a word after one.
 """
 
 from __future__ import annotations
@@ -23,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose token counts a worker keeps.
-CACHE_WORDS = 1_000_000
+from lexibridge.llm.merging import merged
+
+#: Characters of the words whose token counts a worker keeps; words longer than CACHE_LONGEST are not kept.
+CACHE_CHARS = 10_000_000
+CACHE_LONGEST = 64
 CACHE_PAIRS = 1_000_000
 WORDS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
@@ -46,21 +53,21 @@ class PrefixCounter:
         self.longest = max(map(len, self.ranks))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.totals: dict[str, int] = {}
+        self.held, self.passing = 0, []
+        blanks = [p for p in self.ranks if p.startswith("  ")]
+        self.period = max(map(len, blanks), default=1)
+        self.blanks = [len(self.merge(" " * n)) for n in range(4 * self.period)]
+        last = max(self.ranks.values())
+        if any(p.strip(" ") or self.ranks[p] < last for p in blanks) or any(self.blanks[n] != self.blanks[n - self.period] + 1 for n in range(self.period, len(self.blanks))):
+            raise ValueError("the model's pieces of several blanks do not let runs of blanks be counted by themselves")
+
+    def _run(self, n: int) -> int:
+        """Tokens of a run of blanks that nothing else merges with."""
+        return self.blanks[n % self.period] + n // self.period
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves; a character without a piece stays alone."""
-        ranks, none = self.ranks, 1 << 60
-        parts = list(text)
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (least := min(pairs)) < none:
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return parts
+        return merged(list(text), self.ranks)
 
     def _valid(self, before: str, token: str) -> bool:
         key = (before, token)
@@ -89,31 +96,41 @@ class PrefixCounter:
             else:
                 raise ValueError(f"no encoding ends at {i} of {word!r}")
 
-    def _blanks(self, word: str) -> list[int]:
-        """The table of a word after several blanks: these merge at equal scores, where neighbours alone do not decide."""
-        return [sum(1 if p in self.ranks else len(p.encode()) for p in self.merge(word[:i])) for i in range(len(word) + 1)]
+    def _after_blanks(self, blanks: int, counts: list[int], last: list[str]) -> list[int]:
+        """Counts of the non-empty prefixes of a word after so many blanks more, from its own states.
+
+        Where the word's first blank is a token by itself, it belongs to the run.
+        """
+        alone = [False]
+        for i, token in enumerate(last[1:], 1):
+            alone.append(token == " " if i == len(token) else alone[i - (len(token) or 1)])
+        joined, apart = self._run(blanks + 1) - 1, self._run(blanks)
+        return [n + (joined if a else apart) for n, a in zip(counts[1:], alone[1:], strict=True)]
 
     def table(self, word: str) -> list[int]:
         """Token counts of all prefixes of a word, from the empty one on."""
-        if word.startswith("  "):
-            return self._blanks(word)
+        blanks = max(len(word) - len(word.lstrip(" ")) - 1, 0)
         counts, last = [0], [""]
-        self._extend(word, counts, last)
-        return counts
+        self._extend(word[blanks:], counts, last)
+        return [*map(self._run, range(blanks + 1)), *self._after_blanks(blanks, counts, last)] if blanks else counts
 
     def _words(self, text: str) -> list[str]:
         return WORDS.findall(" " + text.replace("▁", " ")) if text else []
 
     def _learn(self, words: set[str]) -> None:
+        for w in self.passing:
+            self.totals.pop(w, None)
         new = words.difference(self.totals)
-        if len(self.totals) + len(new) > CACHE_WORDS:
+        if self.held > CACHE_CHARS:
             self.totals.clear()
-            new = words
-        counts, last, before = [0], [""], ""
-        for w in sorted(new):
+            self.held, new = 0, words
+        # Words after several blanks share the states of the word after one.
+        deep: dict[str, list[str]] = {}
+        for w in new:
             if w.startswith("  "):
-                self.totals[w] = self._blanks(w)[-1]
-                continue
+                deep.setdefault(" " + w.lstrip(" "), []).append(w)
+        counts, last, before = [0], [""], ""
+        for w in sorted({w for w in new if not w.startswith("  ")} | deep.keys()):
             same = 0
             for x, y in zip(before, w):
                 if x != y:
@@ -122,6 +139,10 @@ class PrefixCounter:
             del counts[same + 1 :], last[same + 1 :]
             self._extend(w, counts, last)
             self.totals[w], before = counts[-1], w
+            for longer in deep.get(w, ()):
+                self.totals[longer] = self._after_blanks(len(longer) - len(w), counts, last)[-1]
+        self.passing = [w for w in new | deep.keys() if len(w) > CACHE_LONGEST]
+        self.held += sum(map(len, new)) - sum(map(len, self.passing))
 
     def count(self, texts: list[str], budget: int) -> tuple[list[int], list[int]]:
         """Of every text: its tokens, and the characters of its longest prefix of at most `budget` tokens."""

@@ -112,3 +112,41 @@ def test_encoding_of_awkward_and_empty_tables(awkward, nothing):
     assert sorted((r.doc_id or -1, bytes(r.ids), bytes(r.decoded)) for r in encoded.collect()) == want
     assert sorted((r.doc_id or -1, bytes(r.ids), bytes(r.decoded)) for r in bytebpe.decode_documents(encoded, RANKS).collect()) == want
     assert bytebpe.encode_documents(nothing, RANKS).collect() == []
+
+
+def timed(work):
+    from time import process_time
+
+    start = process_time()
+    work()
+    return process_time() - start
+
+
+def test_long_runs_count_as_library():
+    texts = [" " * n + tail for n in [*range(1, 70), 1000] for tail in ("", "x", "é", "日本", "\n", " .")]
+    check_counts([t for t in texts if len(t) < 100])
+    totals, _ = counter().count(texts, 5)
+    assert totals == [len(pieces().encode(t)) for t in texts]
+    for n, tail in ((200, ""), (1000, "word"), (77, "日x"), (300, "...")):
+        word = " " * n + tail
+        assert counter().table(word) == [len(pieces().encode("a\n" + word[:i])) - len(pieces().encode("a\n")) for i in range(len(word) + 1)]
+
+
+def test_time_of_long_runs_is_in_proportion():
+    blanks, letters, han = "a" + " " * 100_000 + "b", "letterrun" * 22_223, "語日本漢字" * 12_000
+    counter(), encoder()
+    assert timed(lambda: counter().count([blanks], 4096)) < 2
+    assert timed(lambda: encoder().encode([letters])) < 2
+    assert timed(lambda: encoder().encode([han])) < 2
+    assert timed(lambda: counter().count([letters[:100_000]], 4096)) < 2
+    assert timed(lambda: counter().count([han], 4096)) < 2
+    assert counter().count([letters, blanks, han], 1)[0] == [len(pieces().encode(t)) for t in (letters, blanks, han)]
+    for text in (letters, han):
+        assert np.frombuffer(encoder().encode([text])[0], "<u4").tolist() == library().encode_ordinary(text)
+
+
+def test_caches_keep_no_long_words():
+    counter().count(["x" * 5000, "y" * 70], 5)
+    counter().count(["short"], 5)
+    encoder().encode(["z" * 5000])
+    assert max(map(len, counter().totals)) <= tokencount.CACHE_LONGEST and max(map(len, encoder().known)) <= bytebpe.CACHE_LONGEST

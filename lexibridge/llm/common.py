@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,11 +27,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def range_number(value: Column, cuts: list[Column]) -> Column:
+    """How many of the ascending `cuts` (literals) are at most `value`, looked for in two steps of about their root each."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    runs = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    if len(runs) == 1:
+        return below(F.array(*cuts))
+    run = below(F.array(*[r[0] for r in runs[1:]]))
+    return run * step + below(F.get(F.array(*[F.array(*r) for r in runs]), run))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-
 def bounded_sample(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """About `n` of the rows, at most 2n, or all if there are fewer: those whose hashed keys are low.
 

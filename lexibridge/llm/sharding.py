@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexibridge.llm.common import materialise, shuffle_partitions
+from lexibridge.llm.common import materialise, range_number, shuffle_partitions
 
 #: Bits of each of the two parts of the key, and bits that a pass resolves.
 HALF, FIRST_BITS, NEXT_BITS = 62, 12, 6
@@ -102,7 +102,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = TOLERAN
     inner = max(1, -(-shuffle_partitions(docs.sparkSession) // shards))
     keys = materialise(keyed.select("_k1", "_k2", "_size"))
     cuts = find_splitters(keys, shards * inner, tolerance)
-    parts = F.size(F.filter(F.array(*[F.struct(F.lit(c.edge >> HALF).cast("long").alias("a"), F.lit(c.edge & ((1 << HALF) - 1)).cast("long").alias("b")) for c in cuts]), lambda c: c <= F.struct(F.col("_k1").alias("a"), F.col("_k2").alias("b")))) if cuts else F.lit(0)
+    key = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    parts = range_number(key(F.col("_k1"), F.col("_k2")), [key(F.lit(c.edge >> HALF).cast("long"), F.lit(c.edge & ((1 << HALF) - 1)).cast("long")) for c in cuts])
     before = [0] + [c.rows for c in cuts]
     offsets = [n - before[i // inner * inner] for i, n in enumerate(before)]
     order = Window.partitionBy("_part").orderBy("_k1", "_k2")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import mix64, slices
-from lexibridge.llm.common import shuffle_partitions
+from lexibridge.llm.common import range_number, shuffle_partitions
 
 WINDOW, RUN, POINTS = 32, 32, 8
 #: Texts of fewer features add windows of SHORT bytes.
@@ -29,6 +29,8 @@ BITS, HASHES, FEATURES = 2048, 5, 160
 #: Entropy (bits) that windows of prose centre on; the further away, the rarer. Windows
 #: below the floor repeat few bytes and say nothing about a text.
 CENTRE, FLOOR = 3.3, 1.2
+#: Bytes of text in one range of documents.
+RANGE_BYTES = 64_000_000
 _SCALE = 1 << 12
 _NEVER = np.uint16(65535)
 
@@ -104,10 +106,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         base = np.multiply.accumulate(np.full(WINDOW, np.uint64(0x9E3779B97F4A7C15 | 1)))
         value = np.concatenate([mix64(((data[c[:, None] + np.arange(WINDOW)].astype(np.uint64) + np.uint64(1)) * base).sum(1, dtype=np.uint64)) for c in np.array_split(chosen, len(chosen) // 50_000 + 1)])
     few = np.flatnonzero((np.bincount(chosen_row, minlength=len(texts)) < FEW) & (sizes > 0))
-    for i in few:
-        text = np.frombuffer(texts[i].ljust(SHORT, b"\0"), np.uint8)
-        own = np.unique(np.lib.stride_tricks.sliding_window_view(text, SHORT), axis=0).view(np.uint64).reshape(-1)
-        chosen_row, value = np.concatenate((chosen_row, np.full(len(own), i))), np.concatenate((value, mix64(own.copy())))
+    if len(few):
+        own = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(texts[i].ljust(SHORT, b"\0"), np.uint8), SHORT).copy().view(np.uint64).reshape(-1) for i in few.tolist()]
+        chosen_row = np.concatenate((chosen_row, np.repeat(few, [len(x) for x in own])))
+        value = np.concatenate((value, mix64(np.concatenate(own))))
     order = np.argsort(chosen_row, kind="stable")
     chosen_row, value = chosen_row[order], value[order]
     by_value = np.lexsort((np.arange(len(value)), value, chosen_row))
@@ -160,7 +162,7 @@ def edited(text: str, other: str) -> str:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by part and in order within it; the last of each part is the next part's first, marked."""
+    """A partition is one range in order; its last row is the next range's first, marked."""
     from hashlib import sha256
 
     held: tuple | None = None
@@ -183,7 +185,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
-        rows = list(zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "mark")], strict=True))
+        rows = list(zip(*[batch.column(c).to_pylist() for c in ("code", "doc_id", "text", "mark")], strict=True))
         rows = ([held] if held else []) + rows
         for start, stop in slices([len(r[2]) for r in rows[:-1]]):
             yield from work(rows[start:stop], rows[stop])
@@ -195,18 +197,26 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; the
     next document is that of the next lower doc_id, after the last one the first; rows of one id
-    follow each other by text, rows without an id come last. A null text counts as empty. Reads
-    doc_id and text alone; repeated rows give repeated rows. The texts are exchanged once, by
-    ranges of doc_id; each range is followed by one marked copy of the next range's first row.
+    follow each other by text, rows without an id come last, by hashes of their texts. A null text
+    counts as empty. Reads doc_id and text alone; repeated rows give repeated rows. The texts are
+    exchanged once, by ranges of that order; each range is followed by one marked copy of the next
+    range's first row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = shuffle_partitions(docs.sparkSession)
+    total, nulls, size = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES))
     least, cuts = rows.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000) if n > 1 else F.lit(None)).first()
     cuts = sorted({c for c in cuts or [] if c > least})
-    part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    tops = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "text")).alias("top"))
-    tails = tops.select(F.pmod(F.col("part") + 1, F.lit(len(cuts) + 1)).cast("int").alias("part"), F.col("top.doc_id").alias("doc_id"), F.col("top.text").alias("text"), F.lit(True).alias("mark"))
-    both = dealt.select("part", "doc_id", "text", F.lit(False).alias("mark")).unionByName(tails)
-    spread = both.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "mark", F.desc_nulls_last("doc_id"), F.desc("text"))
+    # Ranges ascend while the order descends: those of rows without an id first, by the upper bits of a hash.
+    low = -(-n * nulls // total) if nulls else 0
+    code = F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 33)).otherwise(0)
+    part = F.when(F.col("doc_id").isNull(), F.shiftright(F.col("code") * low, 31)).otherwise(low + range_number(F.col("doc_id"), [F.lit(c).cast("long") for c in cuts])).cast("int")
+    dealt = rows.withColumn("code", code).withColumn("part", part)
+    tops = sorted(tuple(r) for r in dealt.groupBy("part").agg(F.max("doc_id"), F.max("code")).collect())  # one row of numbers for each range
+    follows = docs.sparkSession.createDataFrame([(p, top, *rest) for (p, *_), (top, *rest) in zip(tops, [*tops[-1:], *tops[:-1]], strict=True)], "at int, part int, top long, code long")
+    first = (F.col("x.part") == F.col("y.part")) & F.col("x.doc_id").eqNullSafe(F.col("y.top")) & (F.col("x.code") == F.col("y.code"))
+    tails = dealt.alias("x").join(F.broadcast(follows.alias("y")), first).groupBy("y.at", "x.doc_id", "x.code").agg(F.max("x.text").alias("text"))
+    marked = tails.select(F.col("at").alias("part"), "code", "doc_id", "text", F.lit(True).alias("mark"))
+    both = dealt.select("part", "code", "doc_id", "text", F.lit(False).alias("mark")).unionByName(marked)
+    spread = both.repartitionById(low + len(cuts) + 1, "part").sortWithinPartitions("mark", F.desc_nulls_last("doc_id"), F.desc("code"), F.desc("text"))
     return spread.mapInArrow(_prints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

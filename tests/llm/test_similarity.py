@@ -230,3 +230,28 @@ def test_vectors_of_many_lengths(spark):
     rows = [(2 * n + k, [1.0] * n + [1.0 + k / 1000], 1, "k", 0, 0, "") for n in range(1, 71) for k in (0, 1)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_vectors(vectors(spark, rows)).collect()}
     assert got == {2 * n + k: (1, 2 * n) for n in range(1, 71) for k in (0, 1)}
+
+
+def test_many_short_texts_take_time_in_proportion():
+    from time import process_time
+
+    texts = [f"short text {i} {i * 7919 % 10007}".encode() for i in range(20_000)]
+    start = process_time()
+    got = fingerprint.digests(texts)
+    assert process_time() - start < 2
+    assert got[:50] == [fingerprint.digests([t])[0] for t in texts[:50]]
+
+
+def test_fingerprints_chain_rows_without_ids(spark):
+    rows = [(None, f"text without an id, number {i}", None) for i in range(40)] + [(i, f"text of document {i}", None) for i in range(15)] + [(7, "a second text of document 7", None), (None, None, None)]
+    got = fingerprint.fingerprint_documents(documents(spark, rows).repartition(5)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in got) == sorted((i is None, i or 0, len(t or "")) for i, t, _ in rows)
+    named = sorted(((i, t) for i, t, _ in rows if i is not None), reverse=True)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, []).append(r.edited_sha256)
+    for (i, t), (_, after) in zip(named, named[1:]):
+        assert sha256(fingerprint.edited(t, after).encode()).hexdigest() in by_id[i]
+    # Every row without an id is followed by another one, and the last by the first of all.
+    rest = {t or "" for i, t, _ in rows if i is None} | {named[0][1]}
+    assert all(any(h == sha256(fingerprint.edited(t, after).encode()).hexdigest() for t in rest for after in rest) for h in by_id[None])

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Characters that one slice of a batch may hold (a longer text is a slice alone).
 SLICE_CHARS = 1_000_000
+#: Rows that one slice may hold: arrays with a fixed width for every row stay bounded on short texts.
+SLICE_ROWS = 2048
 
 #: Class codes of `char_classes`.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -24,10 +26,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def slices(lengths: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Cut rows 0..n into consecutive [start, stop) runs of at most `limit` characters."""
+    """Cut rows 0..n into consecutive [start, stop) runs of at most `limit` characters and SLICE_ROWS rows."""
     start = total = 0
     for i, n in enumerate(lengths):
-        if total + n > limit and i > start:
+        if i > start and (total + n > limit or i - start == SLICE_ROWS):
             yield start, i
             start, total = i, 0
         total += n

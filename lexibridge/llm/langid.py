@@ -168,10 +168,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _letters():
-    """A test for any letter in a text."""
-    import re
+    """A test for any letter in a text: categories L*, so no numbers such as superscripts and fractions."""
+    import regex
 
-    return re.compile(r"[^\W\d_]").search
+    return regex.compile(r"\p{L}").search
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

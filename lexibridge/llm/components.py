@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from lexibridge.llm.common import materialise
 
-#: Edges that one task contracts.
+#: Edges that one task contracts in the last step, and nodes after which any task passes its forest on.
 PARTITION_EDGES = 200_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of a partition's edges, each with the least node that it is connected to there."""
+    """The nodes of a partition's edges, each with the least node that it is connected to there.
+
+    A forest that has grown large is passed on and a new one begun, so memory is bounded.
+    """
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -31,12 +34,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[x], x = top, root[x]
         return top
 
+    def forest() -> pa.RecordBatch:
+        nodes = [x for x in root if root[x] != x]
+        return pa.record_batch({"a": pa.array(nodes, pa.int64()), "b": pa.array([find(x) for x in nodes], pa.int64())})
+
     for batch in batches:
         for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             x, y = find(x), find(y)
             root[max(x, y)] = min(x, y)
-    nodes = [x for x in root if root[x] != x]
-    yield pa.record_batch({"a": pa.array(nodes, pa.int64()), "b": pa.array([find(x) for x in nodes], pa.int64())})
+        # The last step's edges, in one task, have fewer nodes than this.
+        if len(root) > 4 * PARTITION_EDGES:
+            yield forest()
+            root.clear()
+    yield forest()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

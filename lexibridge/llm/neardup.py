@@ -3,7 +3,7 @@
 BagMinHash signatures are banded; what shares a band is estimated from the signatures,
 and what the estimate does not clearly rule out is verified on the exact multisets.
 
-Equal texts are one class from the start. Links between different texts are searched in
+Equal texts are one class from the start, signed once for each slice of a task. Links between different texts are searched in
 two steps, so that a large group of copies costs rows in proportion to its members:
 
 1. In every bucket each member meets a leader; the leader is drawn by one of a few random
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import grouped, mix64, slices, weighted
@@ -39,6 +39,8 @@ LEADERS = 4
 SMALL = 16
 #: Characters of text in one block of a larger group.
 BLOCK_CHARS = 4_000_000
+#: Columns that `deduplicate` adds while it joins.
+OWN_ID, OWN_KEY = "_near_duplicate_id", "_near_duplicate_key"
 
 
 def _sign(bands: int, rows: int, width: int):
@@ -47,12 +49,20 @@ def _sign(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts, names, held = (batch.column(c).to_pylist() for c in ("text", "doc_id", "text_key"))
             for start, stop in slices([len(t) for t in texts], 4_000_000):
-                row, ids, times = weighted(texts[start:stop], width)
-                signs = signatures(row, ids, times, stop - start, m)
-                some = np.bincount(row, minlength=stop - start) > 0
-                keys = np.zeros((stop - start, bands), np.uint64)
+                # Equal texts of a slice are signed once and stay one row from here on.
+                members: dict[bytes, list[int]] = {}
+                own = []
+                for i in range(start, stop):
+                    if held[i] not in members:
+                        own.append(texts[i])
+                    members.setdefault(held[i], []).append(names[i])
+                n = len(own)
+                row, ids, times = weighted(own, width)
+                signs = signatures(row, ids, times, n, m)
+                some = np.bincount(row, minlength=n) > 0
+                keys = np.zeros((n, bands), np.uint64)
                 for k in range(rows):
                     keys = mix64(keys + signs[:, k::rows])
                 keys = mix64(keys ^ salt).view(np.int64)
@@ -61,9 +71,10 @@ def _sign(bands: int, rows: int, width: int):
                 short = (signs & 0xFFFF).astype("<u2")
                 yield pa.record_batch(
                     {
-                        "doc_id": batch.column("doc_id").slice(start, stop - start),
-                        "text_key": batch.column("text_key").slice(start, stop - start),
-                        "weight": pa.array(np.bincount(row, weights=times, minlength=stop - start).astype(np.int64)),
+                        "text_key": pa.array(list(members), pa.binary()),
+                        "members": pa.array(list(members.values()), pa.list_(pa.int64())),
+                        "first": pa.array(list(map(min, members.values())), pa.int64()),
+                        "weight": pa.array(np.bincount(row, weights=times, minlength=n).astype(np.int64)),
                         "keys": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat),
                         "sign": pa.array([s.tobytes() if f else None for s, f in zip(short, some, strict=True)], pa.binary()),
                     }
@@ -166,27 +177,17 @@ def _cells(members: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document id: (doc_id, class_id, n_links, kept).
-
-    class_id: least doc_id of the group; a group is connected by links, a link being a
-    weighted Jaccard similarity of at least `threshold` between the multisets of `width`-word
-    shingles (lower-cased words; a text of fewer words is one shingle). n_links: other texts
-    that were found directly linked on the way to the components. kept: doc_id = class_id.
-    Equal texts are one group; a null text, and a text without any word unless equal to another,
-    is a group of its own. Rows without a doc_id are left out; repeated rows give one row.
-    Only doc_id and text are read, so other columns may have any names.
-    """
+def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The members of all texts, (text_key, members), and what becomes of each distinct text,
+    (text_key, first, class_id, stays): its least doc_id, its group's, and whether it is the group's text that stays."""
     m = bands * rows
     need = math.ceil(m * threshold - 4.2 * math.sqrt(m * threshold * (1 - threshold)))
-    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    # A null text has a key of its own; equal texts share a 256-bit one.
-    keyed = base.select("doc_id", F.coalesce(F.unhex(F.sha2("text", 256)), F.encode(F.concat(F.lit("null "), F.col("doc_id").cast("string")), "utf-8")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = materialise(keyed.mapInArrow(_sign(bands, rows, width), "doc_id long, text_key binary, weight long, keys array<long>, sign binary"))
-    least = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"))
-    # One row per class of equal texts; the join may be split where one text has very many copies.
-    owner = signed.join(least, "text_key").select("doc_id", "id", "weight", "keys", "sign")
-    classes = materialise(owner.where((F.col("doc_id") == F.col("id")) & F.col("sign").isNotNull()).dropDuplicates(["id"]).select("id", "weight", "keys", "sign"))
+    base = _keyed(docs).where("doc_id IS NOT NULL")
+    signed = materialise(base.mapInArrow(_sign(bands, rows, width), "text_key binary, members array<long>, first long, weight long, keys array<long>, sign binary"))
+    # One row per distinct text, numbered; tasks have joined the copies that they met, so a text of very many copies is few rows.
+    merged = signed.groupBy("text_key").agg(F.min("first").alias("first"), F.any_value("weight").alias("weight"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign"))
+    texts_of = materialise(merged.withColumn("id", F.monotonically_increasing_id()))
+    classes = texts_of.where(F.col("sign").isNotNull()).select("id", "weight", "keys", "sign")
 
     places = classes.select("id", F.posexplode("keys").alias("band", "key")).withColumn("order", F.xxhash64("id", (F.col("band") % LEADERS)))
     buckets = places.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "order").alias("leader")).where("n > 1")
@@ -195,8 +196,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     signs = classes.select("id", "sign")
     near = _alike(stars, signs, need)
 
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialise(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"))
+    wanted = members.select("id").distinct().join(texts_of.select("id", F.col("first").alias("doc_id"), "text_key"), "id")
+    texts = materialise(base.join(wanted, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"]))
     first = materialise(_verified(near, texts, threshold, width))
     found = components(first)
 
@@ -211,11 +212,40 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     group = components(large.select("id", F.col("leader").alias("to")), "id", "to")
     dealt = _cells(large.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id").join(classes.select("id", "weight"), "id").join(texts, "id"), threshold)
     third = dealt.mapInArrow(_connect(threshold, width), "a long, b long")
-    links = materialise(first.unionByName(second).unionByName(third).distinct())
-    groups = components(links)
-    degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    result = owner.select("doc_id", "id").distinct().join(groups.join(degree, "id"), "id", "left")
-    return result.select("doc_id", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == F.coalesce("component", "id")).alias("kept"))
+    links = first.unionByName(second).unionByName(third).distinct()
+
+    own = texts_of.select("id", "text_key", "first")
+    grouped_ = own.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    top = grouped_.groupBy("component").agg(F.min(F.struct("first", "id")).alias("top"))
+    named = grouped_.join(top, "component").select("text_key", "first", F.col("top.first").alias("class_id"), (F.col("id") == F.col("top.id")).alias("stays"))
+    return signed.select("text_key", "members"), named
+
+
+def _text_key() -> Column:
+    """Equal texts share a 256-bit key, a null text has one of its own document."""
+    return F.coalesce(F.unhex(F.sha2("text", 256)), F.encode(F.concat(F.lit("null "), F.col("doc_id").cast("string")), "utf-8"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text)"""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: (doc_id, class_id, kept).
+
+    class_id: least doc_id of the group; a group is connected by links, a link being a
+    weighted Jaccard similarity of at least `threshold` between the multisets of `width`-word
+    shingles (lower-cased words; a text of fewer words is one shingle). kept: whether this is the
+    document of the group that stays, the one with the class_id.
+    Equal texts are one group; a null text, and a text without any word unless equal to another,
+    is a group of its own. Rows without a doc_id are left out; repeated rows give one row, different
+    texts under one doc_id are documents of their own, each with a row, and at most one of a group is kept.
+    Only doc_id and text are read, so other columns may have any names.
+    """
+    members, named = _classes(docs, threshold, width, bands, rows)
+    each = members.join(named, "text_key").select(F.explode("members").alias("doc_id"), "class_id", F.col("stays"), "text_key")
+    return each.distinct().select("doc_id", "class_id", (F.col("stays") & (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
 def _alike(pairs: DataFrame, signs: DataFrame, need: int) -> DataFrame:
@@ -237,11 +267,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int)
     return both.select("a", "b", "left", "right").mapInArrow(_verify(threshold, width), "a long, b long")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps: one row of each group.
 
-    Of repeated rows with one doc_id one stays; rows without a doc_id all stay.
+    Of repeated rows with one doc_id and text one stays; different texts of one doc_id are told apart;
+    rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    _, named = _classes(docs, threshold, width, bands, rows)
+    keys = named.where("stays").select(F.col("first").alias(OWN_ID), F.col("text_key").alias(OWN_KEY))
+    once = docs.where(F.col("doc_id").isNotNull()).withColumns({OWN_ID: F.col("doc_id").cast("long"), OWN_KEY: _text_key()}).join(keys, [OWN_ID, OWN_KEY], "left_semi").dropDuplicates([OWN_ID, OWN_KEY])
+    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

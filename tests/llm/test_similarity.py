@@ -255,3 +255,11 @@ def test_fingerprints_chain_rows_without_ids(spark):
     # Every row without an id is followed by another one, and the last by the first of all.
     rest = {t or "" for i, t, _ in rows if i is None} | {named[0][1]}
     assert all(any(h == sha256(fingerprint.edited(t, after).encode()).hexdigest() for t in rest for after in rest) for h in by_id[None])
+
+
+def test_texts_of_one_document_are_kept_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = documents(spark, [(1, a, None), (1, b, None), (2, a, None), (3, b + " more", None), (4, "c d", None), (1, a, None)])
+    got = sorted(tuple(r) for r in neardup.near_duplicates(rows).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    assert sorted((r.doc_id, r.text) for r in neardup.deduplicate(rows).collect()) == [(1, a), (1, b), (4, "c d")]

@@ -23,10 +23,15 @@ from pyspark.sql import functions as F
 from lexibridge.llm.common import materialise
 
 CAPACITY = 2048
-#: Ranks within a length are counted in so many independent slices, so that a length that a third of all pieces share is no single task.
+#: Pieces of one length that a slice holds, about: ranks within a length are counted in independent slices,
+#: so that a length that a third of all pieces share is no single task. SLICES: the least number of them.
+SLICE_PIECES = 200_000
 SLICES = 64
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Characters of the words whose ids a worker keeps; longer words than CACHE_LONGEST are not kept.
+CACHE_CHARS = 4_000_000
+CACHE_LONGEST = 64
+#: Texts on which a tokenizer must agree with its words taken one by one.
+PROBE = ("Plain words, 12 numbers & (signs)! a-b_c [x]{y} <z> don't ÄÖß é", "two  blanks\nand\n\nlines \u00a0 wide\u3000blank\ttab", "日本語 🙂 <|endoftext|> x", " <| edge |> ' ''s")
 
 
 class FreeSpace:
@@ -114,13 +119,17 @@ class RunIds(dict):
     """Ids of runs of plain characters, each looked up in the tokenizer's model once."""
 
     def __init__(self, model):
-        self.tokenize, self.letters = model.tokenize, _byte_letters()
+        self.tokenize, self.letters, self.held = model.tokenize, _byte_letters(), 0
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         tokens = self.tokenize(run.encode().decode("latin-1").translate(self.letters))
-        ids = self[run] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        if len(run) <= CACHE_LONGEST:
+            self.held += len(run)
+            if self.held > CACHE_CHARS:
+                self.clear()
+                self.held = len(run)
+            self[run] = ids
         return ids
 
 
@@ -130,7 +139,8 @@ class WordIds:
     For vocabularies whose pre-tokeniser drops white space: no token and no normalisation
     reaches over a blank or line feed, so a text's ids are those of its pieces between them
     (special strings hold no white space either). Words of plain characters are cut into
-    runs that the tokenizer's model encodes directly; all others take its whole path.
+    runs that the tokenizer's model encodes directly; all others take its whole path. Whether
+    a tokenizer is of this kind is tried on loading; another one encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -140,22 +150,39 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[str, bytes] = {}
+        self.held, self.passing = 0, []
         self.runs = RunIds(self.tokenizer.model)
+        self.by_words = self.by_runs = True
+        signs = " ".join(chr(c) for c in [*range(33, 127), *range(161, 256)])
+        for text in (*PROBE, signs, signs.replace(" ", ""), signs.replace(" ", "a")):
+            self.by_runs = self.by_runs and self.encode([text]) == self._whole([text])
+        if not self.by_runs:
+            self.words = {}
+            for text in PROBE:
+                self.by_words = self.by_words and self.encode([text]) == self._whole([text])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._whole(texts)
         words = [t.replace("\n", " ").split(" ") for t in texts]
+        for w in self.passing:
+            del self.words[w]
         new = {w for ws in words for w in ws}.difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {}
+        if self.held > CACHE_CHARS:
+            self.words, self.held = {}, 0
             new = {w for ws in words for w in ws}
         odd, run = [], self.runs.__getitem__
         for w in new:
-            if PLAIN.fullmatch(w) and "<|" not in w:
+            if self.by_runs and PLAIN.fullmatch(w) and "<|" not in w:
                 self.words[w] = b"".join(map(run, RUNS.findall(w.lower())))
             else:
                 odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        self.words.update(zip(odd, self._whole(odd), strict=True))
+        self.passing = [w for w in new if len(w) > CACHE_LONGEST]
+        self.held += sum(map(len, new)) - sum(map(len, self.passing))
         return [b"".join(map(self.words.__getitem__, ws)) for ws in words]
 
 
@@ -218,30 +245,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     them goes where follows a hash of their columns. No pieces give no rows.
     """
     columns = pieces.columns
-    sliced = materialise(pieces.withColumn("slice", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(SLICES)).cast("int")))
-    counts = sliced.groupBy("length", "slice").agg(F.count("*").alias("n")).collect()  # at most capacity * SLICES rows
-    lengths: dict[int, int] = {}
-    before = {}
-    for length, part, n in sorted(counts):
-        before[length, part] = lengths.get(length, 0)
-        lengths[length] = lengths.get(length, 0) + n
-    table = plan(lengths, capacity)
-    starts = np.zeros((capacity + 1, SLICES), np.int64)
-    for (length, part), n in before.items():
-        starts[length, part] = n
-    ranked = sliced.withColumn("rank", (F.row_number().over(Window.partitionBy("length", "slice").orderBy(*[F.col(f"`{c}`") for c in columns])) - 1).cast("long"))
+    own = [F.col(f"`{c}`") for c in columns]
+    held = materialise(pieces)
+    lengths = {r[0]: r[1] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    slices = max(SLICES, -(-max(lengths.values(), default=0) // SLICE_PIECES))
+    sliced = held.withColumn("_slice", F.pmod(F.xxhash64(*own), F.lit(slices)).cast("int"))
+    # Pieces of a length in the slices before: at most `capacity` windows of `slices` rows.
+    counts = sliced.groupBy("length", "_slice").agg(F.count("*").alias("n"))
+    along = Window.partitionBy("length").orderBy("_slice")
+    starts = counts.select("length", "_slice", (F.sum("n").over(along) - F.col("n")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*own)) - 1
+    ranked = sliced.withColumn("_within", within).join(starts, ["length", "_slice"]).select(*own, (F.col("_within") + F.col("_start")).cast("long").alias("rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    place = _place(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def moved() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                base = starts[b.column("length").to_numpy(), b.column("slice").to_numpy()]
-                yield pa.record_batch([b.column(c) for c in columns] + [pa.array(b.column("rank").to_numpy() + base)], names=[*columns, "rank"])
-
-        return place(moved())
-
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(_place(plan(lengths, capacity)), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:

@@ -7,6 +7,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexibridge.llm import packing, sharding
@@ -139,3 +140,29 @@ def test_word_ids_equal_library():
     texts = ODD + [a + b for a in ODD for b in ODD]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_encode_as_the_library():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        library, own = Tokenizer.from_file(path), packing.WordIds(path)
+        texts = ["Two  words, 3 signs!", "a\nb\n\nc", "don't é 日本 🙂", "<|endoftext|>", "", "x" * 5000 + " y"]
+        for _ in range(2):
+            assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert own.by_words == (name == "word_bpe_49k.json")
+
+
+def test_many_slices_rank_as_few(spark, monkeypatch):
+    rows = spark.range(3000).select("id", (F.col("id") % 7 + 1).alias("length"))
+    monkeypatch.setattr(packing, "SLICE_PIECES", 3)
+    got = packing.pack(rows, 10).collect()
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in by_sequence.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 10
+    assert len(by_sequence) == -(-sum(r.length for r in got) // 10)

@@ -44,3 +44,28 @@ def align_exact_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT side, count(*) FILTER (WHERE running) AS running, count(*) AS units FROM r GROUP BY side""")
 def running_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.running_matter(units(spark, sf_dir)).groupBy("side").agg(F.count_if("running").alias("running"), F.count("*").alias("units"))
+
+
+@query(rf"""WITH {_UNITS_SQL}, k AS (SELECT pair_id, side, regexp_extract(text, '^([0-9]+(?:\.[0-9]+){{0,5}})(?:[.)、]|\s)', 1) AS key, unit_index FROM units), f AS (SELECT pair_id, side, key, min(unit_index) AS i FROM k WHERE key <> '' GROUP BY 1, 2, 3)
+SELECT a.pair_id, a.key, CAST(a.i AS BIGINT) AS s, CAST(b.i AS BIGINT) AS t FROM f a JOIN f b ON a.pair_id = b.pair_id AND a.key = b.key AND a.side = 'source' AND b.side = 'target'""")
+def align_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.aligned_by_number(units(spark, sf_dir)).select("pair_id", "key", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"))
+
+
+@query(rf"""WITH {_UNITS_SQL}, c AS (SELECT pair_id, side, unit_index // 6 AS tab, unit_index % 6 // 2 AS "row", unit_index % 2 AS cell, unit_index FROM units), sh AS (SELECT pair_id, side, tab, max("row") AS r, max(cell) AS c, count(*) AS n FROM c GROUP BY 1, 2, 3),
+m AS (SELECT a.pair_id, a.tab FROM sh a JOIN sh b ON a.side = 'source' AND b.side = 'target' AND a.pair_id = b.pair_id AND a.tab = b.tab AND a.r = b.r AND a.c = b.c AND a.n = b.n)
+SELECT pair_id, CAST(unit_index AS BIGINT) AS s, CAST(unit_index AS BIGINT) AS t FROM c JOIN m USING (pair_id, tab) WHERE side = 'source'""")
+def align_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units taken for cells of tables of three rows and two columns."""
+    i = F.col("unit_index")
+    cells = units(spark, sf_dir).select("pair_id", "side", F.floor(i / 6).alias("table"), F.floor(i % 6 / 2).alias("row"), (i % 2).alias("cell"), "unit_index")
+    return A.table_anchors(cells).select("pair_id", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"))
+
+
+@query(rf"""WITH {_UNITS_SQL}, t AS (SELECT pair_id, side, string_agg(text, ' ' ORDER BY unit_index) AS text FROM units GROUP BY 1, 2) SELECT pair_id, coalesce(max(text) FILTER (WHERE side = 'source'), '') AS source_text, coalesce(max(text) FILTER (WHERE side = 'target'), '') AS target_text FROM t GROUP BY 1""")
+def aligned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments made of all pairs, put together again in order: the texts of both sides, nothing lost."""
+    own = units(spark, sf_dir)
+    made = A.pair_segments(A.align(own, repair=True), own, spark.createDataFrame([], "pair_id long, pair_order int"))
+    joined = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pair_order", c))), lambda x: x[c]), lambda t: t != ""), " ").alias(c)
+    return made.groupBy("pair_id").agg(joined("source_text"), joined("target_text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexibridge.functions import languages as G
 from lexibridge.functions import text as T
 from lexibridge.plans import views as V
 from lexibridge.plans.registry import query
@@ -62,44 +63,22 @@ def language_detect_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("found.language").alias("script_language"), F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters"))
 
 
-# Frequent words of four languages (public knowledge), by which Latin-script texts are told apart.
-STOPWORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "was", "on", "be", "this", "are", "by", "from", "not"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "qui", "est", "dans", "pour", "par", "sur", "avec"],
-    "de": ["der", "die", "und", "das", "von", "zu", "den", "mit", "ist", "im", "nicht", "ein", "eine", "für", "auf", "dem", "des", "sich"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al"],
-}
-DIACRITICS = {"en": None, "fr": "[àâæçèêëîïôœùûÿ]", "de": "[äöüß]", "es": "[áíóúñ¿¡]"}
-
-
 def _latin_sql() -> str:
-    scores = ", ".join(
-        f"len(list_filter(t, lambda x: list_contains([{', '.join(repr(w) for w in ws)}], x)))" + (f" + CASE WHEN regexp_matches(low, '{DIACRITICS[k]}') THEN 3 ELSE 0 END" if DIACRITICS[k] else "") + f" AS s_{k}" for k, ws in STOPWORDS.items()
-    )
-    return rf"""SELECT doc_id, n_tokens, CASE WHEN n_tokens < 4 THEN NULL WHEN best <= 0 THEN NULL WHEN best < 2 AND n_tokens > 12 THEN NULL
-    WHEN s_en = best THEN 'en' WHEN s_fr = best THEN 'fr' WHEN s_de = best THEN 'de' ELSE 'es' END AS latin_language, best AS best_score FROM (
-    SELECT *, greatest(s_en, s_fr, s_de, s_es) AS best FROM (SELECT doc_id, len(t) AS n_tokens, {scores} FROM (
-    SELECT doc_id, lower(text) AS low, list_slice(regexp_extract_all(lower(text), '[a-zß-öø-ÿ]+'), 1, 300) AS t FROM documents)))"""
-
-
-def _one_of(words: list[str]):
-    return lambda x: x.isin(words)
+    column = lambda k: "s_" + k.replace("-", "_").lower()
+    hits = lambda ws: f"len(list_filter(t, lambda x: list_contains([{', '.join(map(repr, ws))}], x)))"
+    scores = ", ".join(hits(ws) + (f" + CASE WHEN regexp_matches(low, '[{G.LETTERS[k]}]') THEN {G.HINT} ELSE 0 END" if k in G.LETTERS else "") + f" AS {column(k)}" for k, ws in G.STOPWORDS.items())
+    first = " ".join(f"WHEN {column(k)} = best THEN '{k}'" for k in G.STOPWORDS)
+    return rf"""SELECT doc_id, n_tokens, CASE WHEN n_tokens < 4 THEN NULL WHEN best <= 0 AND n_tokens >= 8 AND letters > 0 AND plain >= letters * {G.BASIC} THEN 'en-US' WHEN best <= 0 THEN NULL WHEN best < 2 AND n_tokens > 12 THEN NULL
+    {first} END AS latin_language, best AS best_score FROM (
+    SELECT *, greatest({', '.join(map(column, G.STOPWORDS))}) AS best FROM (SELECT doc_id, letters, plain, len(t) AS n_tokens, {scores} FROM (
+    SELECT doc_id, lower(text) AS low, len(regexp_extract_all(text, '\pL')) AS letters, len(regexp_extract_all(text, '[A-Za-z]')) AS plain, list_transform(list_slice(regexp_extract_all(text, '{G.TOKEN}'), 1, {G.TOKENS}), lambda x: lower(x)) AS t FROM documents)))"""
 
 
 @query(_latin_sql())
 def language_detect_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent-word hits among the first 300 tokens, three more for a diacritic; ties by the listed order."""
-    low = F.lower("text")
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", low.alias("low"), F.slice(F.regexp_extract_all(low, F.lit("([a-zß-öø-ÿ]+)"), 1), 1, 300).alias("t"))
-    scores = {}
-    for k, ws in STOPWORDS.items():
-        hits = F.size(F.filter("t", _one_of(ws)))
-        scores[k] = hits + F.when(F.col("low").rlike(DIACRITICS[k]), 3).otherwise(0) if DIACRITICS[k] else hits
-    scored = docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), *[s.cast("long").alias(f"s_{k}") for k, s in scores.items()]).withColumn("best", F.greatest(*[f"s_{k}" for k in scores]))
-    language = F.when((F.col("n_tokens") < 4) | (F.col("best") <= 0) | ((F.col("best") < 2) & (F.col("n_tokens") > 12)), None)
-    for k in scores:
-        language = language.when(F.col(f"s_{k}") == F.col("best"), k)
-    return scored.select("doc_id", "n_tokens", language.alias("latin_language"), F.col("best").alias("best_score"))
+    """Frequent-word hits among the first 300 tokens, three more for a telling letter; ties by the listed order."""
+    found = V.table(spark, sf_dir, "documents").select("doc_id", F.size(F.slice(F.regexp_extract_all("text", F.lit(f"({G.TOKEN})"), 1), 1, G.TOKENS)).cast("long").alias("n_tokens"), G.latin_language("text").alias("l"))
+    return found.select("doc_id", "n_tokens", F.col("l.language").alias("latin_language"), F.col("l.score").cast("long").alias("best_score"))
 
 
 @query(f"WITH {V.SEGMENTS_SQL} SELECT file_id, seg_idx, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN seg_idx % 3 = 0 THEN NULL ELSE seg_idx % 3 END NULLS FIRST, seg_idx) - 1 AS display_index FROM segments")

@@ -43,3 +43,41 @@ def test_script_language(spark):
     texts = [("ひらがなです", "ja-JP"), ("안녕하세요", "ko-KR"), ("привет мир", "ru-RU"), ("软件架构遵循", "zh-CN"), ("plain text", None), ("", None)]
     df = spark.createDataFrame(texts, "t string, want string").select("want", T.script_language("t")["language"].alias("got"))
     assert [r.want for r in df.collect()] == [r.got for r in df.collect()]
+
+
+def test_languages_of_latin_texts(spark):
+    from lexibridge.functions import languages
+
+    cases = [("the cat and the dog are in the house", "en-US"), ("der Hund und die Katze sind für uns nicht zu sehen", "de-DE"), ("el coche es de la casa y los ordenador", "es-ES"), ("une maison dans la rue avec des fleurs", "fr-FR"), ("one two", None), ("", None), (None, None), ("zzz xxx qqq www kkk jjj ppp vvv", "en-US")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.l for r in df.select("i", languages.latin_language("t").alias("l")).collect()}
+    assert [got[i].language for i in range(len(cases))] == [w for _, w in cases]
+    assert (got[7].confidence, got[4].confidence) == (0.52, 0.0)
+    # 5 hits of 9 tokens: the bound of 0.3, the whole margin and basic letters, held at 0.93.
+    assert got[0].confidence == 0.93
+
+
+def test_difference_markup_and_comparable_text(spark):
+    from lexibridge.functions import similarity
+
+    df = spark.createDataFrame([("a red <b>", "a blue <b>"), ("x", None), ("Ａ-b_ß!", "你好")], "s string, m string")
+    got = [tuple(r) for r in df.select(similarity.difference_markup("s", "m"), similarity.comparable_text("s")).collect()]
+    assert got == [("a <del>red</del><ins>blue</ins> &lt;b&gt;", "aredb"), ("<del>x</del>", "x"), ("<del>Ａ-b_ß!</del><ins>你好</ins>".replace("Ａ-b_ß!", "-b!"), "abss")]
+
+
+def test_hashed_embedding_by_its_definition(spark):
+    from hashlib import blake2b
+
+    import numpy as np
+
+    from lexibridge.functions import similarity
+
+    text = "Two words."
+    core, v = "Two words", np.zeros(similarity.DIMENSIONS)
+    names = [f"char:{c}" for c in "Twowords"], [f"bigram:{a}{b}" for a, b in zip("Twowords", "wowords")], ["word:Two", "word:words"], ["word_bigram:" + core]
+    for group, weight in zip(names, (0.75, 1.25, 1.0, 1.1)):
+        for name in group:
+            d = blake2b(name.encode(), digest_size=16).digest()
+            v[int.from_bytes(d[:4], "big") % len(v)] += weight if d[4] % 2 == 0 else -weight
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(similarity.hashed_embedding("t").alias("e")).collect()
+    assert got[0].e == (v / np.linalg.norm(v)).round(8).tolist() and not any(got[1].e) and not any(got[2].e)

@@ -61,15 +61,20 @@ def trigram_candidates(queries: DataFrame, entries: DataFrame, threshold: float
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= recall)
 
 
-def fuzzy_matches(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, results: int = RESULTS) -> DataFrame:
+def fuzzy_matches(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, results: int = RESULTS, vectors: DataFrame | None = None) -> DataFrame:
     """Candidates re-ranked by the sequence ratio: query_id, entry_id, score, rank.
 
-    score: the better of trigram similarity and ratio, rounded to four digits, at most 0.99 unless the
-    match texts are equal; results below the threshold go. The ratio runs on recalled pairs alone.
+    score: the better of trigram similarity and ratio, raised by the vector score where `vectors` (query_id, entry_id, score)
+    has one, rounded to four digits, at most 0.99 unless the match texts are equal; results below the threshold go.
+    The ratio runs on recalled pairs alone, those of both recalls.
     """
     recalled = trigram_candidates(queries, entries, threshold)
+    if vectors is not None:
+        asked = queries.where(fuzzy_allowed("text")).select("query_id")
+        recalled = recalled.join(vectors.join(asked, "query_id", "left_semi").select("query_id", "entry_id", F.col("score").alias("vector")), ["query_id", "entry_id"], "full")
     texts = recalled.join(queries.select("query_id", T.match_or_normalized("text").alias("a")), "query_id").join(entries.select("entry_id", T.match_or_normalized("source_text").alias("b")), "entry_id")
-    score = F.greatest("similarity", S.sequence_ratio("a", "b"))
+    lexical = F.greatest("similarity", S.sequence_ratio("a", "b"))
+    score = lexical if vectors is None else S.blend(lexical, F.col("vector"))
     capped = F.when(F.col("a") == F.col("b"), score).otherwise(F.least(score, F.lit(0.99)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return texts.select("query_id", "entry_id", F.round(capped, 4).alias("score")).where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= results)
@@ -90,11 +95,21 @@ def vector_matches(queries: DataFrame, entries: DataFrame, floor: float = VECTOR
 
 
 def word_overlap(queries: DataFrame, entries: DataFrame, floor: float = 0.2, results: int = 5) -> DataFrame:
-    """Entries by the share of their distinct words that a query holds: query_id, entry_id, score, rank."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    q = queries.select("query_id", F.explode(words("text")).alias("word"))
-    e = entries.select("entry_id", words("source_text").alias("words")).where(F.size("words") > 0).select("entry_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    scored = q.join(e, "word").groupBy("query_id", "entry_id").agg((F.count("*") / F.first("n")).alias("score")).where(F.col("score") >= floor)
+    """Entries by the share of their distinct words that a query holds: query_id, entry_id, score, rank.
+
+    An entry that a query holds a share of `floor` of has one of its rarest words in the query, if so many are
+    looked at that the rest falls short (prefix filtering): only those are joined, then the pair is scored once.
+    """
+    words = lambda c: F.transform(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")), lambda w: F.xxhash64(w))
+    q = queries.select("query_id", words("text").alias("own"))
+    e = entries.select("entry_id", words("source_text").alias("words")).where(F.size("words") > 0)
+    each = q.select("query_id", F.explode("own").alias("word"))
+    frequency = each.groupBy("word").agg(F.count("*").alias("f"))
+    long = e.select("entry_id", F.size("words").alias("n"), F.explode("words").alias("word")).join(frequency, "word", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("entry_id").orderBy("f", "word"))
+    rare = long.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * floor - 1e-9) + 1) & (F.col("f") > 0)).select("entry_id", "word")
+    pairs = each.join(rare, "word").select("query_id", "entry_id").distinct()
+    scored = pairs.join(q, "query_id").join(e, "entry_id").select("query_id", "entry_id", (F.size(F.array_intersect("own", "words")) / F.size("words")).alias("score")).where(F.col("score") >= floor)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= results)
 

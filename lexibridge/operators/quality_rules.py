@@ -49,6 +49,8 @@ def tokens(c: str, pattern: str) -> Column:
 def bag_difference(a: Column, b: Column) -> Column:
     """Elements of `a` beyond their number in `b`, sorted, one for each excess copy."""
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    # Most pairs agree: then nothing is counted.
+    a = F.when(F.array_sort(a) == F.array_sort(b), F.slice(a, 1, 0)).otherwise(a)
     extra = F.transform(F.array_sort(F.array_distinct(a)), lambda x: F.array_repeat(x, F.greatest(F.lit(0), count(a, x) - count(b, x))))
     return F.flatten(extra)
 
@@ -95,8 +97,18 @@ def _camel() -> Column:
     return F.transform(odd, lambda x: F.struct(F.lit(0).alias("offset"), F.length(x).cast("int").alias("length"), x.alias("detail"))).cast(FINDING)
 
 
-def rules(threshold: float = 50.0) -> dict[str, Column]:
-    """Every rule that built-in functions express. threshold: percent for the word count rules."""
+PLACEHOLDER = "⟦((?:MATH|LB)_[0-9]+)⟧"
+
+
+def _placeholders_missing() -> Column:
+    """Placeholders that the target has fewer of than the source, once each."""
+    lost = F.array_distinct(bag_difference(tokens("source_text", PLACEHOLDER), tokens("target_text", PLACEHOLDER)))
+    return F.transform(lost, lambda x: F.struct(F.greatest(F.length(F.rtrim("target_text")) - 1, F.lit(0)).cast("int").alias("offset"), F.lit(1).alias("length"), x.alias("detail"))).cast(FINDING)
+
+
+def rules(threshold: float = 50.0, french: bool = False) -> dict[str, Column]:
+    """Every rule that built-in functions express. threshold: percent for the word count rules. french: whether the rows
+    have a target_language, of which French asks for a space before high marks."""
     s, t = F.col("source_text"), F.col("target_text")
     sw, tw = _words("source_text"), _words("target_text")
     first = lambda c: F.regexp_extract(c, "([A-Za-z])", 1)
@@ -105,6 +117,8 @@ def rules(threshold: float = 50.0) -> dict[str, Column]:
         "target_without_tag": _one(s.rlike("<[a-zA-Z/][^>]*>") & ~t.rlike("<[a-zA-Z/][^>]*>")),
         "target_tag_missing": _tags_missing(),
         "ending_punctuation_mismatch": _one(_ending("source_text").isNotNull() & ~_ending("source_text").eqNullSafe(_ending("target_text")), F.length(F.rtrim(t)) - 1, 1, F.right(F.rtrim(t), F.lit(1))),
+        "target_placeholder_missing": _placeholders_missing(),
+        "punctuation_leading_missing_space": F.when(F.lower(F.coalesce(F.col("target_language"), F.lit(""))).rlike("^fr"), _runs("[^\\s  «:;!?/][!?;:](?!//)")).otherwise(_none()) if french else _none(),
         "repeated_punctuation": F.filter(_runs(r"([.,;:!?、，。；：！？])\2+", 1), lambda x: x["detail"] != "..."),
         "extra_space_after_punctuation": _runs("[,;:!?.] {2,}|[，。；：！？、] +"),
         "missing_space_after_punctuation": _runs("[,;:!?][A-Za-z]"),
@@ -181,6 +195,38 @@ def issues(pairs: DataFrame, enabled: list[str] | None = None, threshold: float
     return each.select(*keys, "rule", F.col("f.offset").alias("offset"), F.col("f.length").alias("length"), F.col("f.detail").alias("detail"))
 
 
+#: Names of rules, whether each is on, how grave it is, and the bounds of its threshold.
+SEVERITIES = ("low", "medium", "high")
+THRESHOLD, LEAST, MOST = 50, 1, 500
+
+
+def rule_settings(given: dict | None, known: list[str]) -> dict[str, dict]:
+    """One setting for every known rule: enabled, severity, threshold. What is given counts where it is of the right
+    kind; thresholds are held within 1..500, unknown rules and values give way to the defaults."""
+    out = {}
+    for k in known:
+        own = (given or {}).get(k) or {}
+        own = own if isinstance(own, dict) else {"enabled": bool(own)}
+        try:
+            threshold = min(MOST, max(LEAST, int(own.get("threshold", THRESHOLD))))
+        except (TypeError, ValueError):
+            threshold = THRESHOLD
+        severity = own.get("severity")
+        out[k] = {"enabled": bool(own.get("enabled", True)), "severity": severity if severity in SEVERITIES else "medium", "threshold": threshold}
+    return out
+
+
+def term_inconsistencies(pairs: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
+    """(keys, term_id): segments whose source holds a term (term_id, term, translation) and whose target does not hold its translation."""
+    from lexibridge.operators.terms import term_matches
+
+    # A segment is named by its keys alone; the text's words meet the terms, the targets are looked at afterwards.
+    named = pairs.withColumn("text_id", F.struct(*keys))
+    held = term_matches(named.select("text_id", F.col("source_text").alias("text")), terms.select("term_id", "term")).select("text_id", "term_id")
+    both = held.join(terms.select("term_id", "translation"), "term_id").join(named.select("text_id", "target_text"), "text_id")
+    return both.where(~F.contains(F.lower(F.coalesce("target_text", F.lit(""))), F.lower("translation"))).select("text_id.*", "term_id").distinct()
+
+
 def context_variants(pairs: DataFrame, *keys: str) -> DataFrame:
     """Sources that have several different targets: their number and the segments concerned."""
     source, target = F.lower(F.trim("source_text")), F.trim("target_text")

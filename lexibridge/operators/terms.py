@@ -16,21 +16,36 @@ def is_acronym(term: Column) -> Column:
     return term.rlike("[A-Z]") & ~term.rlike("[a-z]")
 
 
+#: Terms up to which they are sent to every task.
+BROADCAST_TERMS = 1_000_000
+
+
 def term_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Texts (text_id, text) that hold a term (term_id, term) between word boundaries: text_id, term_id, hits.
 
-    Texts are cut into words once; a term is found by its first word in an equi-join and then by its
-    following words, which texts carry as an array: no text meets a term that it shares no word with.
-    Case is ignored but for acronyms.
+    Texts are cut into words once, and into runs of as many words as some term has; a run meets the terms that are
+    equal to it in an equi-join, so no text meets a term by a frequent first word. Case is ignored but for acronyms.
     """
     split = lambda c: F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
-    places = texts.select("text_id", split("text").alias("words")).select("text_id", "words", F.posexplode("words").alias("at", "word"))
-    wanted = terms.select("term_id", split("term").alias("parts"), is_acronym(F.col("term")).alias("exact")).where(F.size("parts") > 0).withColumn("first", F.lower(F.element_at("parts", 1)))
-    n = F.size("parts")
-    here = F.slice("words", F.col("at") + 1, n)
-    lower = lambda xs: F.transform(xs, lambda x: F.lower(x))
-    same = F.when(F.col("exact"), here == F.col("parts")).otherwise(lower(here) == lower(F.col("parts")))
-    return places.join(wanted, F.lower("word") == F.col("first")).where(same).groupBy("text_id", "term_id").agg(F.count("*").alias("hits"))
+    wanted = terms.select("term_id", split("term").alias("parts"), is_acronym(F.col("term")).alias("exact")).where(F.size("parts") > 0)
+    wanted = wanted.select("term_id", "exact", F.array_join("parts", " ").alias("term"), F.size("parts").alias("n"))
+    lengths = sorted(r[0] for r in wanted.select("n").distinct().collect())  # the lengths of terms in words
+    keyed = wanted.withColumn("key", F.lower("term")).drop("n")
+    keyed = F.broadcast(keyed) if wanted.count() <= BROADCAST_TERMS else keyed
+    words = texts.select("text_id", split("text").alias("words"))
+
+    def runs(n: int) -> Column:
+        at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.col("words") if n == 1 else F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " "))
+
+    found = None
+    for n in lengths:
+        own = words.select("text_id", F.explode(runs(n)).alias("run")).withColumn("key", F.lower("run"))
+        hits = own.join(keyed, "key").where(~F.col("exact") | (F.col("run") == F.col("term"))).select("text_id", "term_id")
+        found = hits if found is None else found.unionAll(hits)
+    if found is None:
+        found = texts.join(terms.select("term_id"), F.lit(False)).select("text_id", "term_id")
+    return found.groupBy("text_id", "term_id").agg(F.count("*").alias("hits"))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("term", T.StringType())]))

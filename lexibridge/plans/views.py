@@ -16,8 +16,18 @@ SEGMENT_END = "[\n.]+"
 AS_OF = "2024-01-30"
 
 
+#: Tables whose texts cost far more to look through than to move.
+TEXTS = ("documents", "pages", "conversations", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts in no more partitions than the session has cores is dealt out to all of them.
+
+    Files of a single row group would keep one core busy. A table large enough to fill the cluster is never moved.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() <= cores else rows
 
 
 def _split(df: DataFrame, *keys: str) -> DataFrame:

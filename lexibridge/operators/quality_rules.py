@@ -118,7 +118,7 @@ def rules(threshold: float = 50.0, french: bool = False) -> dict[str, Column]:
         "target_tag_missing": _tags_missing(),
         "ending_punctuation_mismatch": _one(_ending("source_text").isNotNull() & ~_ending("source_text").eqNullSafe(_ending("target_text")), F.length(F.rtrim(t)) - 1, 1, F.right(F.rtrim(t), F.lit(1))),
         "target_placeholder_missing": _placeholders_missing(),
-        "punctuation_leading_missing_space": F.when(F.lower(F.coalesce(F.col("target_language"), F.lit(""))).rlike("^fr"), _runs("[^\\s  «:;!?/][!?;:](?!//)")).otherwise(_none()) if french else _none(),
+        "punctuation_leading_missing_space": F.when(F.lower(F.coalesce(F.col("target_language"), F.lit(""))).rlike("^fr"), _runs(r"[^\s\x{00A0}\x{202F}«:;!?/][!?;:](?!//)")).otherwise(_none()) if french else _none(),
         "repeated_punctuation": F.filter(_runs(r"([.,;:!?、，。；：！？])\2+", 1), lambda x: x["detail"] != "..."),
         "extra_space_after_punctuation": _runs("[,;:!?.] {2,}|[，。；：！？、] +"),
         "missing_space_after_punctuation": _runs("[,;:!?][A-Za-z]"),
@@ -185,9 +185,9 @@ def unbalanced_tags(texts: pd.Series) -> pd.Series:
     return pd.Series([check(t) for t in texts], dtype="object")
 
 
-def issues(pairs: DataFrame, enabled: list[str] | None = None, threshold: float = 50.0) -> DataFrame:
+def issues(pairs: DataFrame, enabled: list[str] | None = None, threshold: float = 50.0, french: bool = False) -> DataFrame:
     """All columns of `pairs` but the texts, with rule, offset, length, detail: one row per finding."""
-    chosen = rules(threshold) | {"unpaired_marks": unpaired_marks("target_text"), "unbalanced_tags": unbalanced_tags("target_text")}
+    chosen = rules(threshold, french) | {"unpaired_marks": unpaired_marks("target_text"), "unbalanced_tags": unbalanced_tags("target_text")}
     chosen = {k: v for k, v in chosen.items() if enabled is None or k in enabled}
     keys = [c for c in pairs.columns if c not in ("source_text", "target_text")]
     found = pairs.select(*keys, F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("found")) for k, v in chosen.items()]).alias("all"))

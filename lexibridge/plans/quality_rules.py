@@ -104,3 +104,27 @@ SELECT source_key, count(DISTINCT target_text) AS targets, count(*) AS segments
 def context_inconsistency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal whole user turns, normalised, with different replies."""
     return Q.context_variants(V.bilingual(spark, sf_dir).withColumn("source_text", T.normalize_text("source_text")))
+
+
+@query(rf"""WITH {V.BILINGUAL_SQL}, b AS (SELECT conv_id, turn, '⟦MATH_1⟧ ' || source_text || ' ⟦LB_2⟧ ⟦LB_2⟧' AS s, CASE WHEN conv_id % 3 = 0 THEN '⟦LB_2⟧ ' WHEN conv_id % 3 = 1 THEN '⟦MATH_1⟧ ⟦LB_2⟧ ⟦LB_2⟧' ELSE '' END || target_text AS t FROM bilingual)
+SELECT conv_id, turn, detail FROM (SELECT *, unnest(['LB_2', 'MATH_1']) AS detail FROM b) WHERE len(regexp_extract_all(t, '⟦' || detail || '⟧')) < len(regexp_extract_all(s, '⟦' || detail || '⟧'))""")
+def qa_placeholder_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders put into segments and partly taken from their targets."""
+    k = F.col("conv_id") % 3
+    rows = V.bilingual(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("⟦MATH_1⟧ "), "source_text", F.lit(" ⟦LB_2⟧ ⟦LB_2⟧")).alias("source_text"), F.concat(F.when(k == 0, "⟦LB_2⟧ ").when(k == 1, "⟦MATH_1⟧ ⟦LB_2⟧ ⟦LB_2⟧").otherwise(""), "target_text").alias("target_text"))
+    return Q.issues(rows, ["target_placeholder_missing"]).select("conv_id", "turn", "detail")
+
+
+@query(rf"""WITH {V.BILINGUAL_SQL}, b AS (SELECT conv_id, turn, replace(target_text, '.', CASE WHEN turn % 4 = 0 THEN ' ?' ELSE '?' END) AS t FROM bilingual WHERE conv_id % 2 = 0) SELECT conv_id, turn, CAST(len(regexp_extract_all(t, '[^\s\x{{A0}}\x{{202F}}«:;!?/][!?;:]')) AS BIGINT) AS findings FROM b WHERE regexp_matches(t, '[^\s\x{{A0}}\x{{202F}}«:;!?/][!?;:]')""")
+def qa_french_leading_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """High marks without the space that French asks for; other languages are not looked at."""
+    rows = V.bilingual(spark, sf_dir).withColumn("target_language", F.when(F.col("conv_id") % 2 == 0, "fr-FR").otherwise("en")).withColumn("target_text", F.when(F.col("turn") % 4 == 0, F.replace("target_text", F.lit("."), F.lit(" ?"))).otherwise(F.replace("target_text", F.lit("."), F.lit("?"))))
+    found = Q.issues(rows, ["punctuation_leading_missing_space"], french=True)
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("findings"))
+
+
+@query(rf"""WITH {V.BILINGUAL_SQL}, b AS (SELECT conv_id, turn, lower(source_text) AS s, lower(target_text) AS t FROM bilingual), w AS (SELECT * FROM (VALUES (1, 'the', 'zzz'), (2, 'and', 'th'), (3, 'that and', 'th')) v(term_id, term, translation))
+SELECT conv_id, turn, term_id FROM b JOIN w ON regexp_matches(s, '(^|[^a-z0-9])' || replace(term, ' ', '[^a-z0-9]+') || '([^a-z0-9]|$)') WHERE NOT contains(t, translation)""")
+def qa_term_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([(1, "the", "zzz"), (2, "and", "TH"), (3, "that and", "th")], "term_id int, term string, translation string")
+    return Q.term_inconsistencies(V.bilingual(spark, sf_dir), terms, "conv_id", "turn")

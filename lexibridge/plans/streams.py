@@ -14,8 +14,11 @@ from lexibridge.streaming import incremental as I
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that all executors share: the cluster's checkpoint folder, a temporary one where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/streams/{uuid.uuid4().hex}"
+    """A folder that all executors share: the cluster's checkpoint folder; a temporary one only on a session without executors."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/streams/{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +63,52 @@ def stream_rematch_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outbox_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = V.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("project_id"), F.col("event_type").alias("source_key"), "ts").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
     return I.coalesced(feed, ["project_id", "source_key"], "ts").join(feed.groupBy("project_id", "source_key").agg(F.sum("n").alias("total"), F.max("event_id").alias("top")), ["project_id", "source_key"]).select("project_id", "source_key", F.col("top").alias("event_id"), "ts", F.col("total").alias("coalesced"))
+
+
+@query("""WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 6 HOURS, ts), time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 6 HOURS]) AS start FROM events)
+SELECT user_id, start, start + INTERVAL 12 HOURS AS stop, count(*) AS requests FROM w GROUP BY 1, 2""")
+def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of every user in windows of twelve hours that begin every six."""
+    done = _completed(I.sliding_activity(_events(spark, sf_dir), "6 hours", "12 hours", late="400 days"), "update")
+    return done.groupBy("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop")).agg(F.max("requests").alias("requests"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 HOURS THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o)
+SELECT user_id, min(ts) AS start, max(ts) AS "last", count(*) AS requests FROM s GROUP BY user_id, n""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events without a pause of thirty hours."""
+    rows = V.table(spark, sf_dir, "events")
+    return I.sessions(rows, "30 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "requests")
+
+
+@query(f"""WITH d AS (SELECT doc_id % 3 AS collection_id, lang AS source_language, text AS source_text, 'T' || doc_id AS target_text, doc_id AS updated_at, sha256({V.normalize_sql("text")}) AS source_hash FROM documents WHERE doc_id % 2 = 0 AND {V.normalize_sql("text")} <> '')
+SELECT collection_id, source_language, source_hash, max_by(target_text, updated_at) AS target_text, max(updated_at) AS updated_at, count(*) AS coalesced FROM d GROUP BY 1, 2, 3""")
+def memory_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed documents on their way to a memory, the last of equal sources."""
+    i = F.col("doc_id")
+    rows = V.table(spark, sf_dir, "documents").select((i % 3).alias("collection_id"), F.col("lang").alias("source_language"), F.lit("xx").alias("target_language"), F.col("text").alias("source_text"), F.concat(F.lit("T"), i).alias("target_text"), (i % 2 == 0).alias("confirmed"), i.alias("updated_at"))
+    return I.memory_outbox(rows).select("collection_id", "source_language", "source_hash", "target_text", "updated_at", "coalesced")
+
+
+@query("""SELECT user_id AS key, CASE WHEN bool_or(event_type = 'purchase' AND value > 100) THEN 'done' WHEN count(*) >= 3 THEN 'failed' ELSE 'pending' END AS state, count(*) AS attempts FROM events GROUP BY 1""")
+def outbox_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tries = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), ((F.col("event_type") == "purchase") & (F.col("value") > 100)).alias("ok"))
+    return I.outbox_states(tries)
+
+
+@query("""WITH s AS (SELECT doc_id, doc_id % 3 = 0 AS confirmed, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'mine' END AS target, doc_id % 5 <> 0 AS met FROM documents)
+SELECT doc_id AS segment_id, CASE WHEN NOT confirmed AND met AND target = '' THEN 'T' || doc_id ELSE target END AS target_text, CAST(CASE WHEN NOT confirmed AND met THEN 0.5 + doc_id % 2 * 0.25 ELSE 0.5 END AS DOUBLE) AS score, CASE WHEN NOT confirmed AND met AND (doc_id % 2 = 1 OR target = '') THEN 2 ELSE 1 END AS version FROM s""")
+def rematched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as segments after a rematch."""
+    i = F.col("doc_id")
+    docs = V.table(spark, sf_dir, "documents")
+    rows = docs.select(i.alias("segment_id"), (i % 3 == 0).alias("confirmed"), F.when(i % 2 == 0, "").otherwise("mine").alias("target_text"), F.lit("m").alias("matched_text"), F.lit(0.5).alias("score"), F.lit(1).alias("version"))
+    new = docs.where(i % 5 != 0).select(i.alias("segment_id"), F.lit("m").alias("matched_text"), (F.lit(0.5) + i % 2 * 0.25).alias("score"), F.concat(F.lit("T"), i).alias("matched_target"))
+    return I.refreshed(rows, new).select("segment_id", "target_text", "score", "version")
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN -1 END, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS BIGINT)) AS words FROM documents")
+def backfilled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts filled in where there were none."""
+    rows = V.table(spark, sf_dir, "documents").withColumn("words", F.when(F.col("doc_id") % 4 == 0, F.lit(-1).cast("long")))
+    return I.backfilled(rows, "words", F.regexp_count("text", F.lit("[A-Za-z0-9]+")).cast("long")).select("doc_id", "words")

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexibridge.functions import text as T
+from lexibridge.functions.similarity import hashed_embedding
+
 #: A collection is matched again at so many pending changes, or when the oldest is so old.
 REMATCH_ROWS, REMATCH_MINUTES = 200, 15
 LATE = "1 day"
@@ -42,9 +45,70 @@ def status_counters(changes: DataFrame, *keys: str) -> DataFrame:
     return changes.groupBy(*keys).agg(F.sum("sign").alias("rows"), *[F.sum(F.when(F.col(f), F.col("sign")).otherwise(0)).alias(f) for f in flags])
 
 
-def rematch_triggers(changes: DataFrame, at: str = "ts", rows: int = REMATCH_ROWS, minutes: int = REMATCH_MINUTES) -> DataFrame:
+def sliding_activity(events: DataFrame, every: str, length: str, at: str = "ts", late: str = LATE) -> DataFrame:
+    """(user_id, start, stop, requests) by windows of `length` that begin every `every`; windows without events are left out."""
+    rows = events.withWatermark(at, late) if events.isStreaming else events
+    return rows.groupBy("user_id", F.window(at, length, every).alias("w")).agg(F.count("*").alias("requests")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "requests")
+
+
+def sessions(events: DataFrame, gap: str, at: str = "ts", late: str = LATE) -> DataFrame:
+    """(user_id, start, last, requests) of runs of events without a pause of `gap` or more."""
+    rows = events.withWatermark(at, late) if events.isStreaming else events
+    return rows.groupBy("user_id", F.session_window(at, gap).alias("w")).agg(F.count("*").alias("requests"), F.max(at).alias("last")).select("user_id", F.col("w.start").alias("start"), "last", "requests")
+
+
+def memory_outbox(segments: DataFrame) -> DataFrame:
+    """Confirmed segments with a target as memory upserts, the last of every collection, languages and source hash:
+    collection_id, source_language, target_language, source_hash, source_text, target_text, updated_at, coalesced."""
+    due = segments.where("confirmed AND trim(coalesce(target_text, '')) <> ''").withColumn("source_hash", T.source_hash("source_text")).where(T.normalize_text("source_text") != "")
+    keys = ["collection_id", "source_language", "target_language", "source_hash"]
+    return coalesced(due.select(*keys, "source_text", "target_text", "updated_at"), keys, "updated_at")
+
+
+#: Times that a change is tried before it is laid aside.
+ATTEMPTS = 3
+
+
+def outbox_states(attempts: DataFrame, most: int = ATTEMPTS) -> DataFrame:
+    """(key, state, attempts) of tries (key, at, ok): done after one that was well, failed after `most`, else pending."""
+    sums = attempts.groupBy("key").agg(F.count("*").alias("attempts"), F.bool_or("ok").alias("ok"))
+    return sums.select("key", F.when(F.col("ok"), "done").when(F.col("attempts") >= most, "failed").otherwise("pending").alias("state"), "attempts")
+
+
+def refreshed(segments: DataFrame, matches: DataFrame) -> DataFrame:
+    """`segments` after a rematch with (segment_id, matched_text, score, matched_target): unconfirmed ones take their match
+    and score, an empty target takes the matched target; version counts up and `changed` says so where anything differs.
+    Confirmed ones stay."""
+    new = matches.select("segment_id", F.struct("matched_text", "score", "matched_target").alias("m"))
+    both = segments.join(new, "segment_id", "left")
+    free = ~F.coalesce("confirmed", F.lit(False)) & F.col("m").isNotNull()
+    empty = F.trim(F.coalesce("target_text", F.lit(""))) == ""
+    to = {"matched_text": F.when(free, F.col("m.matched_text")).otherwise(F.col("matched_text")), "score": F.when(free, F.col("m.score")).otherwise(F.col("score")), "target_text": F.when(free & empty, F.col("m.matched_target")).otherwise(F.col("target_text"))}
+    changed = F.lit(False)
+    for c, v in to.items():
+        changed |= ~F.col(c).eqNullSafe(v)
+    rest = [c for c in segments.columns if c not in (*to, "version")]
+    return both.select(*rest, *[v.alias(c) for c, v in to.items()], (F.col("version") + changed.cast("int")).alias("version"), changed.alias("changed"))
+
+
+def backfilled(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """`rows` with `column` filled where it is null: what batches until nothing changes come to, in one pass."""
+    return rows.withColumn(column, F.coalesce(F.col(column), value))
+
+
+def stale_embeddings(entries: DataFrame, version: int) -> DataFrame:
+    """(entry_id, embedding, version) of the entries whose embedding is missing, of another version or of another text: what a
+    sync writes. entries: entry_id, source_text, embedded_hash, embedded_version."""
+    stale = entries.where(~F.col("embedded_version").eqNullSafe(F.lit(version)) | ~F.col("embedded_hash").eqNullSafe(T.source_hash("source_text")))
+    return stale.select("entry_id", hashed_embedding("source_text").alias("embedding"), F.lit(version).alias("version"))
+
+
+def rematch_triggers(changes: DataFrame, at: str = "ts", rows: int = REMATCH_ROWS, minutes: int = REMATCH_MINUTES, late: str = LATE) -> DataFrame:
     """(collection_id, pending, oldest): emitted when a collection has enough pending changes or the
-    oldest of them is old enough by event time; the count then starts anew. For streams."""
+    oldest of them is old enough by event time; the count then starts anew. For streams.
+
+    late: how far behind the newest event a change may come and still count; time-outs wait as long.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, oldest = state.get if state.exists else (0, None)
@@ -61,7 +125,7 @@ def rematch_triggers(changes: DataFrame, at: str = "ts", rows: int = REMATCH_ROW
             state.update((pending, oldest))
             state.setTimeoutTimestamp(max(oldest + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
 
-    timed = changes.withWatermark(at, "0 seconds").withColumn("at_ms", F.unix_millis(at))
+    timed = changes.withWatermark(at, late).withColumn("at_ms", F.unix_millis(at))
     return timed.groupBy("collection_id").applyInPandasWithState(step, "collection_id long, pending long, oldest long", "pending long, oldest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

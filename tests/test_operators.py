@@ -133,3 +133,21 @@ def test_alignment_covers_every_unit_once(spark):
     assert alignment.integrity(df, pairs).count() == 0
     first = pairs.where("pair_id = 1 AND pair_order = 0").first()
     assert first.src == [0] and first.tgt == [0] and first.method == "anchor"
+
+
+def test_rule_settings_are_normalised():
+    from lexibridge.operators import quality_rules
+
+    got = quality_rules.rule_settings({"a": {"enabled": False, "severity": "high", "threshold": 9999}, "b": {"severity": "odd", "threshold": "x"}, "z": {}}, ["a", "b", "c"])
+    assert got == {"a": {"enabled": False, "severity": "high", "threshold": 500}, "b": {"enabled": True, "severity": "medium", "threshold": 50}, "c": {"enabled": True, "severity": "medium", "threshold": 50}}
+
+
+def test_vector_scores_raise_fuzzy_scores(spark):
+    from lexibridge.operators import memory
+
+    q = spark.createDataFrame([(1, "the quick brown fox")], "query_id int, text string")
+    e = spark.createDataFrame([(1, "the quick brown cat"), (2, "wholly other words")], "entry_id int, source_text string")
+    plain = {r.entry_id: r.score for r in memory.fuzzy_matches(q, e, 0.3).collect()}
+    v = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.99)], "query_id int, entry_id int, score double")
+    raised = {r.entry_id: r.score for r in memory.fuzzy_matches(q, e, 0.3, vectors=v).collect()}
+    assert raised[1] == round(0.65 * plain[1] + 0.35, 4) and 2 not in plain and 2 in raised

@@ -21,3 +21,34 @@ def test_upsert_batches_converge(spark, tmp_path):
     for _ in range(2):  # a repeated batch changes nothing
         merge(two, 1)
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=1").collect()} == {("a", 1), ("b", 3)}
+
+
+def test_rematch_triggers_count_every_change(spark, tmp_path):
+    """Late changes count; what is emitted and what stays pending are all changes."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(1, start + timedelta(minutes=i)) for i in range(450)] + [(2, start + timedelta(minutes=i)) for i in range(3)]
+    table = spark.createDataFrame(rows, "collection_id long, ts timestamp")
+    table.where("minute(ts) < 30").coalesce(1).write.parquet(f"{tmp_path}/in")
+    table.where("minute(ts) >= 30").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = streams._completed(incremental.rematch_triggers(stream, minutes=10_000), "append").collect()
+    # Every change of the one collection came in two parts of more than 200: both fire at once, whole.
+    assert sum(r.pending for r in got if r.collection_id == 1) == 450
+    assert all(r.pending >= 200 for r in got if r.collection_id == 1)
+
+
+def test_stale_embeddings_and_backfill(spark):
+    from pyspark.sql import functions as F
+
+    from lexibridge.functions import text as T
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "entry_id int, source_text string")
+    rows = rows.withColumn("embedded_hash", F.when(F.col("entry_id") < 3, T.source_hash("source_text"))).withColumn("embedded_version", F.when(F.col("entry_id") != 2, 1))
+    assert sorted(r.entry_id for r in incremental.stale_embeddings(rows, 1).collect()) == [2, 3]
+
+
+def test_sessions_end_at_a_pause(spark):
+    rows = spark.sql("SELECT 1 AS user_id, timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT 1, timestamp'2024-01-01 00:09:00' UNION ALL SELECT 1, timestamp'2024-01-01 00:20:00'")
+    assert sorted(r.requests for r in incremental.sessions(rows, "10 minutes").collect()) == [1, 2]

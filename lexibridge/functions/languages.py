@@ -34,31 +34,32 @@ def _one_of(words: list[str]):
     return lambda x: x.isin(words)
 
 
-def latin_scores(c: Column | str) -> Column:
-    """struct(tokens, one score a language): frequent words among the first 300 tokens, three more for a telling letter."""
-    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    tokens = F.transform(F.slice(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), 1, TOKENS), lambda t: F.lower(t))
-    low = F.lower(text)
-    score = {k: F.size(F.filter(tokens, _one_of(ws))) + (F.when(low.rlike(f"[{LETTERS[k]}]"), HINT).otherwise(0) if k in LETTERS else F.lit(0)) for k, ws in STOPWORDS.items()}
-    return F.struct(F.size(tokens).alias("tokens"), *[s.alias(k) for k, s in score.items()])
-
-
 def latin_language(c: Column | str) -> Column:
     """struct(language, score, confidence): the language of most hits, the first listed of equal ones; null below four tokens, without a hit
-    (but English for eight tokens or more in basic letters), and for fewer than two hits in more than twelve tokens."""
+    (but English for eight tokens or more in basic letters), and for fewer than two hits in more than twelve tokens.
+
+    Hits: frequent words among the first 300 tokens, three more for a telling letter anywhere.
+    """
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    found = latin_scores(text)
-    ranked = F.array_sort(F.array(*[F.struct((-found[k]).alias("less"), F.lit(i).alias("place"), F.lit(k).alias("language")) for i, k in enumerate(STOPWORDS)]))
+    low = F.lower(text)
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    basic = (letters > 0) & (F.regexp_count(text, F.lit("[A-Za-z]")) >= letters * BASIC)
+    # Only telling letters that a text has at all are looked for language by language.
+    told = F.array_distinct(F.regexp_extract_all(low, F.lit(f"([{''.join(sorted(set(''.join(LETTERS.values()))))}])"), 1))
+    own = F.struct(F.slice(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), 1, TOKENS).alias("tokens"), told.alias("told"), ((letters > 0) & (F.regexp_count(text, F.lit("[A-Za-z]")) >= letters * BASIC)).alias("basic"))
+
+    def rank(s: Column) -> Column:
+        hits = {k: F.size(F.filter(s["low"], _one_of(ws))) + (F.when(F.exists(s["told"], _one_of(list(LETTERS[k]))), HINT).otherwise(0) if k in LETTERS else F.lit(0)) for k, ws in STOPWORDS.items()}
+        ranked = F.array_sort(F.array(*[F.struct((-h).alias("less"), F.lit(i).alias("place"), F.lit(k).alias("language")) for i, (k, h) in enumerate(hits.items())]))
+        return F.struct(F.size(s["low"]).alias("tokens"), s["basic"].alias("basic"), ranked.alias("ranked"))
 
     def judge(s: Column) -> Column:
         n, best, second = s["tokens"], -s["ranked"][0]["less"], -s["ranked"][1]["less"]
         language = s["ranked"][0]["language"]
-        sure = F.lit(0.5) + F.least(F.lit(0.3), best / n * 2.4) + (best - second) / best * 0.18 + F.when((language == "en-US") & basic, 0.03).otherwise(0.0)
-        out = lambda name, score, confidence: F.struct(name.alias("language"), score.alias("score"), confidence.alias("confidence"))
+        sure = F.lit(0.5) + F.least(F.lit(0.3), best / n * 2.4) + (best - second) / best * 0.18 + F.when((language == "en-US") & s["basic"], 0.03).otherwise(0.0)
+        out = lambda name, score, confidence: F.struct(name.alias("language"), score.alias("score"), confidence.alias("confidence"), n.alias("tokens"))
         none = out(F.lit(None).cast("string"), best, F.lit(0.0))
-        return F.when(n < 4, none).when((best <= 0) & (n >= 8) & basic, out(F.lit("en-US"), best, F.lit(0.52))).when((best <= 0) | ((best < 2) & (n > 12)), none).otherwise(out(language, best, F.round(F.least(F.lit(0.93), sure), 2)))
+        return F.when(n < 4, none).when((best <= 0) & (n >= 8) & s["basic"], out(F.lit("en-US"), best, F.lit(0.52))).when((best <= 0) | ((best < 2) & (n > 12)), none).otherwise(out(language, best, F.round(F.least(F.lit(0.93), sure), 2)))
 
-    # One element, so that the scores are worked out once.
-    return F.transform(F.array(F.struct(found["tokens"].alias("tokens"), ranked.alias("ranked"))), judge)[0]
+    # Arrays of one element, so that every step is worked out once.
+    lowered = F.transform(F.array(own), lambda s: F.struct(F.transform(s["tokens"], lambda t: F.lower(t)).alias("low"), s["told"].alias("told"), s["basic"].alias("basic")))
+    return F.transform(F.transform(lowered, rank), judge)[0]

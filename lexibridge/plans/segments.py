@@ -77,8 +77,8 @@ def _latin_sql() -> str:
 @query(_latin_sql())
 def language_detect_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent-word hits among the first 300 tokens, three more for a telling letter; ties by the listed order."""
-    found = V.table(spark, sf_dir, "documents").select("doc_id", F.size(F.slice(F.regexp_extract_all("text", F.lit(f"({G.TOKEN})"), 1), 1, G.TOKENS)).cast("long").alias("n_tokens"), G.latin_language("text").alias("l"))
-    return found.select("doc_id", "n_tokens", F.col("l.language").alias("latin_language"), F.col("l.score").cast("long").alias("best_score"))
+    found = V.table(spark, sf_dir, "documents").select("doc_id", G.latin_language("text").alias("l"))
+    return found.select("doc_id", F.col("l.tokens").cast("long").alias("n_tokens"), F.col("l.language").alias("latin_language"), F.col("l.score").cast("long").alias("best_score"))
 
 
 @query(f"WITH {V.SEGMENTS_SQL} SELECT file_id, seg_idx, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN seg_idx % 3 = 0 THEN NULL ELSE seg_idx % 3 END NULLS FIRST, seg_idx) - 1 AS display_index FROM segments")

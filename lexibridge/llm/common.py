@@ -43,12 +43,14 @@ def range_number(value: Column, cuts: list[Column]) -> Column:
     return run * step + below(F.get(F.array(*[F.array(*r) for r in runs]), run))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one in no more partitions than the session has cores is dealt out to all of them.
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A table; with `spread`, one in no more partitions than the session has cores is dealt out to all of them.
 
     Files of a single row group would keep one core busy. A table large enough to fill the cluster is never moved.
     """
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not spread:
+        return rows
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 

@@ -13,7 +13,7 @@ from lexibridge.llm.common import table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.shard_documents(table(spark, sf_dir, "documents", spread=False), 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from lexibridge.functions import similarity as S
 from lexibridge.functions import text as T
 from lexibridge.operators import memory as M
 from lexibridge.plans import views as V
-from lexibridge.plans.registry import QUERIES, SQL, query
+from lexibridge.plans.registry import also, query
 
 _BEST_SQL = f"""best AS (SELECT source_hash, arg_min(entry_id, collection_id * 1000000000 + entry_id) AS entry_id, arg_min(target_text, collection_id * 1000000000 + entry_id) AS target_text
 FROM (SELECT *, sha256({V.normalize_sql('source_text')}) AS source_hash FROM memory) GROUP BY source_hash)"""
@@ -99,26 +99,24 @@ def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.memory_entries(spark, sf_dir).select("entry_id", S.hashed_embedding("source_text").alias("embedding"))
 
 
-_KEYED = "lower(left(text, 12))"
-_WHOLE = f"sha256({V.normalize_sql('text')})"
+_KEYED = f"sha256({V.normalize_sql('text')})"
 
 
 @query(f"""WITH k AS (SELECT doc_id, source, {_KEYED} AS key, lang AS target, n_chars FROM documents), v AS (SELECT *, count(*) OVER (PARTITION BY key, target) AS votes FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY votes DESC, n_chars DESC, doc_id) AS place FROM v) SELECT key, doc_id, target, votes FROM r WHERE place = 1""")
-def dedupe_majority_vote(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return M.majority_vote(_keyed(spark, sf_dir, whole), "key", "target", "n_chars", "doc_id").select("key", "doc_id", "target", "votes")
+def dedupe_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.majority_vote(_keyed(spark, sf_dir), "key", "target", "n_chars", "doc_id").select("key", "doc_id", "target", "votes")
 
 
-def _keyed(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    """Keyed by the hash of the whole normalised text, or by its first 12 characters."""
-    key = T.source_hash("text") if whole else F.lower(F.left("text", F.lit(12)))
-    return V.table(spark, sf_dir, "documents").select("doc_id", "source", key.alias("key"), F.col("lang").alias("target"), "n_chars")
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed by the hash of the whole normalised text."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", "source", T.source_hash("text").alias("key"), F.col("lang").alias("target"), "n_chars")
 
 
 @query(f"""WITH g AS (SELECT {_KEYED} AS key, count(*) AS n, count(DISTINCT lang) AS targets FROM documents GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN key IS NULL THEN n ELSE 0 END) AS BIGINT) AS null_keys, count(*) FILTER (WHERE n > 1) AS duplicate_groups, CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_to_delete, count(*) FILTER (WHERE n > 1 AND targets > 1) AS conflicts FROM g""")
-def duplicate_group_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    groups = _keyed(spark, sf_dir, whole).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("target").alias("targets"))
+def duplicate_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = _keyed(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("target").alias("targets"))
     several = F.col("n") > 1
     return groups.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("null_keys"), F.count_if(several).alias("duplicate_groups"), F.coalesce(F.sum(F.when(several, F.col("n") - 1)), F.lit(0)).alias("rows_to_delete"), F.count_if(several & (F.col("targets") > 1)).alias("conflicts"))
 
@@ -129,42 +127,32 @@ def _merge_sql(order: str, first: str, action: str) -> str:
     SELECT coalesce(old.key, inc.key) AS key, coalesce({first}) AS target, CASE WHEN old.key IS NULL THEN 'created' WHEN {action} THEN 'unchanged' ELSE 'updated' END AS action FROM old FULL JOIN inc ON old.key = inc.key"""
 
 
-def _merged(spark: SparkSession, sf_dir: str, keep: bool, whole: bool) -> DataFrame:
+def _merged(spark: SparkSession, sf_dir: str, keep: bool) -> DataFrame:
     """Even documents are the table, odd ones come in."""
-    rows = _keyed(spark, sf_dir, whole)
+    rows = _keyed(spark, sf_dir)
     old = rows.where("doc_id % 2 = 0").groupBy("key").agg(F.min("target").alias("target"))
     return M.upsert(old, rows.where("doc_id % 2 = 1").select("key", "target", "doc_id"), ["key"], "doc_id", keep)
 
 
 @query(_merge_sql("max", "inc.target, old.target", "inc.key IS NULL"))
-def upsert_overwrite(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _merged(spark, sf_dir, False, whole)
+def upsert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, False)
 
 
 @query(_merge_sql("min", "old.target, inc.target", "true"))
-def upsert_keep(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _merged(spark, sf_dir, True, whole)
+def upsert_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, True)
 
 
 @query(f"""SELECT key, arg_max(target, rank * 1000000000000 + doc_id) AS target, count(*) AS entries, count(DISTINCT rank) AS bases FROM (SELECT doc_id, {_KEYED} AS key, lang AS target, CAST(substr(source, 4) AS BIGINT) AS rank FROM documents) GROUP BY key""")
-def merge_bases_last_wins(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def merge_bases_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ordered union of bases (sources by number), where the later entry of a key wins."""
-    rows = _keyed(spark, sf_dir, whole).withColumn("rank", F.substring("source", 4, 9).cast("long"))
+    rows = _keyed(spark, sf_dir).withColumn("rank", F.substring("source", 4, 9).cast("long"))
     return rows.groupBy("key").agg(F.max_by("target", F.struct("rank", "doc_id")).alias("target"), F.count("*").alias("entries"), F.countDistinct("rank").alias("bases"))
 
 
-def _register_whole(name: str) -> None:
-    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return short(spark, sf_dir, whole=True)
-
-    short = QUERIES[name]
-    QUERIES[f"{name}_whole"] = found
-    SQL[f"{name}_whole"] = SQL[name].replace(_KEYED, _WHOLE)
-
-
-#: The queries above meet documents by a prefix, as their SQL states; these meet equal whole texts alone.
 for _name in ("dedupe_majority_vote", "duplicate_group_stats", "upsert_overwrite", "upsert_keep", "merge_bases_last_wins"):
-    _register_whole(_name)
+    also(f"{_name}_whole", _name)
 
 
 @query(f"WITH {V.MEMORY_SQL} SELECT collection_id, CAST(CASE WHEN length(source_text) >= 321 THEN 321 WHEN length(source_text) >= 161 THEN 161 WHEN length(source_text) >= 81 THEN 81 WHEN length(source_text) >= 41 THEN 41 WHEN length(source_text) >= 17 THEN 17 ELSE 0 END AS BIGINT) AS bucket, count(*) AS entries FROM memory GROUP BY 1, 2")

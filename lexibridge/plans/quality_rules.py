@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexibridge.functions import text as T
 from lexibridge.operators import quality_rules as Q
 from lexibridge.plans import views as V
-from lexibridge.plans.registry import QUERIES, SQL, query
+from lexibridge.plans.registry import QUERIES, SQL, also, query
 
 _COUNT = r"len(regexp_extract_all({}, '[A-Za-z0-9]+|[一-鿿]'))"
 _S, _T = _COUNT.format("source_text"), _COUNT.format("target_text")
@@ -89,23 +89,16 @@ def qa_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.issues(V.bilingual(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("issues"), F.countDistinct("conv_id").alias("conversations"))
 
 
-_VARIANTS = """SELECT role, lower(trim(left(text, 6))) AS source_key, count(DISTINCT trim(text)) AS targets, count(*) AS segments FROM conversations WHERE lower(trim(left(text, 6))) <> '' AND trim(text) <> '' GROUP BY 1, 2 HAVING count(DISTINCT trim(text)) > 1"""
-
-
-@query(_VARIANTS)
-def context_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that begin alike and go on differently."""
-    turns = V.table(spark, sf_dir, "conversations").select("role", F.left("text", F.lit(6)).alias("source_text"), F.col("text").alias("target_text"))
-    return Q.context_variants(turns, "role")
-
-
 @query(f"""WITH {V.BILINGUAL_SQL}, n AS (SELECT lower({V.normalize_sql("source_text")}) AS source_key, trim(target_text) AS target_text FROM bilingual)
 SELECT source_key, count(DISTINCT target_text) AS targets, count(*) AS segments FROM n WHERE source_key <> '' AND target_text <> '' GROUP BY 1 HAVING count(DISTINCT target_text) > 1""")
-def context_inconsistency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal whole user turns, normalised, with different replies."""
     return Q.context_variants(V.bilingual(spark, sf_dir).withColumn("source_text", T.normalize_text("source_text")))
 
 
+also("context_inconsistency_whole", "context_inconsistency")
+
+
 @query(rf"""WITH {V.BILINGUAL_SQL}, b AS (SELECT conv_id, turn, '⟦MATH_1⟧ ' || source_text || ' ⟦LB_2⟧ ⟦LB_2⟧' AS s, CASE WHEN conv_id % 3 = 0 THEN '⟦LB_2⟧ ' WHEN conv_id % 3 = 1 THEN '⟦MATH_1⟧ ⟦LB_2⟧ ⟦LB_2⟧' ELSE '' END || target_text AS t FROM bilingual)
 SELECT conv_id, turn, detail FROM (SELECT *, unnest(['LB_2', 'MATH_1']) AS detail FROM b) WHERE len(regexp_extract_all(t, '⟦' || detail || '⟧')) < len(regexp_extract_all(s, '⟦' || detail || '⟧'))""")
 def qa_placeholder_missing(spark: SparkSession, sf_dir: str) -> DataFrame:

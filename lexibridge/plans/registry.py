@@ -11,6 +11,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def also(name: str, known: str) -> None:
+    """Register a known query under a second name."""
+    QUERIES[name] = QUERIES[known]
+    SQL[name] = SQL[known]
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name; `sql` is its DuckDB form, if SQL can express it."""
 

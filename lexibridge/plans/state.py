@@ -9,24 +9,20 @@ from lexibridge.functions import text as T
 from lexibridge.operators import propagation as P
 from lexibridge.operators import reports as R
 from lexibridge.plans import views as V
-from lexibridge.plans.registry import SQL, query
+from lexibridge.plans.registry import also, query
 
-# documents as translated segments: equal sources by the first 40 characters.
-_ROWS_SQL = """rows AS (SELECT d.doc_id AS id, d.source AS project_id, left(d.text, 40) AS source_key, coalesce(l.quality = 1, false) AS confirmed, CASE d.doc_id % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'llm' WHEN 2 THEN 'tm' WHEN 3 THEN 'project_sync' ELSE 'none' END AS source,
+# documents as translated segments: equal sources by the hash of the whole normalised text.
+_ROWS_SQL = f"""rows AS (SELECT d.doc_id AS id, d.source AS project_id, sha256({V.normalize_sql('d.text')}) AS source_key, coalesce(l.quality = 1, false) AS confirmed, CASE d.doc_id % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'llm' WHEN 2 THEN 'tm' WHEN 3 THEN 'project_sync' ELSE 'none' END AS source,
 CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE 'T' || d.doc_id END AS target_text, d.n_chars AS updated_at, d.doc_id % 3 = 0 AS exact, d.doc_id AS place FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)"""
 
 
-_PREFIX, _WHOLE = "left(d.text, 40)", f"sha256({V.normalize_sql('d.text')})"
-
-
-def _rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Equal sources by their first 40 characters, or by the hash of the whole normalised text."""
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = V.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = F.col("doc_id") % 5
     return V.table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("project_id"),
-        (T.source_hash("text") if whole else F.left("text", F.lit(40))).alias("source_key"),
+        T.source_hash("text").alias("source_key"),
         F.coalesce(F.col("quality") == 1, F.lit(False)).alias("confirmed"),
         F.when(n == 0, "manual").when(n == 1, "llm").when(n == 2, "tm").when(n == 3, "project_sync").otherwise("none").alias("source"),
         F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("T"), F.col("doc_id"))).alias("target_text"),
@@ -64,15 +60,8 @@ def convergence_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.convergence(_rows(spark, sf_dir), "source_key").select("source_key", "id", "tier", "target_text")
 
 
-@query(SQL["propagation_winner"].replace(_PREFIX, _WHOLE))
-def propagation_winner_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Translations go between equal whole texts alone."""
-    return P.winners(_rows(spark, sf_dir, whole=True).where("target_text <> ''"), "source_key")
-
-
-@query(SQL["convergence_winner"].replace(_PREFIX, _WHOLE))
-def convergence_winner_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.convergence(_rows(spark, sf_dir, whole=True), "source_key").select("source_key", "id", "tier", "target_text")
+for _name in ("propagation_winner", "convergence_winner"):
+    also(f"{_name}_whole", _name)
 
 
 @query(f"""WITH {_ROWS_SQL}, new AS (SELECT * FROM rows WHERE id % 7 <> 0), old AS (SELECT * FROM rows WHERE id % 7 <> 1), u AS (SELECT *, 1 AS sign FROM new UNION ALL SELECT *, -1 FROM old)

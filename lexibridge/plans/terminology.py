@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexibridge.operators import terms as T
 from lexibridge.plans import views as V
-from lexibridge.plans.registry import query
+from lexibridge.plans.registry import also, query
 
 # Terms: the first two words of every benchmark item, and the capital runs of documents.
 _TERMS_SQL = "terms AS (SELECT item_id AS term_id, regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') AS term FROM benchmark)"
@@ -28,7 +28,7 @@ def term_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.term_matches(_texts(spark, sf_dir), _terms(spark, sf_dir))
 
 
-@query(r"""SELECT doc_id AS text_id, CAST(len(regexp_extract_all(text, '\bTHE\b')) AS BIGINT) AS hits, 1::BIGINT AS term_id FROM documents WHERE regexp_matches(text, '\bTHE\b') AND text NOT LIKE '%\_%' ESCAPE '\'""")
+@query(r"""SELECT doc_id AS text_id, count(*) AS hits, 1::BIGINT AS term_id FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS word FROM documents) WHERE word = 'THE' GROUP BY 1""")
 def term_acronym_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An all-capital term meets capitals only."""
     one = spark.range(1).select((F.col("id") + 1).alias("term_id"), F.lit("THE").alias("term"))
@@ -40,18 +40,15 @@ def glossary_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.glossary_matches(_texts(spark, sf_dir), _terms(spark, sf_dir))
 
 
-@query("""SELECT lower(trim(left(text, 10))) AS source_key, count(DISTINCT lang) AS targets, count(*) AS entries FROM documents WHERE len(string_split_regex(trim(left(text, 10)), '\\s+')) <= 5 GROUP BY 1 HAVING count(DISTINCT lang) > 1""")
-def term_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = V.table(spark, sf_dir, "documents").select(F.left("text", F.lit(10)).alias("source_text"), F.col("lang").alias("target_text"))
-    return T.conflicts(entries)
-
-
 @query(rf"""WITH {V.BILINGUAL_SQL} SELECT lower(trim(source_text)) AS source_key, count(DISTINCT target_text) AS targets, count(*) AS entries FROM bilingual WHERE len(string_split_regex(trim(source_text), '\s+')) <= 5 GROUP BY 1 HAVING count(DISTINCT target_text) > 1""")
-def term_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def term_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole user turns as sources and the replies as targets."""
     return T.conflicts(V.bilingual(spark, sf_dir))
 
 
+also("term_conflicts_whole", "term_conflicts")
+
+
 @query(r"""SELECT abbr, count(*) AS n, count(DISTINCT text_id) AS texts FROM (SELECT doc_id AS text_id, unnest(list_filter(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,6}'))) AS abbr FROM documents) WHERE abbr NOT IN ('THE', 'AND', 'FOR', 'ARE', 'BUT', 'NOT', 'YOU', 'ALL') GROUP BY 1""")
 def abbreviation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.abbreviations(_texts(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexibridge.functions import text as T
+from lexibridge.functions.guides import han_share
 
 
 def plan_import(incoming: DataFrame, existing: DataFrame, note: str | None = None) -> DataFrame:
@@ -71,12 +72,11 @@ def is_term(source: Column | str) -> Column:
 
 
 def alternating_pairs(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, place, source_text, target_text, level): paragraphs (doc_id, place, text) without Han that the next
-    paragraph, with Han, translates; level: term or segment."""
+    """(doc_id, place, source_text, target_text, level): paragraphs (doc_id, place, text) of less than a tenth Han that the
+    next paragraph, of more than three tenths, translates; level: term or segment."""
     order = Window.partitionBy("doc_id").orderBy("place")
-    han = lambda c: F.coalesce(F.col(c).rlike(r"[\x{4E00}-\x{9FFF}]"), F.lit(False))
     rows = paragraphs.where(F.trim("text") != "").withColumn("next", F.lead("text").over(order))
-    return rows.where(~han("text") & F.col("text").rlike("[A-Za-z]") & han("next")).select("doc_id", "place", F.trim("text").alias("source_text"), F.trim("next").alias("target_text"), F.when(is_term("text"), "term").otherwise("segment").alias("level"))
+    return rows.where((han_share(F.col("text")) < 0.1) & (han_share(F.col("next")) > 0.3)).select("doc_id", "place", F.trim("text").alias("source_text"), F.trim("next").alias("target_text"), F.when(is_term("text"), "term").otherwise("segment").alias("level"))
 
 
 def lineage(rows: DataFrame, batch: str) -> DataFrame:

@@ -165,14 +165,21 @@ def header_rows(rows: DataFrame, language: str, source: str, most: int = 20) ->
     return best.select("sheet", "b.row", "b.score")
 
 
+# The letters of scripts, and the languages that are written in them.
+LETTERS = {"zh": r"[\x{3400}-\x{9FFF}]", "ja": r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]", "ko": r"[\x{AC00}-\x{D7AF}]", "ru": r"[\x{0400}-\x{04FF}]", "uk": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]", "fa": r"[\x{0600}-\x{06FF}]", "ur": r"[\x{0600}-\x{06FF}]"}
+OTHER_LETTERS = r"[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0400}-\x{04FF}\x{0600}-\x{06FF}]"
+
+
 def expected_script(language: Column, text: Column) -> Column:
-    """Whether a translation is in the script of its language; languages in Latin script ask for a letter of it where there is any letter."""
+    """Whether a translation is in the script of its language. Fewer than three letters of the known scripts tell nothing
+    and pass; a language in another script than these must not have three letters of them or more, and more than Latin ones."""
+    text = F.coalesce(text, F.lit(""))
     primary = F.lower(F.substring_index(language, "-", 1))
-    scripts = {"zh": r"[\x{4E00}-\x{9FFF}]", "ja": r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]", "ko": r"[\x{AC00}-\x{D7AF}]", "ru": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]", "th": r"[\x{0E00}-\x{0E7F}]"}
-    out = F.when(~text.rlike(r"\p{L}"), True)
-    for k, pattern in scripts.items():
+    latin, others = F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit(OTHER_LETTERS))
+    out = F.when(latin + others < 3, True)
+    for k, pattern in LETTERS.items():
         out = out.when(primary == k, text.rlike(pattern))
-    return out.otherwise(text.rlike(r"[A-Za-z\x{00C0}-\x{024F}]"))
+    return out.otherwise((others < 3) | (others <= latin))
 
 
 def anchored(text: Column, anchor: Column) -> Column:

@@ -205,7 +205,8 @@ def header_row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.header_rows(rows, "^th", "^an").select("sheet", F.col("row").cast(LONG).alias("row"), F.col("score").cast(LONG).alias("score"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\pL') THEN true ELSE regexp_matches(text, '[A-Za-z\x{C0}-\x{24F}]') END AS in_script, regexp_matches(text, '[\x{400}-\x{4FF}]') OR NOT regexp_matches(text, '\pL') AS in_russian FROM documents""")
+@query(r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{400}-\x{4FF}\x{600}-\x{6FF}]')) AS others, regexp_matches(text, '[\x{400}-\x{4FF}]') AS russian FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, latin + others < 3 OR others < 3 OR others <= latin AS in_script, latin + others < 3 OR russian AS in_russian FROM n""")
 def target_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", W.expected_script(F.lit("en"), F.col("text")).alias("in_script"), W.expected_script(F.lit("ru-RU"), F.col("text")).alias("in_russian"))
@@ -280,10 +281,11 @@ def term_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.segments(spark, sf_dir).select("file_id", F.col("seg_idx").cast(LONG).alias("seg_idx"), I.is_term("source_text").alias("is_term"))
 
 
-@query("""WITH p AS (SELECT conv_id AS doc_id, turn AS place, CASE role WHEN 'assistant' THEN '译 ' || text ELSE text END AS text FROM conversations WHERE trim(text) <> ''), n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM p)
-SELECT doc_id, place, trim(text) AS source_text, trim(nxt) AS target_text FROM n WHERE text NOT LIKE '译%' AND regexp_matches(text, '[A-Za-z]') AND nxt LIKE '译%'""")
+@query(r"""WITH p AS (SELECT conv_id AS doc_id, turn AS place, CASE role WHEN 'assistant' THEN repeat('译', length(text)) || text ELSE text END AS text FROM conversations WHERE trim(text) <> ''), h AS (SELECT *, len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) / greatest(length(text), 1) AS share FROM p),
+n AS (SELECT *, lead(text) OVER w AS nxt, lead(share) OVER w AS next_share FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY place)) SELECT doc_id, place, trim(text) AS source_text, trim(nxt) AS target_text FROM n WHERE share < 0.1 AND next_share > 0.3""")
 def alternating_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), F.when(F.col("role") == "assistant", F.concat(F.lit("译 "), F.col("text"))).otherwise(F.col("text")).alias("text"))
+    text = F.when(F.col("role") == "assistant", F.concat(F.repeat(F.lit("译"), F.length("text")), "text")).otherwise(F.col("text"))
+    rows = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), text.alias("text"))
     return I.alternating_pairs(rows).select("doc_id", "place", "source_text", "target_text")
 
 

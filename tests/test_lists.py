@@ -87,3 +87,12 @@ def test_references_and_faults(spark):
     assert [r.f for r in df.select("i", worklists.output_fault().alias("f")).orderBy("i").collect()] == [f for _, _, f in pairs]
     one = spark.createDataFrame([("ab ab", "ab"), ("x ab", "ab"), ("A  b", "a b"), ("x", "y"), ("x", None)], "t string, a string")
     assert [tuple(r.p) for r in one.select(worklists.anchored(F.col("t"), F.col("a")).alias("p")).collect()] == [("ambiguous", None), ("unique", 2), ("normalized", None), ("unlocatable", None), ("unlocatable", None)]
+
+
+def test_scripts_and_alternating_pairs(spark):
+    rows = [("zh-CN", "only latin", False), ("zh", "译文 ok", True), ("en", "译文译文 ok", False), ("fr", "译文译文 bon mot", True), ("uk", "ok", True), ("ur", "abc", False), ("ja", "訳 abc", True), ("en", None, True)]
+    df = spark.createDataFrame(rows, "lang string, text string, want boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", worklists.expected_script(F.col("lang"), F.col("text"))).collect())
+    paragraphs = [(1, 0, "One line"), (1, 1, "一行"), (1, 2, "一行"), (1, 3, "Two"), (1, 4, " "), (1, 5, "二 two words")]
+    got = imports.alternating_pairs(spark.createDataFrame(paragraphs, "doc_id long, place int, text string")).collect()
+    assert [(r.place, r.source_text, r.target_text, r.level) for r in got] == [(0, "One line", "一行", "term")]

@@ -71,7 +71,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", partition_edges: in
     now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     seen = None
     while True:
-        now = materialise(now.mapInArrow(_contract, "a long, b long"))
+        # Partitions that share a component mostly hang its nodes on the same least node: such edges count once.
+        now = materialise(now.mapInArrow(_contract, "a long, b long").distinct())
         # The pair (edges, sum of ends) stands still only once every node hangs on its component's least node.
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         parts = max(1, -(-state[0] // partition_edges))

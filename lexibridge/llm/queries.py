@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibridge.llm import bytebpe, embdedup, fingerprint, htmltext, langid, neardup, packing, quality, sharding, tokencount
+from lexibridge.llm import bytebpe, embdedup, exactdedup, fingerprint, htmltext, langid, neardup, packing, quality, sharding, tokencount
 from lexibridge.llm.common import table
 
 
@@ -71,9 +71,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents", spread=False))
+
+
+OP13_SQL = r"""
+WITH bared AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER first AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER first = 1 AS kept, sha256(bare) AS text_sha256
+FROM bared WINDOW first AS (PARTITION BY bare ORDER BY chars DESC, doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_near_dedup": OP8_SQL}
+    return {"op8_embedding_near_dedup": OP8_SQL, "op13_exact_dedup": OP13_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibridge.llm import bytebpe, convrepair, embdedup, exactdedup, fingerprint, htmltext, langid, neardup, packing, quality, sharding, tokencount
+from lexibridge.llm import bytebpe, convrepair, divergence, embdedup, exactdedup, fingerprint, htmltext, langid, neardup, packing, quality, sharding, tokencount
 from lexibridge.llm.common import table
 
 
@@ -71,6 +71,40 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), words AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+    SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), groups AS (
+    SELECT DISTINCT lang, source FROM d
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sizes AS (
+    SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS lang_n FROM kept GROUP BY lang
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(s.n, 0) + z.v) AS p, 1 + (1000000000 * (k.total + 1)::HUGEINT) // (z.lang_n + z.v) AS q
+    FROM groups g JOIN sizes z USING (lang) JOIN kept k USING (lang)
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, source) s ON s.lang = g.lang AND s.source = g.source
+), scored AS (
+    SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+)
+SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM scored WINDOW w AS (PARTITION BY lang, source ORDER BY value DESC, item) QUALIFY row_number() OVER w <= 200
+UNION ALL
+SELECT g.lang, g.source, 'pair', h.source, coalesce(p.value, 0), CAST(row_number() OVER (PARTITION BY g.lang, g.source ORDER BY coalesce(p.value, 0) DESC, h.source) AS INTEGER)
+FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return convrepair.repair(given, convrepair.damage(given))
@@ -94,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_near_dedup": OP8_SQL, "op13_exact_dedup": OP13_SQL}
+    return {"op8_embedding_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_exact_dedup": OP13_SQL}

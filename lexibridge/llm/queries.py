@@ -110,6 +110,59 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repair(given, convrepair.damage(given))
 
 
+#: The CRC is taken bit by bit, the cheapest edits by a forward recursion over rows and grammar states.
+OP12_SQL = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::UBIGINT)),
+               lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))) AS crc
+    FROM conversations
+), kinds AS (
+    SELECT *, xor(crc, 4294967295::UBIGINT) % 20 AS kind FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM kinds, LATERAL (SELECT unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END))) WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS initial,
+           NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM damaged
+), faults AS (
+    SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM placed
+), rows AS (
+    SELECT *, NOT blank AND NOT duplicate AND cut AS truncated FROM faults
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+           count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM rows GROUP BY conv_id
+), inserted(state, entered, label, price) AS (
+    VALUES (0, 0, '', 0), (0, 2, 'I', 5), (0, 3, 'II', 10), (1, 1, '', 0), (1, 2, 'I', 5), (1, 3, 'II', 10), (2, 2, '', 0), (2, 3, 'I', 5), (3, 3, '', 0), (3, 2, 'I', 5)
+), edits(entered, initial, after, label, price) AS (
+    VALUES (0, NULL, 0, 'D', 2), (1, NULL, 1, 'D', 2), (2, NULL, 2, 'D', 2), (3, NULL, 3, 'D', 2), (0, NULL, 2, 'R', 1), (1, NULL, 2, 'R', 1), (2, NULL, 3, 'R', 1), (3, NULL, 2, 'R', 1),
+           (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0), (3, 'u', 2, 'K', 0)
+), paths AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0, 'audit': ''} AS best FROM counts
+    UNION ALL
+    SELECT p.conv_id, p.i + 1, e.after, min({'cost': p.best.cost + s.price + e.price + CASE WHEN e.label <> 'D' AND r.truncated THEN 5 ELSE 0 END, 'audit': p.best.audit || s.label || e.label})
+    FROM paths p JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1 JOIN inserted s ON s.state = p.state
+    JOIN edits e ON e.entered = s.entered AND (e.initial IS NULL OR e.initial = r.initial) AND (e.label = 'D' OR NOT (r.blank OR r.duplicate))
+    GROUP BY p.conv_id, p.i, e.after
+), repaired AS (
+    SELECT c.conv_id, min({'cost': p.best.cost + s.price, 'audit': p.best.audit || s.label}) AS best
+    FROM counts c JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n JOIN inserted s ON s.state = p.state AND s.entered IN (0, 3) GROUP BY c.conv_id
+), steps AS (
+    SELECT conv_id, unnest(string_split(best.audit, '')) AS label, generate_subscripts(string_split(best.audit, ''), 1) AS place FROM repaired WHERE best.audit <> ''
+), numbered AS (
+    SELECT *, count(*) FILTER (label <> 'I') OVER w AS i, count(*) FILTER (label <> 'D') OVER w AS line, count(*) FILTER (label <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd FROM steps WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), written AS (
+    SELECT n.conv_id, n.place, CASE WHEN label = 'K' THEN r.role WHEN (line - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE label WHEN 'I' THEN '' ELSE r.text END AS line
+    FROM numbered n LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.i AND n.label <> 'I' WHERE label <> 'D'
+), hashed AS (
+    SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY place)) AS repaired_sha256 FROM written GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+       coalesce(p.best.cost, 0)::BIGINT AS cost, coalesce(p.best.audit, '') AS audit, coalesce(h.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents", spread=False))
 
@@ -128,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_exact_dedup": OP13_SQL}
+    return {"op8_embedding_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_exact_dedup": OP13_SQL}

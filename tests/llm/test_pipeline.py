@@ -11,7 +11,7 @@ from lexibridge.llm import langid, neardup, quality
 
 def test_entry_registers_all_operators():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{n}" for n in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{n}" for n in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 

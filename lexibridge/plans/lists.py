@@ -212,11 +212,11 @@ def target_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", W.expected_script(F.lit("en"), F.col("text")).alias("in_script"), W.expected_script(F.lit("ru-RU"), F.col("text")).alias("in_russian"))
 
 
-@query(rf"""WITH a AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN substr(text, 3, 12) WHEN 1 THEN upper(substr(text, 3, 12)) ELSE 'no such words' END AS anchor FROM documents), t AS (SELECT *, CASE WHEN anchor = '' THEN 0 ELSE (length(text) - length(replace(text, anchor, ''))) / length(anchor) END AS times FROM a)
+@query(rf"""WITH a AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN substr(text, 3, 12) WHEN 1 THEN translate(substr(text, 3, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE 'no such words' END AS anchor FROM documents), t AS (SELECT *, CASE WHEN anchor = '' THEN 0 ELSE (length(text) - length(replace(text, anchor, ''))) / length(anchor) END AS times FROM a)
 SELECT doc_id, CASE WHEN times = 1 THEN 'unique' WHEN times > 1 THEN 'ambiguous' WHEN {V.normalize_sql("anchor")} <> '' AND contains(lower({V.normalize_sql("text")}), lower({V.normalize_sql("anchor")})) THEN 'normalized' ELSE 'unlocatable' END AS state, CASE WHEN times = 1 THEN CAST(strpos(text, anchor) - 1 AS BIGINT) END AS start FROM t""")
 def anchor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.substring("text", 3, 12)
-    anchor = F.when(F.col("doc_id") % 3 == 0, part).when(F.col("doc_id") % 3 == 1, F.upper(part)).otherwise("no such words")
+    anchor = F.when(F.col("doc_id") % 3 == 0, part).when(F.col("doc_id") % 3 == 1, F.translate(part, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise("no such words")
     found = V.table(spark, sf_dir, "documents").select("doc_id", W.anchored(F.col("text"), anchor).alias("a"))
     return found.select("doc_id", "a.state", F.col("a.start").cast(LONG).alias("start"))
 

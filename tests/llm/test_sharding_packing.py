@@ -64,6 +64,14 @@ def test_splitters_count_what_lies_below(spark):
         assert abs(cut.size - total * i / 16) <= max(s for _, s in rows) + total / 16 * 0.001
 
 
+@pytest.mark.parametrize("parts", [1000, 10_000])
+def test_many_parts(spark, parts, monkeypatch):
+    df = spark.range(30_000).selectExpr("id AS doc_id", "repeat(cast(id % 20000 AS string), cast(id % 7 AS int)) AS text")
+    monkeypatch.setattr(sharding, "shuffle_partitions", lambda _: parts)
+    sizes = check_shards([tuple(r) for r in df.collect()], sharding.shard_documents(df).collect(), 8)
+    assert max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 8
+
+
 def test_sharding_of_awkward_and_empty_tables(awkward, nothing):
     check_shards([tuple(r) for r in awkward.select("doc_id", "text").collect()], sharding.shard_documents(awkward).collect(), 8)
     assert sharding.shard_documents(nothing).collect() == []

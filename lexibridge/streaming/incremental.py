@@ -136,19 +136,30 @@ def coalesced(outbox: DataFrame, keys: list[str], at: str) -> DataFrame:
     return last.select(*keys, *[F.col(f"v.{c}").alias(c) for c in value], at, "coalesced")
 
 
+def signed_changes(changes: DataFrame, before: str, after: str, name: str) -> DataFrame:
+    """Every change as a retraction of the value before and an addition of the value after: `name`, change (-1 or 1), and the other columns.
+
+    A change from a value to itself gives both; a null on one side gives no row for it.
+    """
+    sides = F.array(F.struct(F.col(before).alias(name), F.lit(-1).cast("long").alias("change")), F.struct(F.col(after).alias(name), F.lit(1).cast("long").alias("change")))
+    others = [c for c in changes.columns if c not in (before, after)]
+    return changes.select(*others, F.inline(sides)).where(F.col(name).isNotNull())
+
+
 def upsert_into(path: str, keys: list[str], order: str):
     """A foreachBatch function that merges every batch into the Parquet table at `path`.
 
-    Each batch writes a new version beside the old and then moves a pointer, so a batch that is
-    repeated after a failure gives the same table; the version is the batch's number.
+    Each batch writes a new version beside the old; a batch that is repeated after a failure gives the same table, and the
+    version is the batch's number. The column `order` stays in the table, so that an older row of a later batch changes nothing. For large
+    tables see `deltas`, which writes what has changed alone.
     """
-    from lexibridge.operators.memory import upsert
+    from lexibridge.streaming.deltas import latest
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         versions = sorted((r[0] for r in _versions(spark, path) if r[0] < number), reverse=True)
-        old = spark.read.parquet(f"{path}/v={versions[0]}") if versions else batch.drop(order).limit(0)
-        upsert(old, batch, keys, order).drop("action").write.mode("overwrite").parquet(f"{path}/v={number}")
+        rows = spark.read.parquet(f"{path}/v={versions[0]}").unionByName(batch) if versions else batch
+        latest(keys, order)(rows).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return merge
 

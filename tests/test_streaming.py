@@ -1,5 +1,5 @@
 from lexibridge.plans import streams
-from lexibridge.streaming import incremental
+from lexibridge.streaming import deltas, incremental
 
 
 def test_recorded_edits(spark):
@@ -20,7 +20,48 @@ def test_upsert_batches_converge(spark, tmp_path):
     merge(one, 0)
     for _ in range(2):  # a repeated batch changes nothing
         merge(two, 1)
-    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=1").collect()} == {("a", 1), ("b", 3)}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=1").select("k", "v").collect()} == {("a", 1), ("b", 3)}
+    merge(spark.createDataFrame([("a", 9, 0), ("c", 4, 1)], "k string, v long, o long"), 2)  # an older row of a later batch
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v=2").select("k", "v").collect()} == {("a", 1), ("b", 3), ("c", 4)}
+
+
+def test_shuffled_late_and_repeated_batches_equal_one(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"k{r.randrange(40)}", i, r.randrange(30)) for i in range(400)]
+    want = {}
+    for k, v, o in rows:
+        want[k] = max(want.get(k, (-1, -1)), (o, v))
+    schema = spark.createDataFrame([], "k string, v long, o long").schema
+    for seed in range(2):
+        path, merge = f"file://{tmp_path}/d{seed}", deltas.latest(["k"], "o")
+        random.Random(seed).shuffle(rows)
+        add = deltas.writer(path, ["k"], merge, 8)
+        for number in range(4):
+            batch = spark.createDataFrame(rows[number * 100 : number * 100 + 100], schema)
+            add(batch, number)
+            if number == 2:
+                assert deltas.compact(spark, path, schema, ["k"], merge, 8) == 2
+                add(batch, number)
+                assert deltas.obsolete(spark, path) == [f"{path}/delta={n}" for n in range(3)]
+        got = {x.k: (x.o, x.v) for x in deltas.read(spark, path, schema, merge).collect()}
+        assert got == want
+        assert deltas.compact(spark, path, schema, ["k"], merge, 8) == 3 and deltas.compact(spark, path, schema, ["k"], merge, 8) is None
+        assert {x.k: (x.o, x.v) for x in deltas.read(spark, path, schema, merge).collect()} == want
+    assert deltas.read(spark, f"file://{tmp_path}/none", schema, merge).collect() == []
+
+
+def test_counters_that_cancel_out_stay_gone(spark, tmp_path):
+    changes = spark.createDataFrame([(1, None, "new"), (1, "new", "done"), (2, None, "new"), (3, "done", "done")], "i int, b string, a string")
+    signed = incremental.signed_changes(changes, "b", "a", "status").drop("i")
+    path, merge = f"file://{tmp_path}/c", deltas.summed(["status"], "change")
+    add = deltas.writer(path, ["status"], merge, 4)
+    add(signed, 0)
+    assert {tuple(r) for r in deltas.read(spark, path, signed.schema, merge).collect()} == {("new", 1), ("done", 1)}
+    add(spark.createDataFrame([("new", -1)], signed.schema), 1)
+    deltas.compact(spark, path, signed.schema, ["status"], merge, 4)
+    assert {tuple(r) for r in deltas.read(spark, path, signed.schema, merge).collect()} == {("done", 1)}
 
 
 def test_rematch_triggers_count_every_change(spark, tmp_path):

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: First cells that mark a header row.
+#: First cells that mark a header row.
 HEADERS = (("source", "target"), ("src", "tgt"), ("source text", "target text"), ("source_text", "target_text"), ("原文", "译文"))
 
 
-#: Column names of glossaries: source, target and note.
+#: Column names of glossaries, for source, target and note.
 GLOSSARY_HEADERS = {
     "source_text": {"source", "source_text", "source_term", "term", "原文", "词汇", "词条", "术语"},
     "target_text": {"target", "target_text", "target_term", "translation", "译文", "翻译"},
@@ -32,7 +34,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", hea
     drops it always, `no` never. encoding: None takes every file for UTF-8 if it is valid, else for GB18030."""
     if encoding is None:
         files = spark.read.format("binaryFile").load(path).select("path", F.expr("is_valid_utf8(content)").alias("valid")).collect()  # one row a file
-        valid, other = ([r.path for r in files if r.valid == v] for v in (True, False))
+        valid, other = ([_literal(r.path) for r in files if r.valid == v] for v in (True, False))
         reads = [read_csv(spark, valid, "UTF-8", header, delimiter)] if valid or not other else []
         reads += [_decoded_csv(spark, other, header, delimiter)] if other else []
         return reads[0] if len(reads) == 1 else reads[0].unionByName(reads[1])
@@ -46,11 +48,21 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", hea
     # Files come as they are numbered by the reader: the least number of a file is its first row.
     first = read(path, False).withColumns({"file": F.col("_metadata.file_path"), "n": F.monotonically_increasing_id()}).groupBy("file").agg(F.min_by(_names_columns(F.col("source_text"), F.col("target_text")), "n").alias("named"))
     files = first.collect()  # one row a file
-    kinds = [([r.file for r in files if r.named], True), ([r.file for r in files if not r.named], False)]
+    kinds = [([_as_read(r.file) for r in files if r.named], True), ([_as_read(r.file) for r in files if not r.named], False)]
     reads = [read(paths, skip) for paths, skip in kinds if paths]
     return read(path, False) if not reads else reads[0] if len(reads) == 1 else reads[0].unionByName(reads[1])
 
 
+def _literal(path: str) -> str:
+    """A path that a reader takes as it stands, whatever pattern signs it holds."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _as_read(uri: str) -> str:
+    """The path of a file from the URI that the reader gives for it."""
+    return _literal(unquote(uri))
+
+
 def _decoded_csv(spark: SparkSession, paths: list[str], header: str, delimiter: str) -> DataFrame:
     """The same of files in GB18030, which Spark's own reader does not decode: one file at a time in a task."""
 

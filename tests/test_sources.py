@@ -157,3 +157,13 @@ def test_reviewed_columns_stand_by_their_targets(spark):
     got = tables.reviewed_columns(rows, reviewed, ["id"], ["de", "fr"])
     assert got.columns == ["id", "source", "de", "de_reviewed", "fr", "fr_reviewed"]
     assert sorted(tuple(r) for r in got.collect()) == [(1, "s", "t", "T!", "u", ""), (2, "s2", "t2", "", "u2", "")]
+
+
+def test_csv_paths_of_any_signs(spark, tmp_path):
+    folder = tmp_path / "a b+c"
+    folder.mkdir()
+    for n, name in enumerate(("x y.csv", "50%20.csv", "[1].csv", "é#?.csv")):
+        (folder / name).write_text(f"Source,Target\ns{n},t{n}\n" if n % 2 else f"s{n},t{n}\n", encoding="utf-8")
+    for encoding in ("UTF-8", None):
+        got = sorted(tuple(r) for r in tables.read_csv(spark, str(folder), encoding).collect())
+        assert got == [(f"s{n}", f"t{n}") for n in range(4)]

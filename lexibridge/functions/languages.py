@@ -1,8 +1,8 @@
-"""Languages of texts in Latin script by their frequent words and letters, as Column expressions."""
+"""Languages of texts in Latin script by their frequent words and letters, as Column expressions; samples of files to tell it from."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Frequent words and telling letters by which languages are told apart, in the order that decides ties.
@@ -63,3 +63,21 @@ def latin_language(c: Column | str) -> Column:
     # Arrays of one element, so that every step is worked out once.
     lowered = F.transform(F.array(own), lambda s: F.struct(F.transform(s["tokens"], lambda t: F.lower(t)).alias("low"), s["told"].alias("told"), s["basic"].alias("basic")))
     return F.transform(F.transform(lowered, rank), judge)[0]
+
+
+#: Code points of a file that its language is told from.
+SAMPLE_LENGTH = 6_000
+
+
+def language_samples(pieces: DataFrame, file: str, place: str, text: str, limit: int = SAMPLE_LENGTH) -> DataFrame:
+    """(file, sample): the first `limit` code points of each file's pieces, white space made one blank, a blank between pieces.
+
+    pieces: one row a piece, in the order of `place`. Running sums of lengths tell where a file's sample ends, so only pieces of
+    the sample are ever put together. Blank and null pieces count for nothing; a file of nothing else has an empty sample.
+    """
+    plain = pieces.select(file, place, F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x{A0}\x{3000}]+", " ")).alias("piece"))
+    order = Window.partitionBy(file).orderBy(place)
+    before = F.coalesce(F.sum(F.when(F.col("piece") != "", F.length("piece") + 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = plain.withColumn("before", before).where(F.col("before") < limit)
+    part = F.when(F.col("piece") != "", F.struct(F.col(place).alias("place"), F.expr(f"substring(piece, 1, cast({limit} - before as int))").alias("piece")))
+    return kept.groupBy(file).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p.piece), " ").alias("sample"))

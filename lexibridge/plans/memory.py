@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexibridge.functions import similarity as S
 from lexibridge.functions import text as T
 from lexibridge.operators import memory as M
+from lexibridge.operators import vectorindex as X
 from lexibridge.plans import views as V
 from lexibridge.plans.registry import also, query
 
@@ -85,6 +86,13 @@ def vector_floor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.vector_matches(q, e, floor=0.9).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_VECTOR_SQL.format(floor=0.45))
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of cells, of which only those are looked into that may hold a result."""
+    q, e = _vectors(spark, sf_dir)
+    return X.nearest(q, X.build(e)).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {V.MEMORY_SQL}, w AS (SELECT entry_id, list_distinct(list_filter(regexp_split_to_array(lower(source_text), '[^\\pL\\pN]+'), lambda x: x <> '')) AS words FROM memory),
 q AS (SELECT DISTINCT conv_id * 1000 + turn AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '')) AS word FROM conversations),
 s AS (SELECT query_id, entry_id, count(*) / any_value(len(words)) AS score FROM q JOIN (SELECT entry_id, words, unnest(words) AS word FROM w) e USING (word) GROUP BY query_id, entry_id),

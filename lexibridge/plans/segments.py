@@ -107,3 +107,14 @@ def html_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of every page with the tags above them."""
     pages = V.table(spark, sf_dir, "pages").select("page_id", F.posexplode(html_blocks("html")).alias("unit", "u"))
     return pages.select("page_id", "unit", F.col("u.key").alias("key"), F.col("u.text").alias("text"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, place, trim(regexp_replace(piece, '[\s\x{A0}\x{3000}]+', ' ', 'g')) AS piece FROM l),
+b AS (SELECT *, coalesce(sum(CASE WHEN piece <> '' THEN length(piece) + 1 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+s AS (SELECT doc_id, coalesce(string_agg(substr(piece, 1, CAST(6000 - before AS BIGINT)), ' ' ORDER BY place) FILTER (piece <> ''), '') AS sample FROM b WHERE before < 6000 GROUP BY doc_id)
+SELECT doc_id, length(sample) AS sample_length, sha256(sample) AS sample_sha256 FROM s""")
+def language_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples that the languages of documents, given line by line, are told from."""
+    lines = V.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "piece"))
+    return G.language_samples(lines, "doc_id", "place", "piece").select("doc_id", F.length("sample").cast("long").alias("sample_length"), F.sha2("sample", 256).alias("sample_sha256"))

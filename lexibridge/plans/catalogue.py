@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexibridge.plans import alignment, boxes, dashboard, guides, lists, memory, quality_rules, repetition, segments, state, streams, terminology  # noqa: F401
+from lexibridge.plans import alignment, boxes, dashboard, guides, lists, memory, numbers, quality_rules, repetition, segments, state, streams, terminology  # noqa: F401
 from lexibridge.plans.registry import QUERIES, SQL, Query
 
 

@@ -36,10 +36,29 @@ def _one(when: Column, offset: Column | int = 0, length: Column | int = 0, detai
     return F.when(F.coalesce(when, F.lit(False)), F.array(F.struct(lit(offset).cast("int").alias("offset"), lit(length).cast("int").alias("length"), lit(detail).cast("string").alias("detail")))).otherwise(_none())
 
 
-def _runs(pattern: str, group: int = 1) -> Column:
-    """Findings for every match of a pattern in the target text."""
-    found = F.regexp_extract_all("target_text", F.lit(f"({pattern})"), group)
-    return F.transform(found, lambda x: F.struct(F.lit(0).alias("offset"), F.length(x).cast("int").alias("length"), x.alias("detail"))).cast(FINDING)
+def _located(c: str, pattern: str) -> Column:
+    """Findings for every match of a pattern in a text, with their places: what lies between the matches tells how far each is from the start."""
+    whole = f"({pattern})"
+    found, between = F.regexp_extract_all(c, F.lit(whole), F.lit(1)), F.split(c, whole, -1)
+    finding = lambda at, x: F.struct(at.cast("int").alias("offset"), F.length(x).cast("int").alias("length"), x.alias("detail"))
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s.at + F.length(x.free)
+        return state(at + F.length(x.hit), F.concat(s.out, F.array(finding(at, x.hit))))
+
+    pairs = F.filter(F.zip_with(between, found, lambda free, hit: F.struct(free.alias("free"), hit.alias("hit"))), lambda x: x.hit.isNotNull())
+    return F.when(F.col(c).rlike(whole), F.aggregate(pairs, state(F.lit(0), _none()), step, lambda s: s.out)).otherwise(_none())
+
+
+def _runs(pattern: str) -> Column:
+    return _located("target_text", pattern)
+
+
+def _first_of(odd: Column) -> Column:
+    """Findings for words of the target, each at its first place."""
+    words = _located("target_text", "[A-Za-z]+")
+    return F.when(F.size(odd) > 0, F.transform(odd, lambda x: F.element_at(F.filter(words, lambda w: w.detail == x), 1))).otherwise(_none()).cast(FINDING)
 
 
 def tokens(c: str, pattern: str) -> Column:
@@ -87,14 +106,12 @@ def _word_case() -> Column:
     s = F.array_distinct(tokens("source_text", "([A-Za-z]+)"))
     t = F.array_distinct(tokens("target_text", "([A-Za-z]+)"))
     low = F.transform(s, lambda x: F.lower(x))
-    odd = F.array_sort(F.filter(t, lambda x: F.array_contains(low, F.lower(x)) & ~F.array_contains(s, x)))
-    return F.transform(odd, lambda x: F.struct(F.lit(0).alias("offset"), F.length(x).cast("int").alias("length"), x.alias("detail"))).cast(FINDING)
+    return _first_of(F.array_sort(F.filter(t, lambda x: F.array_contains(low, F.lower(x)) & ~F.array_contains(s, x))))
 
 
 def _camel() -> Column:
     s = tokens("source_text", "([A-Za-z]+)")
-    odd = F.array_sort(F.array_distinct(F.filter(tokens("target_text", "([A-Za-z]+)"), lambda x: x.rlike("^[A-Z][a-z]+[A-Z]") & ~F.array_contains(s, x))))
-    return F.transform(odd, lambda x: F.struct(F.lit(0).alias("offset"), F.length(x).cast("int").alias("length"), x.alias("detail"))).cast(FINDING)
+    return _first_of(F.array_sort(F.array_distinct(F.filter(tokens("target_text", "([A-Za-z]+)"), lambda x: x.rlike("^[A-Z][a-z]+[A-Z]") & ~F.array_contains(s, x)))))
 
 
 PLACEHOLDER = "⟦((?:MATH|LB)_[0-9]+)⟧"
@@ -119,13 +136,13 @@ def rules(threshold: float = 50.0, french: bool = False) -> dict[str, Column]:
         "ending_punctuation_mismatch": _one(_ending("source_text").isNotNull() & ~_ending("source_text").eqNullSafe(_ending("target_text")), F.length(F.rtrim(t)) - 1, 1, F.right(F.rtrim(t), F.lit(1))),
         "target_placeholder_missing": _placeholders_missing(),
         "punctuation_leading_missing_space": F.when(F.lower(F.coalesce(F.col("target_language"), F.lit(""))).rlike("^fr"), _runs(r"[^\s\x{00A0}\x{202F}«:;!?/][!?;:](?!//)")).otherwise(_none()) if french else _none(),
-        "repeated_punctuation": F.filter(_runs(r"([.,;:!?、，。；：！？])\2+", 1), lambda x: x["detail"] != "..."),
+        "repeated_punctuation": F.filter(_runs(r"([.,;:!?、，。；：！？])\2+"), lambda x: x["detail"] != "..."),
         "extra_space_after_punctuation": _runs("[,;:!?.] {2,}|[，。；：！？、] +"),
         "missing_space_after_punctuation": _runs("[,;:!?][A-Za-z]"),
         "space_before_punctuation": _runs(" +[,;:!?.]"),
         "multiple_spaces": _runs(" {2,}"),
         "trailing_space": _one(t.rlike("[ \t  ]$"), F.length(F.rtrim(t)), F.length(t) - F.length(F.rtrim(t))),
-        "consecutive_duplicate_words": F.when(s.rlike(r"(?i)\b([a-z]+) \1\b"), _none()).otherwise(_runs(r"(?i)\b([a-z]+) \2\b", 1)),
+        "consecutive_duplicate_words": F.when(s.rlike(r"(?i)\b([a-z]+) \1\b"), _none()).otherwise(_runs(r"(?i)\b([a-z]+) \2\b")),
         "initial_case_mismatch": _one((first("source_text") != "") & (first("target_text") != "") & ((first("source_text") == F.upper(first("source_text"))) != (first("target_text") == F.upper(first("target_text")))), 0, 1, first("target_text")),
         "multiple_upper_initials": _camel(),
         "same_word_case_mismatch": _word_case(),

@@ -46,10 +46,13 @@ def running_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.running_matter(units(spark, sf_dir)).groupBy("side").agg(F.count_if("running").alias("running"), F.count("*").alias("units"))
 
 
-@query(rf"""WITH {_UNITS_SQL}, k AS (SELECT pair_id, side, regexp_extract(text, '^([0-9]+(?:\.[0-9]+){{0,5}})(?:[.)、]|\s)', 1) AS key, unit_index FROM units), f AS (SELECT pair_id, side, key, min(unit_index) AS i FROM k WHERE key <> '' GROUP BY 1, 2, 3)
+@query(rf"""WITH {_UNITS_SQL}, k AS (SELECT pair_id, side, regexp_extract(CASE WHEN (unit_index + pair_id) % 3 = 0 THEN '2.' || (unit_index // 2 + 1) || ') ' || text ELSE text END, '^([0-9]+(?:\.[0-9]+){{0,5}})(?:[.)、]|\s)', 1) AS key, unit_index FROM units), f AS (SELECT pair_id, side, key, min(unit_index) AS i FROM k WHERE key <> '' GROUP BY 1, 2, 3)
 SELECT a.pair_id, a.key, CAST(a.i AS BIGINT) AS s, CAST(b.i AS BIGINT) AS t FROM f a JOIN f b ON a.pair_id = b.pair_id AND a.key = b.key AND a.side = 'source' AND b.side = 'target'""")
 def align_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.aligned_by_number(units(spark, sf_dir)).select("pair_id", "key", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"))
+    """Some of the units numbered."""
+    i = F.col("unit_index")
+    numbered = F.when((i + F.col("pair_id")) % 3 == 0, F.concat(F.lit("2."), F.floor(i / 2) + 1, F.lit(") "), "text")).otherwise(F.col("text"))
+    return A.aligned_by_number(units(spark, sf_dir).withColumn("text", numbered)).select("pair_id", "key", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"))
 
 
 @query(rf"""WITH {_UNITS_SQL}, c AS (SELECT pair_id, side, unit_index // 6 AS tab, unit_index % 6 // 2 AS "row", unit_index % 2 AS cell, unit_index FROM units), sh AS (SELECT pair_id, side, tab, max("row") AS r, max(cell) AS c, count(*) AS n FROM c GROUP BY 1, 2, 3),

@@ -25,9 +25,13 @@ def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").where(S.contains(["text", "source"], "TH_N")).select("doc_id")
 
 
-@query(r"SELECT doc_id FROM documents WHERE contains(lower(text), '_') OR contains(lower(text), '@example')")
+@query(r"SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(text, ' the ', ' the_') WHEN 1 THEN text || ' 100%' ELSE text END AS text FROM documents) WHERE contains(lower(text), '_') OR contains(lower(text), '00%') OR contains(lower(text), '@example')")
 def search_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").where(S.contains_literally(["text"], "_") | S.contains_literally(["text"], "@Example")).select("doc_id")
+    """Wildcards that stand for themselves, in documents of which some hold them."""
+    rest = F.col("doc_id") % 5
+    text = F.when(rest == 0, F.replace("text", F.lit(" the "), F.lit(" the_"))).when(rest == 1, F.concat("text", F.lit(" 100%"))).otherwise(F.col("text"))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return docs.where(S.contains_literally(["text"], "_") | S.contains_literally(["text"], "00%") | S.contains_literally(["text"], "@Example")).select("doc_id")
 
 
 @query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic IN (0)")

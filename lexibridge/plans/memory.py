@@ -80,10 +80,10 @@ def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.vector_matches(q, e).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_VECTOR_SQL.format(floor=0.9))
+@query(_VECTOR_SQL.format(floor=0.2))
 def vector_floor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, e = _vectors(spark, sf_dir)
-    return M.vector_matches(q, e, floor=0.9).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return M.vector_matches(q, e, floor=0.2).select("query_id", "entry_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_VECTOR_SQL.format(floor=0.45))

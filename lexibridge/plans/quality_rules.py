@@ -57,23 +57,53 @@ RULES_SQL = {
 }
 
 
+def _spots(pattern: str) -> str:
+    """Places and lengths of all matches in the target, as text."""
+    hits, free = f"regexp_extract_all(target_text, '{pattern}')", f"string_split_regex(target_text, '{pattern}')"
+    return f"""array_to_string(list_transform(range(len({hits})), lambda i: CAST(list_sum(list_transform({free}[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform({hits}[1:i], lambda x: length(x))), 0) AS BIGINT) || ':' || length({hits}[i + 1])), ',')"""
+
+
+def _words_spots(odd: str) -> str:
+    """First places of words of the target that `odd` holds of x."""
+    return rf"""array_to_string(list_transform(list_sort(list_distinct(list_filter(regexp_extract_all(target_text, '[A-Za-z]+'), lambda x: {odd}))), lambda x: (length(regexp_extract(target_text, '^(.*?[^A-Za-z])??' || x || '([^A-Za-z]|$)', 0, 's')) - length(x) - length(regexp_extract(target_text, '^(.*?[^A-Za-z])??' || x || '([^A-Za-z]|$)', 2, 's'))) || ':' || length(x)), ',')"""
+
+
+_SPOTS_SQL = {
+    "extra_space_after_punctuation": _spots("[,;:!?.] {2,}|[，。；：！？、] +"),
+    "missing_space_after_punctuation": _spots("[,;:!?][A-Za-z]"),
+    "space_before_punctuation": _spots(" +[,;:!?.]"),
+    "multiple_spaces": _spots(" {2,}"),
+    "multiple_upper_initials": _words_spots("regexp_matches(x, '^[A-Z][a-z]+[A-Z]') AND NOT list_contains(regexp_extract_all(source_text, '[A-Za-z]+'), x)"),
+    "same_word_case_mismatch": _words_spots("list_contains(regexp_extract_all(lower(source_text), '[a-z]+'), lower(x)) AND NOT list_contains(regexp_extract_all(source_text, '[A-Za-z]+'), x)"),
+    # RE2 has no back-references: the marks and their repetitions are written out.
+    "repeated_punctuation": _spots("|".join(f"[{m}]{{2,}}" for m in ".,;:!?、，。；：！？")),
+}
+RULES_SQL["repeated_punctuation"] = _all("|".join(f"[{m}]{{2,}}" for m in ".,;:!?、，。；：！？"))
+
+
 def _register(rule: str) -> None:
+    """The rule over segments with faults: how often it finds something in each and, where SQL can say it, where."""
+    spots = rule in _SPOTS_SQL
+
     def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return V.bilingual(spark, sf_dir).select("conv_id", "turn", F.size(Q.rules()[rule]).cast("long").alias("issues")).where("issues > 0")
+        all_ = Q.rules()[rule]
+        places = [F.array_join(F.transform(all_, lambda x: F.concat_ws(":", x.offset.cast("string"), x.length.cast("string"))), ",").alias("places")] if spots else []
+        return V.faulty(spark, sf_dir).select("conv_id", "turn", F.size(all_).cast("long").alias("issues"), *places).where("issues > 0")
 
     QUERIES[f"qa_{rule}"] = found
     if rule in RULES_SQL:
-        SQL[f"qa_{rule}"] = f"WITH {V.BILINGUAL_SQL}, n AS (SELECT conv_id, turn, CAST({RULES_SQL[rule]} AS BIGINT) AS issues FROM bilingual) SELECT * FROM n WHERE issues > 0"
+        places = f", {_SPOTS_SQL[rule]} AS places" if spots else ""
+        SQL[f"qa_{rule}"] = f"WITH {V.FAULTY_SQL}, n AS (SELECT conv_id, turn, CAST({RULES_SQL[rule]} AS BIGINT) AS issues{places} FROM faulty) SELECT * FROM n WHERE issues > 0"
 
 
-#: Rules that compare with a back-reference have no form in the oracle's expressions.
-for _rule in (*RULES_SQL, "repeated_punctuation", "consecutive_duplicate_words"):
+#: Rules that compare words with a back-reference have no form in the oracle's expressions.
+for _rule in (*RULES_SQL, "consecutive_duplicate_words"):
     _register(_rule)
 
 
 @query()
 def qa_unpaired_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.issues(V.bilingual(spark, sf_dir), ["unpaired_marks"])
+    return Q.issues(V.faulty(spark, sf_dir), ["unpaired_marks"])
 
 
 @query()
@@ -89,11 +119,13 @@ def qa_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.issues(V.bilingual(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("issues"), F.countDistinct("conv_id").alias("conversations"))
 
 
-@query(f"""WITH {V.BILINGUAL_SQL}, n AS (SELECT lower({V.normalize_sql("source_text")}) AS source_key, trim(target_text) AS target_text FROM bilingual)
+@query(f"""WITH {V.BILINGUAL_SQL}, n AS (SELECT lower({V.normalize_sql("source_text")}) AS source_key, trim(target_text) AS target_text FROM bilingual UNION ALL SELECT lower({V.normalize_sql("source_text")}), 'reply ' || conv_id % 5 || ' ' || turn % 2 FROM bilingual WHERE turn % 4 = 0)
 SELECT source_key, count(DISTINCT target_text) AS targets, count(*) AS segments FROM n WHERE source_key <> '' AND target_text <> '' GROUP BY 1 HAVING count(DISTINCT target_text) > 1""")
 def context_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal whole user turns, normalised, with different replies."""
-    return Q.context_variants(V.bilingual(spark, sf_dir).withColumn("source_text", T.normalize_text("source_text")))
+    """Equal whole user turns, normalised, with different replies: every second of a conversation comes again with another one."""
+    rows = V.bilingual(spark, sf_dir).select("conv_id", "turn", "source_text", "target_text")
+    again = rows.where("turn % 4 = 0").withColumn("target_text", F.concat(F.lit("reply "), F.col("conv_id") % 5, F.lit(" "), F.col("turn") % 2))
+    return Q.context_variants(rows.unionByName(again).withColumn("source_text", T.normalize_text("source_text")))
 
 
 also("context_inconsistency_whole", "context_inconsistency")

@@ -40,10 +40,14 @@ def glossary_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.glossary_matches(_texts(spark, sf_dir), _terms(spark, sf_dir))
 
 
-@query(rf"""WITH {V.BILINGUAL_SQL} SELECT lower(trim(source_text)) AS source_key, count(DISTINCT target_text) AS targets, count(*) AS entries FROM bilingual WHERE len(string_split_regex(trim(source_text), '\s+')) <= 5 GROUP BY 1 HAVING count(DISTINCT target_text) > 1""")
+@query(rf"""WITH {V.BILINGUAL_SQL}, rows AS (SELECT source_text, target_text FROM bilingual UNION ALL SELECT source_text, 'reply ' || conv_id % 5 FROM bilingual UNION ALL SELECT 'term ' || conv_id % 40, 'T' || turn % 3 FROM bilingual)
+SELECT lower(trim(source_text)) AS source_key, count(DISTINCT target_text) AS targets, count(*) AS entries FROM rows WHERE len(string_split_regex(trim(source_text), '\s+')) <= 5 GROUP BY 1 HAVING count(DISTINCT target_text) > 1""")
 def term_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole user turns as sources and the replies as targets."""
-    return T.conflicts(V.bilingual(spark, sf_dir))
+    """Whole user turns as sources and the replies as targets, each with a second reply, and terms that conversations share."""
+    rows = V.bilingual(spark, sf_dir).select("conv_id", "turn", "source_text", "target_text")
+    again = rows.withColumn("target_text", F.concat(F.lit("reply "), F.col("conv_id") % 5))
+    shared = rows.withColumns({"source_text": F.concat(F.lit("term "), F.col("conv_id") % 40), "target_text": F.concat(F.lit("T"), F.col("turn") % 3)})
+    return T.conflicts(rows.unionByName(again).unionByName(shared))
 
 
 also("term_conflicts_whole", "term_conflicts")

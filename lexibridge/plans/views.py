@@ -55,6 +55,31 @@ def bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user.alias("u").join(reply.alias("r"), (F.col("u.conv_id") == F.col("r.conv_id")) & (F.col("r.turn") == F.col("u.turn") + 1)).select(F.col("u.conv_id"), F.col("u.turn"), F.col("u.text").alias("source_text"), F.col("r.text").alias("target_text"))
 
 
+#: What segments with faults end in, and by the remainder of conv_id + turn what is put into the end of the target instead.
+SOUND_END = " <b>x</b> 12 {name} a@b.org http://x.org/y $ Aa."
+FAULTY_ENDS = [
+    " x 12 {name} a@b.org http://x.org/y $ Aa.",
+    " <b>x</b> 13 {name} a@b.org http://x.org/y $ Aa.",
+    " <i>x</i> 12 {nom} a@b.org http://x.org/y $ Aa.",
+    " <b>x</b> 12 {name} c@b.org http://x.org/y $ Aa.",
+    " <b>x</b> 12 {name} a@b.org http://x.org/z $ Aa.",
+    " <b>x</b> 12 {name} a@b.org http://x.org/y € Aa.",
+    " <b>x</b>  12 {name}   a@b.org http://x.org/y $ Aa. ",
+    " <b>x</b> 12 {name} a@b.org http://x.org/y $ , aA .  Aa.\t",
+    " <b>x</b> 12 {name} a@b.org http://x.org/y $ one,two Two;b Aa!",
+    " <b>x</b> 12 {name} a@b.org http://x.org/y $ CamelCase, NoteBook and CamelCase Aa",
+    " <b>x</b> (12 {name} a@b.org] http://x.org/y $ word word!! Aa.",
+    SOUND_END,
+]
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bilingual segments whose targets have each kind of fault somewhere and are sound elsewhere; some equal their sources, some are cut short."""
+    kind, ends = (F.col("conv_id") + F.col("turn")) % 13, F.array(*[F.lit(e) for e in FAULTY_ENDS])
+    rows = bilingual(spark, sf_dir).withColumn("kind", kind.cast("int")).withColumn("source_text", F.concat("source_text", F.lit(SOUND_END)))
+    return rows.withColumn("target_text", F.when(F.col("kind") == 12, F.col("source_text")).when(F.col("kind") == 3, F.concat(F.left("target_text", F.lit(3)), F.lit(" Aa."))).otherwise(F.concat("target_text", F.get(ends, F.col("kind"))))).drop("kind")
+
+
 def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user_id, source, words, target_was_empty, model, lang_pair, created_at."""
     events = table(spark, sf_dir, "events")
@@ -86,6 +111,10 @@ MEMORY_SQL = r"""memory AS (
 BILINGUAL_SQL = """bilingual AS (
     SELECT u.conv_id, u.turn, u.text AS source_text, r.text AS target_text FROM conversations u JOIN conversations r
     ON u.conv_id = r.conv_id AND r.turn = u.turn + 1 WHERE u.role = 'user' AND r.role = 'assistant')"""
+_QUOTED = lambda t: "'" + t.replace("'", "''").replace("\t", "' || chr(9) || '") + "'"
+FAULTY_SQL = f"""{BILINGUAL_SQL}, faulty AS (
+    SELECT conv_id, turn, source_text || {_QUOTED(SOUND_END)} AS source_text, CASE WHEN (conv_id + turn) % 13 = 12 THEN source_text || {_QUOTED(SOUND_END)} WHEN (conv_id + turn) % 13 = 3 THEN left(target_text, 3) || ' Aa.'
+           ELSE target_text || ([{', '.join(map(_QUOTED, FAULTY_ENDS))}])[CAST((conv_id + turn) % 13 AS INTEGER) + 1] END AS target_text FROM bilingual)"""
 EVENTS_SQL = """metric AS (
     SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN user_id END AS user_id,
            CASE event_type WHEN 'click' THEN 'manual' WHEN 'view' THEN 'tm' WHEN 'purchase' THEN 'llm' WHEN 'signup' THEN 'llm_review' WHEN 'error' THEN 'project_sync' END AS source,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexibridge.functions import similarity as S
 from lexibridge.operators import alignment as A
+from lexibridge.operators import structure as ST
 from lexibridge.plans import views as V
 from lexibridge.plans.registry import query
 
@@ -72,3 +74,36 @@ def aligned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = A.pair_segments(A.align(own, repair=True), own, spark.createDataFrame([], "pair_id long, pair_order int"))
     joined = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pair_order", c))), lambda x: x[c]), lambda t: t != ""), " ").alias(c)
     return made.groupBy("pair_id").agg(joined("source_text"), joined("target_text"))
+
+
+def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units as paragraphs of four, of which every third is a table of two rows."""
+    i = F.col("unit_index")
+    kind = F.when(F.floor(i / 4) % 3 == 2, "table_cell").otherwise("paragraph")
+    return units(spark, sf_dir).withColumns({"block_type": kind, "block_index": F.floor(i / 4), "row_index": F.floor(i % 4 / 2)})
+
+
+_STRUCTURED_SQL = f"""{_UNITS_SQL}, structured AS (SELECT *, CASE WHEN unit_index // 4 % 3 = 2 THEN 'table_cell' ELSE 'paragraph' END AS block_type FROM units)"""
+
+
+@query(f"WITH {_STRUCTURED_SQL} SELECT pair_id, side, CAST(unit_index AS BIGINT) AS unit_index, CAST(unit_index // 4 + unit_index // 12 + CASE WHEN unit_index // 4 % 3 = 2 THEN unit_index % 4 // 2 ELSE 0 END AS BIGINT) AS part FROM structured")
+def structural_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block of every unit: three blocks of a dozen units, the last of two rows."""
+    return ST.structural_blocks(_structured(spark, sf_dir)).select("pair_id", "side", F.col("unit_index").cast("long").alias("unit_index"), F.col("part").cast("long").alias("part"))
+
+
+@query(f"WITH {_UNITS_SQL} SELECT pair_id, side, list_aggregate(list_sort(list(unit_index)), 'string_agg', ',') AS units FROM units GROUP BY pair_id, side")
+def hierarchical_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of all pairs by structure, in the order of the pairs: each once and none out of order."""
+    seed = ST.hierarchical_seed(_structured(spark, sf_dir))
+    side = lambda name, c: seed.select("pair_id", F.lit(name).alias("side"), "pair_order", F.col(c).alias("held")).where(F.size("held") > 0)
+    both = side("source", "src").unionByName(side("target", "tgt"))
+    return both.groupBy("pair_id", "side").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pair_order", "held"))), lambda x: x.held)), ",").alias("units"))
+
+
+@query(f"WITH {_UNITS_SQL} SELECT pair_id, CAST(unit_index AS BIGINT) AS s, CAST(unit_index AS BIGINT) AS t FROM units WHERE side = 'source'")
+def align_same_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text against itself, with vectors: each unit meets itself."""
+    own = units(spark, sf_dir).where("side = 'source'").withColumn("vector", S.hashed_embedding("text"))
+    pairs = A.align(own.unionByName(own.withColumn("side", F.lit("target"))))
+    return pairs.select("pair_id", F.explode(F.arrays_zip("src", "tgt")).alias("u")).select("pair_id", F.col("u.src").cast("long").alias("s"), F.col("u.tgt").cast("long").alias("t"))

@@ -46,6 +46,12 @@ def tables_for(bits: int, threshold: float) -> int:
     return math.ceil(math.log(MISS) / math.log1p(-agree))
 
 
+def _tamed(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near one: no rounding, and squares neither overflow nor vanish."""
+    _, exponent = np.frexp(np.abs(vectors).max(1, initial=0.0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 class Codes:
     """Codes, correction factors and bucket keys of unit row vectors."""
 
@@ -78,6 +84,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _tamed(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -106,6 +113,7 @@ def _links(bits: int, tables: int, threshold: float):
         ids, table = t.column("id").to_numpy(), t.column("band").to_numpy()
         block, alone = t.column("block").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
         vectors = _matrix(t.column("vector"))
+        vectors = _tamed(vectors)
         norm = np.linalg.norm(vectors, axis=1)
         codes = Codes(vectors / norm[:, None], bits, tables)
         # The keys that rows were dealt by: worked out anew, a sign could turn in the last bit.

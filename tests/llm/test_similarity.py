@@ -225,6 +225,13 @@ def test_fingerprints_of_awkward_and_empty_tables(awkward, nothing):
     assert fingerprint.fingerprint_documents(nothing).collect() == []
 
 
+def test_vectors_of_extreme_size(spark):
+    base = [1.0, 2.0, -3.0, 0.5]
+    rows = [(n, [x * f for x in base], 1, "k", 0, 0, "") for n, f in enumerate((1.0, 1e250, 1e-250, 3e-160, 7e170))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_vectors(vectors(spark, rows)).collect()}
+    assert got == {n: (4, 0) for n in range(5)}
+
+
 def test_vectors_of_many_lengths(spark):
     """A pair of near vectors of each of 70 lengths."""
     rows = [(2 * n + k, [1.0] * n + [1.0 + k / 1000], 1, "k", 0, 0, "") for n in range(1, 71) for k in (0, 1)]

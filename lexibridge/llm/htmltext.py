@@ -64,9 +64,13 @@ class Path:
 
     def __init__(self, total: np.ndarray, near: tuple[str, ...] = (), headed: bool = False):
         self.total, self.near, self.headed = total, near, headed
+        self.steps: dict[tuple[str, ...], Path] = {}
 
     def below(self, names: tuple[str, ...]) -> Path:
-        return Path(self.total + sum(map(_token_vector, names)), (*self.near, *names)[-NEAR:], self.headed or any(n in ("h1", "h2", "h3", "h4") for n in names))
+        """The path one step down; equal steps from one place are one path."""
+        if names not in self.steps:
+            self.steps[names] = Path(self.total + sum(map(_token_vector, names)), (*self.near, *names)[-NEAR:], self.headed or any(n in ("h1", "h2", "h3", "h4") for n in names))
+        return self.steps[names]
 
     @cached_property
     def vector(self) -> np.ndarray:
@@ -76,7 +80,8 @@ class Path:
         return v.astype(np.float32)
 
 
-ROOT = Path(np.zeros(PATH, np.float32))
+def root() -> Path:
+    return Path(np.zeros(PATH, np.float32))
 
 
 @dataclass
@@ -97,6 +102,8 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: character references decoded, white space made one blank, trimmed."""
     out: list[Block] = []
+    # Paths are shared within a page and go with it.
+    top = root()
     stack: list[tuple[str, Path]] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -105,7 +112,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, stack[-1][1] if stack else ROOT, min(state["linked"] / len(text), 1.0)))
+            out.append(Block(text, stack[-1][1] if stack else top, min(state["linked"] / len(text), 1.0)))
         parts.clear()
         state["linked"] = 0
 
@@ -157,7 +164,7 @@ def blocks(page: str) -> list[Block]:
             pop()
         # The end tags of head may be left out: it encloses nothing here.
         if tag not in VOID and tag not in ("head", "title") and not attributes.endswith("/"):
-            stack.append((tag, (stack[-1][1] if stack else ROOT).below(_names(tag, attributes))))
+            stack.append((tag, (stack[-1][1] if stack else top).below(_names(tag, attributes))))
             opened[tag] += 1
     # What follows the last tag is text, up to a comment without an end.
     if at < len(page):

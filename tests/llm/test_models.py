@@ -167,7 +167,7 @@ def test_deep_pages_take_time_in_proportion():
 
 def test_folded_paths_equal_whole_ones():
     tokens = [x for i in range(9) for x in ("div", f".c{i}")]
-    path = htmltext.ROOT
+    path = htmltext.root()
     for i in range(0, len(tokens), 2):
         path = path.below((tokens[i], tokens[i + 1]))
     want = sum(max(htmltext.FAR, 1 - 0.1 * d) * htmltext._token_vector(t) for d, t in enumerate(reversed(tokens)))
@@ -198,7 +198,7 @@ def test_labels_equal_a_scalar_forward_pass():
 
 def test_far_tags_count():
     deep = tuple(x for i in range(30) for x in ("div", f".c{i}"))
-    near, far = (htmltext.features([htmltext.Block("text", htmltext.ROOT.below(path), 0.0)]) for path in (deep, ("nav", *deep)))
+    near, far = (htmltext.features([htmltext.Block("text", htmltext.root().below(path), 0.0)]) for path in (deep, ("nav", *deep)))
     assert not np.array_equal(near, far)
 
 

@@ -40,7 +40,21 @@ def existing_key_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(shared, "source_hash", "left_semi").select("file_id", F.col("seg_idx").cast("long").alias("seg_idx"))
 
 
-@query()
+def fuzzy_sql(queries: str, entries: str, recall: int = M.TRIGRAM_RECALL) -> str:
+    """CTEs that give `ranked` (query_id, entry_id, similarity, rank) of queries (query_id, text) and entries (entry_id, source_text), both
+    names of CTEs: all pairs that share a trigram, scored."""
+    matched = lambda c: f"coalesce(nullif({V.match_sql(c)}, ''), {V.normalize_sql(c)})"
+    grams = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(m), '[^\\pL\\pN]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+    allowed = f"regexp_matches({V.match_sql('text')}, '[\\pL\\pN]') AND NOT (length({V.core_sql('text')}) <= 4 AND regexp_matches({V.core_sql('text')}, '{T.NUMBERING}'))"
+    return f"""asked AS (SELECT query_id, length(m) AS length, {grams} AS grams FROM (SELECT query_id, {matched("text")} AS m FROM {queries} WHERE {allowed})),
+    held AS (SELECT entry_id, length(m) AS length, {grams} AS grams FROM (SELECT entry_id, {matched("source_text")} AS m FROM {entries})),
+    shared AS (SELECT query_id, entry_id, count(*) AS n FROM (SELECT query_id, unnest(grams) AS gram FROM asked) JOIN (SELECT entry_id, unnest(grams) AS gram FROM held) USING (gram) GROUP BY 1, 2),
+    scored AS (SELECT s.query_id, s.entry_id, s.n / (len(a.grams) + len(h.grams) - s.n) AS similarity FROM shared s JOIN asked a USING (query_id) JOIN held h USING (entry_id)
+        WHERE h.length BETWEEN greatest(1, CAST(floor(a.length * 0.4) AS BIGINT) - 4) AND greatest(a.length + 12, CAST(floor(a.length * 2.2) AS BIGINT) + 12)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rank FROM scored WHERE similarity >= 0.3 QUALIFY rank <= {recall})"""
+
+
+@query(f"WITH {V.HASHED_SQL}, {V.MEMORY_SQL}, texts AS (SELECT source_hash AS query_id, min(source_text) AS text FROM hashed GROUP BY 1), {fuzzy_sql('texts', 'memory')} SELECT query_id, entry_id, similarity, CAST(rank AS INTEGER) AS rank FROM ranked")
 def fuzzy_topk_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct segment text against the memory; checked against brute force in the tests."""
     return M.trigram_candidates(_texts(spark, sf_dir), V.memory_entries(spark, sf_dir))

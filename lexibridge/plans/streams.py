@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexibridge.plans import views as V
+from lexibridge.plans.memory import fuzzy_sql
 from lexibridge.plans.registry import query
 from lexibridge.streaming import deltas as D
 from lexibridge.streaming import incremental as I
@@ -142,3 +143,19 @@ def delta_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     D.compact(spark, path, schema, ["status"], merge, 4)
     add(signed.where("event_id % 3 = 1").drop("event_id"), 1)
     return D.read(spark, path, schema, merge)
+
+
+_AFFECTED_SQL = f"""{V.MEMORY_SQL}, changed AS (SELECT entry_id, CASE WHEN entry_id % 3 = 0 THEN source_text ELSE source_text || ' and more' END AS source_text FROM memory WHERE entry_id % 4 = 1),
+segs AS (SELECT entry_id * 2 + n AS segment_id, source_text, sha256({V.normalize_sql("source_text")}) AS h FROM memory, (VALUES (0), (1)) v(n) WHERE (entry_id + n) % 5 <> 0), texts AS (SELECT h AS query_id, min(source_text) AS text FROM segs GROUP BY 1),
+equal_ones AS (SELECT sha256({V.normalize_sql("source_text")}) AS query_id, min(entry_id) AS entry_id FROM changed GROUP BY 1 HAVING query_id IN (SELECT query_id FROM texts))"""
+
+
+@query(f"""WITH {_AFFECTED_SQL}, {fuzzy_sql("texts", "changed")}, found AS (SELECT query_id, entry_id, 1.0::DOUBLE AS similarity FROM equal_ones UNION ALL SELECT r.query_id, r.entry_id, r.similarity FROM ranked r ANTI JOIN equal_ones USING (query_id, entry_id))
+SELECT segment_id, entry_id, similarity FROM segs JOIN found ON h = query_id""")
+def affected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory texts as segments, twice each, a fifth of them confirmed; a quarter of the entries changed."""
+    memory = V.memory_entries(spark, sf_dir).select("entry_id", "source_text")
+    i = F.col("entry_id")
+    changed = memory.where(i % 4 == 1).select("entry_id", F.when(i % 3 == 0, F.col("source_text")).otherwise(F.concat("source_text", F.lit(" and more"))).alias("source_text"))
+    twice = memory.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select((i * 2 + F.col("n")).alias("segment_id"), "source_text", ((i + F.col("n")) % 5 == 0).alias("confirmed"))
+    return I.affected_segments(twice, changed)

@@ -129,6 +129,23 @@ def rematch_triggers(changes: DataFrame, at: str = "ts", rows: int = REMATCH_ROW
     return timed.groupBy("collection_id").applyInPandasWithState(step, "collection_id long, pending long, oldest long", "pending long, oldest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def affected_segments(segments: DataFrame, changed: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(segment_id, entry_id, similarity): the segments that changed memory entries may give another match, and by which.
+
+    segments: segment_id, source_text, confirmed; changed: entry_id, source_text, as batches of a memory's changes come. Confirmed segments keep what they
+    have. A segment is affected by equal hash (similarity 1, the least such entry) or as one whose rarest trigrams a changed entry
+    shares; all others are left alone. Each distinct text is looked up once, however many segments hold it.
+    """
+    from lexibridge.operators.memory import trigram_candidates
+
+    open_ = segments.where(~F.coalesce(F.col("confirmed"), F.lit(False))).select("segment_id", T.source_hash("source_text").alias("query_id"), "source_text")
+    texts = open_.groupBy("query_id").agg(F.min("source_text").alias("text"))
+    equal = changed.groupBy(T.source_hash("source_text").alias("query_id")).agg(F.min("entry_id").alias("entry_id")).join(texts.select("query_id"), "query_id", "left_semi")
+    like = trigram_candidates(texts, changed, threshold).join(equal, ["query_id", "entry_id"], "left_anti").select("query_id", "entry_id", "similarity")
+    found = equal.select("query_id", "entry_id", F.lit(1.0).alias("similarity")).unionByName(like)
+    return open_.select("segment_id", "query_id").join(found, "query_id").select("segment_id", "entry_id", "similarity")
+
+
 def coalesced(outbox: DataFrame, keys: list[str], at: str) -> DataFrame:
     """One row per key of a change feed: the latest, with how many it stands for."""
     value = [c for c in outbox.columns if c not in (*keys, at)]

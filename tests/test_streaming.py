@@ -93,3 +93,15 @@ def test_stale_embeddings_and_backfill(spark):
 def test_sessions_end_at_a_pause(spark):
     rows = spark.sql("SELECT 1 AS user_id, timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT 1, timestamp'2024-01-01 00:09:00' UNION ALL SELECT 1, timestamp'2024-01-01 00:20:00'")
     assert sorted(r.requests for r in incremental.sessions(rows, "10 minutes").collect()) == [1, 2]
+
+
+def test_affected_segments(spark):
+    segments = [(1, "Hello world again", False), (2, "hello  world again", True), (3, "Hello world again", None), (4, "quite another text", False), (5, "Hello world anew", False)]
+    changed = [(10, "Hello world again"), (11, "Hello world again"), (12, "unrelated")]
+    got = incremental.affected_segments(spark.createDataFrame(segments, "segment_id long, source_text string, confirmed boolean"), spark.createDataFrame(changed, "entry_id long, source_text string")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.segment_id, {})[r.entry_id] = round(r.similarity, 2)
+    # Equal texts first, by the least entry; confirmed and unlike segments are left alone.
+    assert set(found) == {1, 3, 5} and found[1] == {10: 1.0, 11: 1.0} == found[3]
+    assert found[5] and max(found[5].values()) < 1

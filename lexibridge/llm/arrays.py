@@ -67,18 +67,19 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and their inverses, `size` of each."""
-    up = np.full(size, _BASE, np.uint64)
-    down = np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: The longest tables of powers made so far; shorter ones are their beginnings, so only one pair is held.
+_POWERS: list[np.ndarray] = []
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    step = 1 << 18
-    return _powers(-(-(size + 1) // step) * step)
+    """Powers of an odd base modulo 2^64 and their inverses, `size` + 1 of each at least."""
+    if not _POWERS or len(_POWERS[0]) <= size:
+        step = 1 << 18
+        n = -(-(size + 1) // step) * step
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _POWERS[0], _POWERS[1]
 
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import code_points, slices, word_table
+from lexibridge.llm.common import released
 
 DIMENSIONS = 4096
 CENTROIDS = 4
@@ -164,7 +165,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best, score = np.where(none, len(names) - 1, best), np.where(none, 0.0, score).astype(float)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(start, stop - start), "lang_pred": pa.array(names[best], pa.string()), "score": score, "rejected": score < least[best]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def _letters():
@@ -197,4 +198,4 @@ def filter_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     keep[start:stop] = (score >= least[best]) & np.array([bool(letters(t)) for t in texts[start:stop]])
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

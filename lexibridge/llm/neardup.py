@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import grouped, mix64, slices, weighted
 from lexibridge.llm.bagminhash import signatures
-from lexibridge.llm.common import materialise
+from lexibridge.llm.common import materialise, released
 from lexibridge.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -183,7 +183,7 @@ def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: in
     m = bands * rows
     need = math.ceil(m * threshold - 4.2 * math.sqrt(m * threshold * (1 - threshold)))
     base = _keyed(docs).where("doc_id IS NOT NULL")
-    signed = materialise(base.mapInArrow(_sign(bands, rows, width), "text_key binary, members array<long>, first long, weight long, keys array<long>, sign binary"))
+    signed = materialise(base.mapInArrow(released(_sign(bands, rows, width)), "text_key binary, members array<long>, first long, weight long, keys array<long>, sign binary"))
     # One row per distinct text, numbered; tasks have joined the copies that they met, so a text of very many copies is few rows.
     merged = signed.groupBy("text_key").agg(F.min("first").alias("first"), F.any_value("weight").alias("weight"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign"))
     texts_of = materialise(merged.withColumn("id", F.monotonically_increasing_id()))
@@ -211,7 +211,7 @@ def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: in
     large = materialise(open_places.where(F.col("n") > SMALL).select("id", "leader", "component"))
     group = components(large.select("id", F.col("leader").alias("to")), "id", "to")
     dealt = _cells(large.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id").join(classes.select("id", "weight"), "id").join(texts, "id"), threshold)
-    third = dealt.mapInArrow(_connect(threshold, width), "a long, b long")
+    third = dealt.mapInArrow(released(_connect(threshold, width)), "a long, b long")
     links = first.unionByName(second).unionByName(third).distinct()
 
     own = texts_of.select("id", "text_key", "first")
@@ -259,12 +259,12 @@ def _alike(pairs: DataFrame, signs: DataFrame, need: int) -> DataFrame:
                 yield pa.record_batch({"a": batch.column("a").take(at), "b": batch.column("b").take(at)})
 
     both = pairs.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("left")), "a").join(signs.select(F.col("id").alias("b"), F.col("sign").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(released(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify(threshold, width), "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(released(_verify(threshold, width)), "a long, b long")
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexibridge.llm.common import materialise
+from lexibridge.llm.common import materialise, released
 
 CAPACITY = 2048
 #: Pieces of one length that a slice holds, about: ranks within a length are counted in independent slices,
@@ -219,7 +219,7 @@ def token_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPAC
 
     A null text counts as empty and so is one piece, `end` alone.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pieces(path, end, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(_pieces(path, end, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _place(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -257,7 +257,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*own)) - 1
     ranked = sliced.withColumn("_within", within).join(starts, ["length", "_slice"]).select(*own, (F.col("_within") + F.col("_start")).cast("long").alias("rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(plan(lengths, capacity)), schema)
+    return ranked.mapInArrow(released(_place(plan(lengths, capacity))), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:

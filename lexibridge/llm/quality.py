@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexibridge.llm.arrays import code_points, mix64, slices, span_hashes, word_spans
-from lexibridge.llm.common import bounded_sample
+from lexibridge.llm.common import bounded_sample, released
 
 #: Dimensions of the two hashed families and number of plain measures.
 SHAPES, WORDS, PLAIN = 2048, 2048, 6
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn: Colum
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(start, stop - start), "grade": batch.column("grade").slice(start, stop - start), "x": pa.array([_sparse(v) for v in x], pa.binary())})
 
     # The chosen ratings are bounded by `sample`, and so is what comes back.
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, grade int, x binary").limit(4 * sample).collect()
+    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(released(run), "doc_id long, grade int, x binary").limit(4 * sample).collect()
     got.sort()
     x = np.zeros((len(got), SHAPES + WORDS + PLAIN), np.float32)
     for i, (_, _, v) in enumerate(got):
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 tails = model.tails(part[start:stop]).astype(float)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(start, stop - start), "expected_grade": tails.sum(1), "tail_probability": tails[:, 0], "kept": tails[:, 0] >= least})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -186,4 +186,4 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, sampl
                 keep[start:stop] = model.tails(part[start:stop])[:, 0] >= least
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -24,6 +24,16 @@ BEFORE_TEXT = [
     r"(?i:(?:chapter|section|article|clause)\s+\d+[.)]?)",
     rf"(?=.*[0-9{NUMERALS}])(?=.*[.．。)、）\]】\-第章节条款]).*",
 ]
+#: What stands before a text counts as numbering, if it is one of these and of at most 40 characters.
+NUMBERING = rf"^(?=.{{1,40}}$)(?:{'|'.join(BEFORE_TEXT)})$"
+#: Numbering with a number, and how a translation may write it; # is the number.
+WRITTEN = [
+    *((rf"^第\s*[0-9{NUMERALS}]+\s*{sign}$", f"{label} #") for sign, label in LABELS.items()),
+    (rf"^[0-9{NUMERALS}]+\s*[、．。.]$", "#."),
+    (rf"^[（(]\s*[0-9{NUMERALS}]+\s*[)）]$", "(#)"),
+]
+#: Signs that a translation may write otherwise, each kind by itself.
+NARROWED = {"、": ".", "．。": "..", "（）": "()"}
 
 
 def quotes(c: Column | str, target: str = "curly", width: str = "all", shape: str = "all", target_width: str = "half", curly_is_half: bool = False) -> Column:
@@ -51,51 +61,39 @@ def quotes(c: Column | str, target: str = "curly", width: str = "all", shape: st
     return out
 
 
-def _number(token: Column) -> Column:
-    """Digits or numerals as a number; null for a mixture."""
-    plain = F.translate(token, FORMAL, PLAIN)
-    return F.when(token.rlike(r"^\d+$"), token.cast("long")).when(token.rlike(f"^[{NUMERALS}]+$"), numeral_value(plain).cast("long"))
+def numbering_prefix(display: Column, source: Column) -> Column:
+    """What a displayed text has before its source, if that looks like numbering; else null."""
+    shown, own = normalize_text(display), normalize_text(source)
+    before = F.rtrim(F.left(shown, F.length(shown) - F.length(own)))
+    return F.when((own != "") & F.endswith(shown, own), F.nullif(F.regexp_extract(before, NUMBERING, 0), F.lit("")))
 
 
-def _localised(prefix: Column) -> Column:
-    """The forms that a normalised prefix may have in a translation."""
-    part = lambda pattern, group=1: F.regexp_extract(prefix, pattern, group)
-    labelled = rf"^第\s*([0-9{NUMERALS}]+)\s*([章节条款])$"
-    label = F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), part(labelled, 2))
-    forms = [
-        F.concat(label, F.lit(" "), _number(part(labelled)).cast("string")),
-        F.concat(_number(part(rf"^([0-9{NUMERALS}]+)\s*[、．。.]$")).cast("string"), F.lit(".")),
-        F.concat(F.lit("("), _number(part(rf"^[（(]\s*([0-9{NUMERALS}]+)\s*[)）]$")).cast("string"), F.lit(")")),
-        F.translate(prefix, "、", "."),
-        F.translate(prefix, "．。", ".."),
-        F.translate(prefix, "（）", "()"),
-    ]
-    return F.array(prefix, *forms)
+def written_forms(numbering: Column) -> Column:
+    """A numbering as it is and as a translation may write it; null entries where a form does not apply."""
+    token = F.regexp_extract(numbering, f"[0-9{NUMERALS}]+", 0)
+    number = F.when(token.rlike(r"^\d+$"), token.cast("long")).when(~token.rlike(r"\d"), numeral_value(F.translate(token, FORMAL, PLAIN)).cast("long")).cast("string")
+    return F.array(
+        numbering,
+        *[F.when(numbering.rlike(looks), F.replace(F.lit(form), F.lit("#"), number)) for looks, form in WRITTEN],
+        *[F.translate(numbering, signs, narrow) for signs, narrow in NARROWED.items()],
+    )
 
 
-def numbering_prefix(display: Column, source: Column) -> Column:
-    """What a displayed text has before its source, if that looks like numbering; else null."""
-    shown, own = normalize_text(display), normalize_text(source)
-    prefix = F.rtrim(F.substring(shown, F.lit(1), F.length(shown) - F.length(own)))
-    like = (F.length(prefix) <= 40) & prefix.rlike("^(?:" + "|".join(BEFORE_TEXT) + ")$")
-    return F.when((own != "") & (shown != own) & F.endswith(shown, own) & (prefix != "") & like, prefix)
+def opening(form: Column) -> Column:
+    """The pattern of a text that opens with a form of numbering: up to a separator, blanks, or where the form itself ends the number."""
+    literal = F.replace(F.regexp_replace(form, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(" "), F.lit(r"\s+"))
+    closed = F.when(form.rlike(rf"{TIGHT}|第\s*.+[章节条款]$"), r"|(?!(?<=\.)\d)").otherwise("")
+    return F.concat(F.lit(r"(?i)^\s*"), literal, F.lit(rf"(?:{SEPARATORS}\s*|\s+"), closed, F.lit(")"))
 
 
 def without_numbering(text: Column, source: Column, display: Column, numbering: Column) -> Column:
     """A translation without the automatic numbering that its source is displayed with.
 
-    The first prefix that the text begins with is taken off, if text remains: the numbering itself or the one that
-    `display` shows before `source`, each as it is or in a local form (第三章: Chapter 3). A null text is empty.
+    The first form that the text opens with is taken off, if text remains: of the numbering itself, then of the one that
+    `display` shows before `source`, each as it is or as a translation may write it (第三章: Chapter 3). A null text is empty.
     """
     text = F.coalesce(text, F.lit(""))
-    prefixes = F.flatten(F.transform(F.filter(F.array(F.nullif(normalize_text(numbering), F.lit("")), numbering_prefix(display, source)), lambda p: p.isNotNull()), _localised))
-
-    def rest(prefix: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?i)^\s*\Q"), F.replace(prefix, F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
-        after = F.substring(text, F.length(F.regexp_substr(text, pattern)) + 1, F.length(text))
-        tight = ~(F.endswith(prefix, F.lit(".")) & after.rlike(r"^\d")) & prefix.rlike(rf"{TIGHT}|第\s*.+[章节条款]$")
-        found = F.when(after.rlike(rf"^{SEPARATORS}"), F.substring(after, F.lit(2), F.length(after))).when(after.rlike(r"^\s") | ((after != "") & tight), after)
-        return F.regexp_replace(found, r"^\s+", "")
-
-    left = F.filter(F.transform(F.filter(prefixes, lambda p: p.isNotNull()), rest), lambda r: r.isNotNull() & (normalize_text(r) != ""))
+    known = F.array(F.nullif(normalize_text(numbering), F.lit("")), numbering_prefix(display, source))
+    patterns = F.array_distinct(F.transform(F.array_compact(F.flatten(F.transform(F.array_compact(known), written_forms))), opening))
+    left = F.filter(F.transform(patterns, lambda p: F.when(F.rlike(text, p), F.regexp_replace(text, p, F.lit("")))), lambda rest: normalize_text(rest) != "")
     return F.coalesce(F.get(left, F.lit(0)), text)

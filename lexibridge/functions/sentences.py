@@ -68,3 +68,33 @@ def sentences(c: Column | str) -> Column:
     s = F.regexp_replace(s, rf"([{ENDINGS}{FINAL}][{ENDINGS}{FINAL}{INNER}]*[{closers}]*)", f"$1{CUT}")
     parts = F.split(F.translate(s, INNER + FINAL, ".."), rf"{CUT}|\n\s*\n")
     return F.filter(F.transform(parts, T.normalize_text), lambda x: x != "")
+
+
+# Fixed values of the simpler rules for single formats.
+SIMPLE_ENDINGS = "。？！!?"
+SIMPLE_CLOSERS = "\"'》】）)]」』"
+SIMPLE_ABBREVIATIONS = "mr mrs ms dr prof sr jr vs etc inc ltd co st ave blvd rd apt no vol pp ed eds trans fig figs approx dept est govt intl natl univ e.g i.e cf al et".split()
+
+_BLANK = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
+#: Letters and dots in a row. Of its dots only the last can end a sentence: what follows the others is no blank.
+_RUN = r"[\p{L}.]"
+_ENDS = rf"{_RUN}++(?<=\.)(?=[ \n\r\t]|\z)"
+_SHORT = rf"(?i:{'|'.join(a.replace('.', '[.]') for a in SIMPLE_ABBREVIATIONS)})\.+(?!{_RUN})"
+_COUNT = r"\p{Nd}++" + _BLANK + r"*+\.(?=[ \n\r\t])"
+#: One sentence from where the last one stopped, with all blanks: what leads it, what runs through, what ends it.
+SIMPLE = (
+    rf"(?:{_BLANK}*+(?:\p{{Nd}}++|[A-Za-z]|[ivxIVX]++)\.(?!{_RUN})|{_COUNT})?+"
+    rf"(?:{_BLANK}++|(?<={_BLANK}){_COUNT}|{_SHORT}|(?!{_ENDS}){_RUN}++|[^\s\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}\p{{L}}.{SIMPLE_ENDINGS}]++)*+"
+    rf"(?:(?:{_ENDS}|[{SIMPLE_ENDINGS}])[{SIMPLE_ENDINGS}.]*+[{''.join(chr(92) + c for c in SIMPLE_CLOSERS)}]*+|\z)"
+)
+
+
+def simple_sentences(c: Column | str) -> Column:
+    """The text cut into sentences by the simpler rules, which know no headings or line feeds; joined they are the text.
+
+    A full-width mark, ! or ? ends a sentence, with the marks and closing signs after it. A dot does before a blank or at the text's
+    end, unless it follows an abbreviation, a number standing alone, or the number or letter that the sentence begins
+    with. Digits are decimal ones. Null or empty texts have no sentence.
+    """
+    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.filter(F.regexp_extract_all(text, F.lit(SIMPLE), F.lit(0)), lambda s: s != "")

@@ -13,6 +13,7 @@ from lexibridge.operators import numbers as N
 from lexibridge.operators import search as S
 from lexibridge.operators import terms as TM
 from lexibridge.operators import worklists as W
+from lexibridge.operators.segmenting import simple_spans
 from lexibridge.plans import views as V
 from lexibridge.plans.registry import query
 
@@ -362,3 +363,10 @@ def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all documents by the rules for dots, lines and headings."""
     docs = V.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences("text")).alias("place", "sentence"))
     return docs.select("doc_id", F.col("place").cast(LONG).alias("place"), "sentence")
+
+
+@query()
+def simple_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents by the simpler rules, with their places."""
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("unit"), "text")
+    return simple_spans(docs).select(F.col("path").alias("doc_id"), F.col("sentence").cast(LONG).alias("sentence"), "source_text", "start", "end")

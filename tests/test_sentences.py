@@ -83,3 +83,68 @@ def test_segments_are_numbered_through_the_document(spark):
     got = segmenting.segments(units).orderBy("path", "seg_idx").collect()
     assert [(r.path, r.unit, r.sentence, r.seg_idx, r.source_text) for r in got] == [("p", 0, 0, 0, "One."), ("p", 0, 1, 1, "Two."), ("p", 2, 0, 2, "Three"), ("q", 0, 0, 0, "x")]
     assert segmenting.segments(units.where(F.lit(False))).collect() == []
+
+
+def cut_simply(text):
+    """The simpler rules, sign by sign."""
+    out, start, i, last = [], 0, 0, len(text)
+    while i < last:
+        c, ends = text[i], False
+        if c in S.SIMPLE_ENDINGS:
+            ends = True
+        elif c == "." and (i + 1 == last or text[i + 1] in " \n\r\t"):
+            so_far = text[start:i]
+            word = re.search(r"(?:[^\W\d_]|\.)*\Z", so_far).group().rstrip(".").lower()
+            leads = re.fullmatch(r"\d+|[a-zA-Z]|[ivxIVX]+", so_far.lstrip())
+            counts = i + 1 < last and so_far.split()[-1:] and so_far.split()[-1].isdigit()
+            ends = not leads and word not in S.SIMPLE_ABBREVIATIONS and not counts
+        i += 1
+        if ends:
+            while i < last and text[i] in S.SIMPLE_ENDINGS + ".":
+                i += 1
+            while i < last and text[i] in S.SIMPLE_CLOSERS:
+                i += 1
+            out, start = [*out, text[start:i]], i
+    return [*out, text[start:]] if start < last else out
+
+
+SIMPLE = [
+    ("One. Two", ["One.", " Two"]),
+    ("1. Scope. Next", ["1. Scope.", " Next"]),
+    ("See No. 5. Then etc. more", ["See No. 5. Then etc. more"]),
+    ('He said "Stop!" and left. x', ['He said "Stop!"', " and left.", " x"]),
+    ("你好。」世界！.etc. 真的", ["你好。」", "世界！.", "etc. 真的"]),
+    ("i.e. this. v1.2 is file.txt now.", ["i.e. this.", " v1.2 is file.txt now."]),
+    ("", []),
+    (None, []),
+]
+
+
+def test_simple_sentences(spark):
+    import random
+
+    draw = random.Random(5)
+    bits = ["a", "iv", "No", "etc", "e.g", "word", "12", "3", ".", ".", "..", " ", " ", "\n", "!", "。", "”", ")", '"', "　", "é", "x1", ",", "i"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(1, 14))) for _ in range(20000)]
+    want = [(t, w) for t, w in SIMPLE] + [(t, cut_simply(t)) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "i int, t string").repartition(8)
+    for r in df.select("i", S.simple_sentences("t").alias("s")).collect():
+        assert r.s == want[r.i][1], want[r.i]
+
+
+def test_simple_spans_cover_long_texts(spark):
+    long = "word, other " * 100_000
+    rows = [("p", 0, long), ("p", 1, "A b.  \n"), ("p", 2, None), ("q", 0, "😀 is. No"), ("q", 1, "." * 300_000)]
+    got = segmenting.simple_spans(spark.createDataFrame(rows, "path string, unit int, text string")).orderBy("path", "unit", "sentence").collect()
+    assert [(r.path, r.unit, r.sentence, r.start, r.end) for r in got] == [("p", 0, 0, 0, len(long)), ("p", 1, 0, 0, 4), ("p", 1, 1, 4, 7), ("q", 0, 0, 0, 5), ("q", 0, 1, 5, 8), ("q", 1, 0, 0, 300_000)]
+    assert [r.display_text for r in got[1:5]] == ["A b.", "", "😀 is.", "No"]
+
+
+def test_simple_spans_of_documents(spark, data):
+    from lexibridge.plans import catalogue
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = {}
+    for r in catalogue.queries()["simple_sentence_spans"](spark, data).orderBy("doc_id", "sentence").collect():
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start : r.end])
+    assert got == {i: cut_simply(t) for i, t in texts.items() if t}

@@ -139,3 +139,18 @@ def test_reading_order_and_spaces(spark):
     assert (got.n_boxes, got.text) == (6, "上文right5 mm下")
     words = [(1, "a", 1, "one", 0.0, 0.0, 20.0, 10.0, 0.0, "x"), (1, "a", 2, "two", 40.0, 0.0, 20.0, 10.0, 0.0, "x"), (1, "a", 3, ", x", 90.0, 0.0, 20.0, 10.0, 0.0, "x")]
     assert B.reading_text(spark.createDataFrame(words, BOX), "page").first().text == "one two, x"
+
+
+def test_boxes_move_once_and_marks_equal_blocked(spark):
+    """Scoring moves no texts and deals boxes out once; marks carried with the pairs equal `blocked` on joined boxes."""
+    rng = random.Random(5)
+    rows = [(i % 3, "body", i, "some words", rng.uniform(0, 400), rng.uniform(0, 300), rng.uniform(10, 60), rng.choice([10.0, 12.0, 16.0]), 0.0, "plain") for i in range(240)]
+    laid = G.cut(spark.createDataFrame(rows, BOX))
+    barred = spark.createDataFrame([(rng.randrange(3), rng.choice("hv"), rng.uniform(0, 300), low := rng.uniform(0, 300), low + rng.uniform(5, 200)) for _ in range(120)], LINE)
+    pairs = B.scored_pairs(laid)
+    want = {(r.a, r.b) for r in B.blocked(B.between_boxes(pairs, laid), barred, "a", "b").collect()}
+    got = B.marked_pairs(B.scored_pairs(laid, way=True), barred, B.line_bins(laid)).collect()
+    assert want and {(r.a, r.b) for r in got if r.blocked} == want and len(got) == pairs.count()
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan

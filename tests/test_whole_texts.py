@@ -40,3 +40,20 @@ def test_acronym_in_documents_with_underscores(spark, tmp_path):
     rows = [(1, "snake_case and THE end, THE", "en"), (2, "the_end", "en"), (3, "THE_X", "en"), (4, "OTHER", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.text_id, r.hits) for r in catalogue.queries()["term_acronym_case"](spark, str(tmp_path)).collect()} == {(1, 2), (3, 1)}
+
+
+def test_character_pairs_do_not_move_by_place(spark, tmp_path):
+    """Texts move once at most, whatever their length: no exchange holds a row a place; results by brute force."""
+    from lexibridge.plans import repetition as R
+
+    texts = {3: "ab ab\nab", 5: "xyab𝒳𝒴", 4: "𝒳𝒴𝒳𝒴", 9: "a", 8: "", 7: None, 6: "new " * 500}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    units = {k: ["".join(p) for p in zip(t, t[1:])] for k, v in texts.items() if len(t := "".join((v or "").split())) > 1}
+    want = {}
+    for k, own in units.items():
+        crossing = {u for j, other in units.items() if j < k for u in other}
+        covers = lambda hit, own=own: len({p + d for p, u in enumerate(own) if hit(p, u) for d in (0, 1)})
+        want[k] = (len(own), covers(lambda p, u, own=own: u in own[:p]), covers(lambda p, u, c=crossing: u in c))
+    found = R.repetition_char_intervals(spark, str(tmp_path))
+    assert {r.file_id: (r.units, r.internal_units, r.cross_units) for r in found.collect()} == want
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()

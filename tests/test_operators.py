@@ -151,3 +151,21 @@ def test_vector_scores_raise_fuzzy_scores(spark):
     v = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.99)], "query_id int, entry_id int, score double")
     raised = {r.entry_id: r.score for r in memory.fuzzy_matches(q, e, 0.3, vectors=v).collect()}
     assert raised[1] == round(0.65 * plain[1] + 0.35, 4) and 2 not in plain and 2 in raised
+
+
+def test_trigrams_by_blocks_of_entries(spark, monkeypatch):
+    """Entries in many blocks, some without any trigram, give the same best few; no row a trigram is joined."""
+    words = "alpha beta gamma delta epsilon zeta".split()
+    entries = spark.createDataFrame([(i, " ".join(words[(i * k) % 6] for k in range(1, 5))) for i in range(40)] + [(40, "..."), (41, "")], "entry_id long, source_text string")
+    queries = spark.createDataFrame([(f"q{i}", " ".join(words[(i + k) % 6] for k in range(4))) for i in range(6)] + [("none", "、、"), ("number", "12")], "query_id string, text string")
+    whole = sorted(map(tuple, memory.trigram_candidates(queries, entries).collect()))
+    monkeypatch.setattr(memory, "ENTRY_BLOCK", 5)
+    parts = memory.trigram_candidates(queries, entries)
+    assert whole and sorted(map(tuple, parts.collect())) == whole
+    assert "Join" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ratio_from_keeps_what_reaches_the_bound(spark):
+    rows = [("abcd", "abdc", 0.8), ("abcd", "abce", 0.7), ("", "", 0.5), (None, "x", 0.5), ("aab", "aba", 0.9), ("abc", "xyz", 0.2)]
+    got = spark.createDataFrame(rows, "a string, b string, low double").select("low", S.sequence_ratio("a", "b").alias("whole"), S.ratio_from("a", "b", "low").alias("bounded")).collect()
+    assert all(r.bounded == r.whole if r.whole >= r.low else r.bounded >= r.whole for r in got) and all(r.bounded < r.low or r.bounded == r.whole for r in got)

@@ -169,3 +169,11 @@ def test_ratio_from_keeps_what_reaches_the_bound(spark):
     rows = [("abcd", "abdc", 0.8), ("abcd", "abce", 0.7), ("", "", 0.5), (None, "x", 0.5), ("aab", "aba", 0.9), ("abc", "xyz", 0.2)]
     got = spark.createDataFrame(rows, "a string, b string, low double").select("low", S.sequence_ratio("a", "b").alias("whole"), S.ratio_from("a", "b", "low").alias("bounded")).collect()
     assert all(r.bounded == r.whole if r.whole >= r.low else r.bounded >= r.whole for r in got) and all(r.bounded < r.low or r.bounded == r.whole for r in got)
+
+
+def test_vector_matches_of_extreme_vectors(spark):
+    """Blocks of matrices scale vectors first: huge ones, whose squares overflow, are found too."""
+    rows = [(1, [1e200, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1e-200]), (4, [0.0, 0.0])]
+    e = spark.createDataFrame(rows, "entry_id long, vector array<double>")
+    got = memory.vector_matches(e.withColumnRenamed("entry_id", "query_id"), e).collect()
+    assert sorted((r.query_id, r.entry_id, r["rank"]) for r in got) == [(1, 2, 1), (2, 1, 1)]

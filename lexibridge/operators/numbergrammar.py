@@ -7,9 +7,12 @@ numbers without separators or trailing zeros, `RMB 140600`, `2024-03-05`, `FY202
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ N = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
 #: No ASCII letter or digit before or after; neighbouring Han characters do not matter.
 OPEN, SHUT = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
 _NUMERAL = "零〇一二三四五六七八九十百千万亿两双"
+_SHORT_MONTHS = tuple(m[:3] for m in MONTHS)
 _MONTH = "|".join(f"{m}|{m[:3]}" for m in MONTHS) + "|sept"
 
 
@@ -44,6 +48,11 @@ def _any(words: dict) -> str:
     return "|".join(sorted(words, key=len, reverse=True))
 
 
+def _least(words: dict | list) -> tuple[str, ...]:
+    """The words that hold no other one: a text without them has none at all."""
+    return tuple(sorted(w for w in words if not any(x in w for x in words if x != w)))
+
+
 def _table(values: dict) -> Column:
     return F.create_map(*[F.lit(str(x)) for pair in values.items() for x in pair])
 
@@ -98,103 +107,129 @@ def _month(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Family:
-    """What a pattern finds, and the value of a match from its groups (0 is the whole match)."""
+    """What a pattern finds, the value of a match from its groups (0 is the whole match), and words of which every match holds one,
+    in small letters (none: not known)."""
 
     name: str
     pattern: str
     value: Callable[[Callable[[int], Column]], Column]
+    needs: tuple[str, ...] = ()
 
 
 FAMILIES = [
-    Family("unit_line", rf"单位[：:]\s*({_any(SCALES)})?\s*({_any(CURRENCIES)})", lambda g: F.concat(_look(CURRENCIES, g(2)), F.lit(" "), _look(SCALES, g(1), 1))),
-    Family("unit_line_en", rf"(?i)unit[：:]\s*(USD|RMB|EUR)\s*{N}?(?:\s*(million|billion|thousand))?{SHUT}", lambda g: F.concat(F.upper(g(1)), F.lit(" "), _scaled(F.when(g(2) == "", "1").otherwise(g(2)), g(3)))),
-    Family("points", rf"(?i){N}\s*(?:percentage\s+points?|个百分点)", lambda g: plain(_decimal(g(1)))),
-    Family("percent", rf"(?i){N}\s*(?:percent{SHUT}|[%％])", lambda g: plain(_decimal(g(1)))),
-    Family("money", rf"(?i){OPEN}(USD|RMB|EUR)\s*{N}(?:\s*(million|billion|thousand))?{SHUT}", lambda g: F.concat(F.upper(g(1)), F.lit(" "), _scaled(g(2), g(3)))),
-    Family("money_cn", rf"{N}\s*(百万|千万|百亿|千亿|万|亿)?\s*(美元|欧元|元人民币|元|人民币)", lambda g: F.concat(_look(CURRENCIES, g(3)), F.lit(" "), _scaled(g(1), g(2)))),
-    Family("place", r"""([0-9]{1,3})°([0-9]{1,2})[′']([0-9]{1,2}(?:\.[0-9]+)?)[″"']{1,2}\s*([NSEWnsew])(?![A-Za-z0-9])""", lambda g: F.concat(g(1), F.lit("°"), g(2), F.lit("'"), g(3), F.lit("'' "), F.upper(g(4)))),
-    Family("place_cn", r"""(北纬|南纬|东经|西经)\s*([0-9]{1,3})°([0-9]{1,2})[′']([0-9]{1,2}(?:\.[0-9]+)?)[″"]""", lambda g: F.concat(g(2), F.lit("°"), g(3), F.lit("'"), g(4), F.lit("'' "), _look(DIRECTIONS, g(1)))),
-    Family("fiscal_year", rf"(?i){OPEN}fiscal\s+year\s+([0-9]{{4}}){SHUT}", lambda g: F.concat(F.lit("FY"), g(1))),
-    Family("fiscal_year_cn", r"([0-9]{4})\s*财年", lambda g: F.concat(F.lit("FY"), g(1))),
-    Family("decade_cn", r"([0-9]{2})世纪([0-9]{2})年代", lambda g: F.concat(((g(1).cast("int") - 1) * 100 + g(2).cast("int")).cast("string"), F.lit("s"))),
-    Family("century", rf"(?i){OPEN}(?:the\s+)?([0-9]{{1,2}})(?:st|nd|rd|th)\s+century{SHUT}|([0-9]{{1,2}})世纪(?![0-9年])", lambda g: F.concat(g(1), g(2), F.lit("th century"))),
-    Family("decade", rf"(?i){OPEN}(?:the\s+)?([0-9]{{4}})s{SHUT}", lambda g: F.concat(g(1), F.lit("s"))),
-    Family("before_era", rf"(?i){OPEN}([0-9]+)\s*BC{SHUT}|公元前([0-9]+)年", lambda g: F.concat(g(1), g(2), F.lit(" BC"))),
-    Family("era", rf"(?i){OPEN}AD\s*([0-9]+){SHUT}|公元([0-9]+)年", lambda g: F.concat(F.lit("AD "), g(1), g(2))),
-    Family("quarter", rf"{OPEN}Q([1-4]){SHUT}", lambda g: g(0)),
-    Family("quarter_word", rf"(?i){OPEN}the\s+(first|second|third|fourth)\s+quarter{SHUT}|第([一二三四])\s*季度", lambda g: F.concat(F.lit("Q"), _look(QUARTERS, F.concat(g(1), g(2))))),
-    Family("years", r"(?<![A-Za-z0-9])([0-9]{4})\s*[–—-]\s*([0-9]{4})(?![0-9])年?", lambda g: F.concat(g(1), F.lit("-"), g(2))),
-    Family("date", r"(?<![0-9])([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})(?![0-9])", lambda g: F.concat_ws("-", g(1), _two(g(2)), _two(g(3)))),
-    Family("date_cn", r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", lambda g: F.concat_ws("-", g(1), _two(g(2)), _two(g(3)))),
-    Family("date_numerals", r"([一二][零〇一二三四五六七八九]{3})年(?:(十[一二]|[一二三四五六七八九十])月(?:(三十一?|二十[一二三四五六七八九]?|十[一二三四五六七八九]?|[一二三四五六七八九])日)?)?", lambda g: F.concat_ws("-", _numerals(g(1)), F.when(g(2) != "", _two(_numerals(g(2)))), F.when(g(3) != "", _two(_numerals(g(3)))))),
-    Family("date_en", rf"(?i){OPEN}({_MONTH})\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}}){SHUT}", lambda g: F.concat_ws("-", g(3), _two(_month(g(1))), _two(g(2)))),
-    Family("date_day_first", rf"(?i){OPEN}([0-9]{{1,2}})\s+({_MONTH})\.?\s+([0-9]{{4}}){SHUT}", lambda g: F.concat_ws("-", g(3), _two(_month(g(2))), _two(g(1)))),
-    Family("sum", r"([0-9]+)\s*\+\s*([0-9]+)", lambda g: F.concat(g(1), F.lit("+"), g(2))),
-    Family("amount", f"[{FORMAL[:12]}][{FORMAL}零万亿]*(?:元[{FORMAL}零]*)?(?:角[{FORMAL}零]*)?(?:分[{FORMAL}零]*)?(?:厘)?", lambda g: _amount(g(0))),
-    Family("unit_cn", rf"{N}\s*(百万|千万|百亿|千亿|[万亿])?\s*({_any(UNITS)})", lambda g: F.concat(_scaled(g(1), g(2)), F.lit(" "), _look(UNITS, g(3)))),
-    Family("scaled_cn", rf"{N}\s*(百万|千万|百亿|千亿|[万亿百千](?![米克瓦升焦帕牛安伏欧赫兹]))", lambda g: _scaled(g(1), g(2))),
-    Family("unit", rf"(?i){N}\s*(?:(million|billion|thousand)\s+)?({ENGLISH_UNITS}){SHUT}", lambda g: F.concat(_scaled(g(1), g(2)), F.lit(" "), g(3))),
-    Family("grouped", r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?", lambda g: plain(_decimal(g(0)))),
+    Family("unit_line", rf"单位[：:]\s*({_any(SCALES)})?\s*({_any(CURRENCIES)})", lambda g: F.concat(_look(CURRENCIES, g(2)), F.lit(" "), _look(SCALES, g(1), 1)), ("单位",)),
+    Family("unit_line_en", rf"(?i)unit[：:]\s*(USD|RMB|EUR)\s*{N}?(?:\s*(million|billion|thousand))?{SHUT}", lambda g: F.concat(F.upper(g(1)), F.lit(" "), _scaled(F.when(g(2) == "", "1").otherwise(g(2)), g(3))), ("unit",)),
+    Family("points", rf"(?i){N}\s*(?:percentage\s+points?|个百分点)", lambda g: plain(_decimal(g(1))), ("percentage", "百分点")),
+    Family("percent", rf"(?i){N}\s*(?:percent{SHUT}|[%％])", lambda g: plain(_decimal(g(1))), ("percent", "%", "％")),
+    Family("money", rf"(?i){OPEN}(USD|RMB|EUR)\s*{N}(?:\s*(million|billion|thousand))?{SHUT}", lambda g: F.concat(F.upper(g(1)), F.lit(" "), _scaled(g(2), g(3))), ("usd", "rmb", "eur")),
+    Family("money_cn", rf"{N}\s*(百万|千万|百亿|千亿|万|亿)?\s*(美元|欧元|元人民币|元|人民币)", lambda g: F.concat(_look(CURRENCIES, g(3)), F.lit(" "), _scaled(g(1), g(2))), ("元", "人民币")),
+    Family("place", r"""([0-9]{1,3})°([0-9]{1,2})[′']([0-9]{1,2}(?:\.[0-9]+)?)[″"']{1,2}\s*([NSEWnsew])(?![A-Za-z0-9])""", lambda g: F.concat(g(1), F.lit("°"), g(2), F.lit("'"), g(3), F.lit("'' "), F.upper(g(4))), ("°",)),
+    Family("place_cn", r"""(北纬|南纬|东经|西经)\s*([0-9]{1,3})°([0-9]{1,2})[′']([0-9]{1,2}(?:\.[0-9]+)?)[″"]""", lambda g: F.concat(g(2), F.lit("°"), g(3), F.lit("'"), g(4), F.lit("'' "), _look(DIRECTIONS, g(1))), ("°",)),
+    Family("fiscal_year", rf"(?i){OPEN}fiscal\s+year\s+([0-9]{{4}}){SHUT}", lambda g: F.concat(F.lit("FY"), g(1)), ("fiscal",)),
+    Family("fiscal_year_cn", r"([0-9]{4})\s*财年", lambda g: F.concat(F.lit("FY"), g(1)), ("财年",)),
+    Family("decade_cn", r"([0-9]{2})世纪([0-9]{2})年代", lambda g: F.concat(((g(1).cast("int") - 1) * 100 + g(2).cast("int")).cast("string"), F.lit("s")), ("世纪",)),
+    Family("century", rf"(?i){OPEN}(?:the\s+)?([0-9]{{1,2}})(?:st|nd|rd|th)\s+century{SHUT}|([0-9]{{1,2}})世纪(?![0-9年])", lambda g: F.concat(g(1), g(2), F.lit("th century")), ("century", "世纪")),
+    Family("decade", rf"(?i){OPEN}(?:the\s+)?([0-9]{{4}})s{SHUT}", lambda g: F.concat(g(1), F.lit("s")), tuple(f"{d}s" for d in range(10))),
+    Family("before_era", rf"(?i){OPEN}([0-9]+)\s*BC{SHUT}|公元前([0-9]+)年", lambda g: F.concat(g(1), g(2), F.lit(" BC")), ("bc", "公元前")),
+    Family("era", rf"(?i){OPEN}AD\s*([0-9]+){SHUT}|公元([0-9]+)年", lambda g: F.concat(F.lit("AD "), g(1), g(2)), ("ad", "公元")),
+    Family("quarter", rf"{OPEN}Q([1-4]){SHUT}", lambda g: g(0), ("q",)),
+    Family("quarter_word", rf"(?i){OPEN}the\s+(first|second|third|fourth)\s+quarter{SHUT}|第([一二三四])\s*季度", lambda g: F.concat(F.lit("Q"), _look(QUARTERS, F.concat(g(1), g(2)))), ("quarter", "季度")),
+    Family("years", r"(?<![A-Za-z0-9])([0-9]{4})\s*[–—-]\s*([0-9]{4})(?![0-9])年?", lambda g: F.concat(g(1), F.lit("-"), g(2)), ("–", "—", "-")),
+    Family("date", r"(?<![0-9])([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})(?![0-9])", lambda g: F.concat_ws("-", g(1), _two(g(2)), _two(g(3))), ("/", "-")),
+    Family("date_cn", r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", lambda g: F.concat_ws("-", g(1), _two(g(2)), _two(g(3))), ("年",)),
+    Family("date_numerals", r"([一二][零〇一二三四五六七八九]{3})年(?:(十[一二]|[一二三四五六七八九十])月(?:(三十一?|二十[一二三四五六七八九]?|十[一二三四五六七八九]?|[一二三四五六七八九])日)?)?", lambda g: F.concat_ws("-", _numerals(g(1)), F.when(g(2) != "", _two(_numerals(g(2)))), F.when(g(3) != "", _two(_numerals(g(3))))), ("年",)),
+    Family("date_en", rf"(?i){OPEN}({_MONTH})\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}}){SHUT}", lambda g: F.concat_ws("-", g(3), _two(_month(g(1))), _two(g(2))), _SHORT_MONTHS),
+    Family("date_day_first", rf"(?i){OPEN}([0-9]{{1,2}})\s+({_MONTH})\.?\s+([0-9]{{4}}){SHUT}", lambda g: F.concat_ws("-", g(3), _two(_month(g(2))), _two(g(1))), _SHORT_MONTHS),
+    Family("sum", r"([0-9]+)\s*\+\s*([0-9]+)", lambda g: F.concat(g(1), F.lit("+"), g(2)), ("+",)),
+    Family("amount", f"[{FORMAL[:12]}][{FORMAL}零万亿]*(?:元[{FORMAL}零]*)?(?:角[{FORMAL}零]*)?(?:分[{FORMAL}零]*)?(?:厘)?", lambda g: _amount(g(0)), tuple(FORMAL[:12])),
+    Family("unit_cn", rf"{N}\s*(百万|千万|百亿|千亿|[万亿])?\s*({_any(UNITS)})", lambda g: F.concat(_scaled(g(1), g(2)), F.lit(" "), _look(UNITS, g(3))), _least(UNITS)),
+    Family("scaled_cn", rf"{N}\s*(百万|千万|百亿|千亿|[万亿百千](?![米克瓦升焦帕牛安伏欧赫兹]))", lambda g: _scaled(g(1), g(2)), ("百", "千", "万", "亿")),
+    Family("unit", rf"(?i){N}\s*(?:(million|billion|thousand)\s+)?({ENGLISH_UNITS}){SHUT}", lambda g: F.concat(_scaled(g(1), g(2)), F.lit(" "), g(3)), ("g", "m", "kwh")),
+    Family("grouped", r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?", lambda g: plain(_decimal(g(0))), (",",)),
     Family("subscript", rf"(?i){OPEN}(PM|CO|NO|SO|H|O|N|C|Fe|Ca|Na|K)([0-9]+(?:\.[0-9]+)?){SHUT}", lambda g: g(0)),
-    Family("fraction", r"(?<![0-9.])([0-9]+)/([0-9]+)(?![0-9])", lambda g: g(0)),
-    Family("decimal", r"(?<![0-9])[0-9]+\.[0-9]+(?![0-9])", lambda g: g(0)),
+    Family("fraction", r"(?<![0-9.])([0-9]+)/([0-9]+)(?![0-9])", lambda g: g(0), ("/",)),
+    Family("decimal", r"(?<![0-9])[0-9]+\.[0-9]+(?![0-9])", lambda g: g(0), (".",)),
     Family("large", r"(?<![0-9])[0-9]{5,}(?![0-9])", lambda g: g(0)),
     Family("ringed", f"[{RINGED}]", lambda g: F.position(g(0), F.lit(RINGED)).cast("string")),
-    Family("phase", rf"{OPEN}Phase\s+([IVX]+|[1-9]){SHUT}", lambda g: F.concat(F.lit("Phase "), F.when(g(1).rlike("[0-9]"), g(1)).otherwise(_roman(g(1))))),
-    Family("phase_cn", r"([一二三四五六七八九十])\s*期(?![间末初内望])", lambda g: F.concat(F.lit("Phase "), _numerals(g(1)))),
+    Family("phase", rf"{OPEN}Phase\s+([IVX]+|[1-9]){SHUT}", lambda g: F.concat(F.lit("Phase "), F.when(g(1).rlike("[0-9]"), g(1)).otherwise(_roman(g(1)))), ("phase",)),
+    Family("phase_cn", r"([一二三四五六七八九十])\s*期(?![间末初内望])", lambda g: F.concat(F.lit("Phase "), _numerals(g(1))), ("期",)),
     Family("roman", rf"{OPEN}(?=[MDCLXVI]{{2}})M{{0,4}}(?:CM|CD|D?C{{0,3}})(?:XC|XL|L?X{{0,3}})(?:IX|IV|V?I{{0,3}}){SHUT}|{OPEN}(?=[mdclxvi]{{2}})m{{0,4}}(?:cm|cd|d?c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}}){SHUT}", lambda g: _roman(g(0))),
     Family("roman_label", r"(?:(?<=^)|(?<=[(（ \t\n]))[IVXLivxl](?=[)），,]|\.(?:[^A-Za-z]|$)|[ \t][A-Za-z]|$)", lambda g: _roman(g(0))),
     Family("roman_sign", f"[{ROMAN_SIGNS}{ROMAN_SIGNS.lower()}]", lambda g: F.position(F.upper(g(0)), F.lit(ROMAN_SIGNS)).cast("string")),
-    Family("fraction_word", rf"(?i){OPEN}(one|two|three|four|five|six|seven|eight|nine|ten)[-\s]({_any(PARTS)})s?{SHUT}", lambda g: F.concat(_look(WORDS, g(1)), F.lit("/"), _look(PARTS, g(2)))),
-    Family("fraction_cn", r"([一二三四五六七八九十百]+)分之([一二三四五六七八九十百]+)", lambda g: F.concat(_numerals(g(2)), F.lit("/"), _numerals(g(1)))),
-    Family("half", "一半", lambda g: F.lit("1/2")),
-    Family("month", rf"(?i){OPEN}({_MONTH})\.?{SHUT}", lambda g: _month(g(1))),
-    Family("ordinal", rf"(?i){OPEN}({_any(ORDINALS)}){SHUT}", lambda g: _look(ORDINALS, g(1))),
-    Family("ordinal_number", rf"(?i){OPEN}([0-9]+)(?:st|nd|rd|th){SHUT}", lambda g: g(1)),
-    Family("words_point", rf"(?i){OPEN}(zero|one|two|three|four|five|six|seven|eight|nine)\s+point((?:\s+(?:zero|one|two|three|four|five|six|seven|eight|nine))+){SHUT}", lambda g: F.concat(_look(WORDS, g(1)), F.lit("."), F.array_join(F.transform(F.split(F.trim(g(2)), r"\s+"), lambda w: _look(WORDS, w)), ""))),
-    Family("words_scaled", rf"(?i){OPEN}({_any(WORDS)})\s+({_any(BIG_WORDS)}){SHUT}", lambda g: (_look(WORDS, g(1)).cast("long") * _look(BIG_WORDS, g(2)).cast("long")).cast("string")),
-    Family("word", rf"(?i){OPEN}({_any(WORDS | BIG_WORDS)}){SHUT}", lambda g: _look(WORDS | BIG_WORDS, g(1))),
+    Family("fraction_word", rf"(?i){OPEN}(one|two|three|four|five|six|seven|eight|nine|ten)[-\s]({_any(PARTS)})s?{SHUT}", lambda g: F.concat(_look(WORDS, g(1)), F.lit("/"), _look(PARTS, g(2))), _least(PARTS)),
+    Family("fraction_cn", r"([一二三四五六七八九十百]+)分之([一二三四五六七八九十百]+)", lambda g: F.concat(_numerals(g(2)), F.lit("/"), _numerals(g(1))), ("分之",)),
+    Family("half", "一半", lambda g: F.lit("1/2"), ("一半",)),
+    Family("month", rf"(?i){OPEN}({_MONTH})\.?{SHUT}", lambda g: _month(g(1)), _SHORT_MONTHS),
+    Family("ordinal", rf"(?i){OPEN}({_any(ORDINALS)}){SHUT}", lambda g: _look(ORDINALS, g(1)), _least(ORDINALS)),
+    Family("ordinal_number", rf"(?i){OPEN}([0-9]+)(?:st|nd|rd|th){SHUT}", lambda g: g(1), ("st", "nd", "rd", "th")),
+    Family("words_point", rf"(?i){OPEN}(zero|one|two|three|four|five|six|seven|eight|nine)\s+point((?:\s+(?:zero|one|two|three|four|five|six|seven|eight|nine))+){SHUT}", lambda g: F.concat(_look(WORDS, g(1)), F.lit("."), F.array_join(F.transform(F.split(F.trim(g(2)), r"\s+"), lambda w: _look(WORDS, w)), "")), ("point",)),
+    Family("words_scaled", rf"(?i){OPEN}({_any(WORDS)})\s+({_any(BIG_WORDS)}){SHUT}", lambda g: (_look(WORDS, g(1)).cast("long") * _look(BIG_WORDS, g(2)).cast("long")).cast("string"), _least(BIG_WORDS)),
+    Family("word", rf"(?i){OPEN}({_any(WORDS | BIG_WORDS)}){SHUT}", lambda g: _look(WORDS | BIG_WORDS, g(1)), _least(WORDS | BIG_WORDS)),
     Family("numerals", f"[{_NUMERAL}]*[{_NUMERAL[:12]}两双][{_NUMERAL}]*", lambda g: _numerals(g(0))),
     Family("integer", r"(?<![0-9])[0-9]{1,4}(?![0-9])", lambda g: g(0)),
-    Family("scale", "[百千万亿]", lambda g: _look(SCALES, g(0))),
+    Family("scale", "[百千万亿]", lambda g: _look(SCALES, g(0)), ("百", "千", "万", "亿")),
 ]
 
 
-def _split_at(n: int, pattern: str) -> Callable[[Column], Column]:
-    """A free piece as what lies between the matches of a pattern and the matches, which are family n's."""
-    piece = lambda text, family: F.struct(text.alias("text"), family.alias("family"))
+#: What `$` of the families' patterns means: the end, or one line end before it.
+_END = r"(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
+
+
+def _cut(text: str, families: list[tuple[tuple[str, ...], re.Pattern]]) -> list[tuple[str, int | None]]:
+    """A text's pieces. A family is tried only on a text that holds one of its words."""
+    pieces: list[tuple[str, int | None]] = [(text, None)]
+    low = text.lower()
+    for n, (needs, pattern) in enumerate(families):
+        if needs and not any(w in low for w in needs):
+            continue
+        out = []
+        for piece in pieces:
+            free, at = piece[0], 0
+            if piece[1] is None:
+                for m in pattern.finditer(free):
+                    out += [(free[at : m.start()], None), (m[0], n)]
+                    at = m.end()
+            out.append((free[at:], None) if at else piece)
+        pieces = [p for p in out if p[0]] if len(out) > len(pieces) else pieces
+    return pieces
+
+
+def _pieces(families: list[Family]) -> Callable[[Column], Column]:
+    known = [(f.needs, f.pattern.replace("$", _END)) for f in families]
 
-    def cut(p: Column) -> Column:
-        found = F.regexp_extract_all(p.text, F.lit(pattern), F.lit(0))
-        both = F.zip_with(F.split(p.text, pattern, -1), found, lambda free, hit: F.array(piece(free, F.lit(None).cast("int")), piece(hit, F.lit(n))))
-        return F.when(p.family.isNull() & p.text.rlike(pattern), F.filter(F.flatten(both), lambda x: F.coalesce(x.text, F.lit("")) != "")).otherwise(F.array(p))
+    @F.arrow_udf("array<struct<text:string,family:int>>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        # ASCII: blanks and small letters as the values' patterns have them.
+        compiled = [(needs, re.compile(pattern, re.ASCII)) for needs, pattern in known]
+        rows = [_cut(t or "", compiled) for t in texts.to_pylist()]
+        flat = [p for row in rows for p in row]
+        each = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.int32())], names=["text", "family"])
+        return pa.ListArray.from_arrays(pa.array(accumulate(map(len, rows), initial=0), pa.int32()), each)
 
-    return cut
+    return pieces
 
 
 def with_pieces(rows: DataFrame, text: str, out: str, families: list[Family] = FAMILIES) -> DataFrame:
     """`rows` with array<struct<text, family>> of a text's pieces in order; family is the number of the family that took the piece, or null.
 
-    Each family is a projection of its own: one expression of so many nested functions would be more than the analyser takes.
+    A null text counts as empty, and an empty one is one free piece. The cuts run on Arrow batches: as nested functions of Spark they are interpreted, family by family and piece by piece.
     """
-    rows = rows.withColumn(out, F.array(F.struct(F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("int").alias("family"))))
-    for n, family in enumerate(families):
-        rows = rows.withColumn(out, F.flatten(F.transform(out, _split_at(n, family.pattern))))
-    return rows
+    return rows.withColumn(out, _pieces(families)(F.col(text)))
 
 
 def with_numbers(rows: DataFrame, text: str, out: str, families: list[Family] = FAMILIES) -> DataFrame:
     """`rows` with array<struct<value, family>> of the numbers of a text in order, the family by name."""
 
-    def entry(p: Column) -> Column:
-        value = name = F
-        for n, family in enumerate(families):
-            value = value.when(p.family == n, family.value(lambda i, f=family: F.regexp_extract(p.text, f.pattern, i)))
-            name = name.when(p.family == n, F.lit(family.name))
-        return F.struct(value.alias("value"), name.alias("family"))
+    def value(p: Column, low: int, high: int) -> Column:
+        """The value by the families from low to below high, halved until one is left."""
+        if high - low == 1:
+            return families[low].value(lambda i: F.regexp_extract(p.text, families[low].pattern, i))
+        middle = (low + high) // 2
+        return F.when(p.family < middle, value(p, low, middle)).otherwise(value(p, middle, high))
 
+    names = F.array(*[F.lit(f.name) for f in families])
     cut = with_pieces(rows, text, out, families)
-    return cut.withColumn(out, F.transform(F.filter(out, lambda p: p.family.isNotNull()), entry))
+    return cut.withColumn(out, F.transform(F.filter(out, lambda p: p.family.isNotNull()), lambda p: F.struct(value(p, 0, len(families)).alias("value"), F.get(names, p.family).alias("family"))))
 
 
 def grammar_differences(pairs: DataFrame) -> DataFrame:

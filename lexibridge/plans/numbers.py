@@ -40,10 +40,14 @@ def _chosen(shift: int, which: int) -> str:
     return f"CASE (o_orderkey + {shift}) % {len(texts)} " + " ".join(f"WHEN {i} THEN {_filled(t)}" for i, t in enumerate(texts)) + " END"
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.dealt(V.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+
+
 @query(f"SELECT o_orderkey, {_chosen(0, 1)} AS numbers FROM orders")
 def grammar_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of every order's sentence."""
-    rows = V.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_chosen(0, 0)).alias("text"))
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.expr(_chosen(0, 0)).alias("text"))
     return N.with_numbers(rows, "text", "found").select("o_orderkey", F.array_join(F.transform("found", lambda x: x.value), "|").alias("numbers"))
 
 
@@ -54,9 +58,9 @@ _SIDES_SQL = f"""sides AS (SELECT o_orderkey, string_split({_chosen(0, 1)}, '|')
 def grammar_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets that are whole, that lack the first number, or have one more."""
     whole = F.expr(_chosen(0, 0))
-    rows = V.table(spark, sf_dir, "orders").select("o_orderkey", whole.alias("source_text"))
-    # The first number goes with its piece: the target is put together again from the others.
-    cut = N.with_pieces(rows, "source_text", "pieces")
+    rows = _orders(spark, sf_dir).select("o_orderkey", whole.alias("source_text"))
+    # The first number goes with its piece: the target is put together again from the others. Only texts that lose one are cut.
+    cut = N.with_pieces(rows.withColumn("losing", F.when(F.col("o_orderkey") % 3 == 1, F.col("source_text"))), "losing", "pieces")
     first = F.array_position(F.transform("pieces", lambda p: p.family.isNotNull()), True)
     shorter = F.array_join(F.transform(F.transform("pieces", lambda p, i: F.when(i + 1 == first, " ").otherwise(p.text)), lambda x: x), "")
     target = F.when(F.col("o_orderkey") % 3 == 0, F.col("source_text")).when(F.col("o_orderkey") % 3 == 1, shorter).otherwise(F.concat("source_text", F.lit(" / 77777")))

@@ -1,8 +1,11 @@
 """Every family of numbers by hand, in both languages."""
 
+from dataclasses import replace
+
 import pytest
 
 from lexibridge.operators import numbergrammar as N
+from lexibridge.plans import catalogue
 
 CASES = {
     "单位：万元 12": ["RMB 10000", "12"],
@@ -56,3 +59,18 @@ def test_families_take_each_place_once(spark):
 def test_differences(spark, source, target, want):
     r = N.grammar_differences(spark.createDataFrame([(source, target)], "source_text string, target_text string")).first()
     assert (r.missing, r.extra, r.reordered) == want
+
+
+def test_a_match_holds_one_of_its_familys_words(spark):
+    """Without their words every family is tried on every text: the pieces are the same."""
+    df = spark.createDataFrame([(t,) for t in CASES] + [(t.upper(),) for t in CASES] + [("I\nV.\n",), ("x (v\x85",)], "t string").coalesce(1)
+    tried = [replace(f, needs=()) for f in N.FAMILIES]
+    assert [r.p for r in N.with_pieces(df, "t", "p").collect()] == [r.p for r in N.with_pieces(df, "t", "p", tried).collect()]
+
+
+@pytest.mark.parametrize("name", ["grammar_numbers", "grammar_differences"])
+def test_work_of_one_row_group_is_dealt_out(spark, data, name):
+    found = catalogue.queries()[name](spark, data)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # Pieces are not gone through once more for every family.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 0

@@ -9,6 +9,7 @@ rules that keep a stack of open marks run in Python, on Arrow batches.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,22 +57,26 @@ def _runs(pattern: str) -> Column:
 
 
 def _first_of(odd: Column) -> Column:
-    """Findings for words of the target, each at its first place."""
-    words = _located("target_text", "[A-Za-z]+")
-    return F.when(F.size(odd) > 0, F.transform(odd, lambda x: F.element_at(F.filter(words, lambda w: w.detail == x), 1))).otherwise(_none()).cast(FINDING)
+    """Findings for words of the target, each at its first place: after what stands before the first such run of letters."""
+    before = lambda x: F.split("target_text", F.concat(F.lit("(?<![A-Za-z])"), x, F.lit("(?![A-Za-z])")), 2)[0]
+    return F.transform(odd, lambda x: F.struct(F.length(before(x)).cast("int").alias("offset"), F.length(x).cast("int").alias("length"), x.alias("detail"))).cast(FINDING)
 
 
 def tokens(c: str, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), 1)
 
 
+def bound(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """`use` of a struct of values that are worked out once: within a function of elements they would be worked out for each of them."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use)[0]
+
+
 def bag_difference(a: Column, b: Column) -> Column:
     """Elements of `a` beyond their number in `b`, sorted, one for each excess copy."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    count = lambda xs, x: F.size(xs) - F.size(F.array_remove(xs, x))
+    extra = lambda p: F.flatten(F.transform(F.array_distinct(p.a), lambda x: F.array_repeat(x, F.greatest(F.lit(0), count(p.a, x) - count(p.b, x)))))
     # Most pairs agree: then nothing is counted.
-    a = F.when(F.array_sort(a) == F.array_sort(b), F.slice(a, 1, 0)).otherwise(a)
-    extra = F.transform(F.array_sort(F.array_distinct(a)), lambda x: F.array_repeat(x, F.greatest(F.lit(0), count(a, x) - count(b, x))))
-    return F.flatten(extra)
+    return bound({"a": F.sort_array(a), "b": F.sort_array(b)}, lambda p: F.when(p.a == p.b, F.slice(p.a, 1, 0)).otherwise(extra(p)))
 
 
 def _mismatch(pattern: str) -> Column:
@@ -103,15 +108,14 @@ def _tags_missing() -> Column:
 
 def _word_case() -> Column:
     """Words of the target that differ from a source word in case alone."""
-    s = F.array_distinct(tokens("source_text", "([A-Za-z]+)"))
-    t = F.array_distinct(tokens("target_text", "([A-Za-z]+)"))
-    low = F.transform(s, lambda x: F.lower(x))
-    return _first_of(F.array_sort(F.filter(t, lambda x: F.array_contains(low, F.lower(x)) & ~F.array_contains(s, x))))
+    s, t = tokens("source_text", "([A-Za-z]+)"), tokens("target_text", "([A-Za-z]+)")
+    words = {"low": F.transform(F.array_distinct(s), lambda x: F.lower(x)), "other": F.array_except(t, s)}
+    return _first_of(F.sort_array(bound(words, lambda p: F.filter(p.other, lambda x: F.array_contains(p.low, F.lower(x))))))
 
 
 def _camel() -> Column:
     s = tokens("source_text", "([A-Za-z]+)")
-    return _first_of(F.array_sort(F.array_distinct(F.filter(tokens("target_text", "([A-Za-z]+)"), lambda x: x.rlike("^[A-Z][a-z]+[A-Z]") & ~F.array_contains(s, x)))))
+    return _first_of(F.sort_array(F.array_except(F.filter(tokens("target_text", "([A-Za-z]+)"), lambda x: x.rlike("^[A-Z][a-z]+[A-Z]")), s)))
 
 
 PLACEHOLDER = "⟦((?:MATH|LB)_[0-9]+)⟧"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexibridge.operators.quality_rules import bag_difference
+from lexibridge.operators.quality_rules import bag_difference, bound
 
 # Words and signs after a number that multiply it, and numeral characters.
 MULTIPLIERS = {"百": 1e2, "千": 1e3, "万": 1e4, "亿": 1e8, "hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12, "%": 1e-2, "％": 1e-2, "percent": 1e-2}
@@ -50,14 +50,22 @@ def numbers(c: Column | str) -> Column:
     return F.transform(found, value)
 
 
+def _compared() -> Column:
+    """struct(missing, extra, reordered) of source_text and target_text, whose numbers are read once."""
+    both = lambda p: F.struct(bag_difference(p.s, p.t).alias("missing"), bag_difference(p.t, p.s).alias("extra"), (p.s != p.t).alias("unlike"))
+    judged = lambda d: F.struct(d.missing.alias("missing"), d.extra.alias("extra"), ((F.size(d.missing) == 0) & (F.size(d.extra) == 0) & d.unlike).alias("reordered"))
+    return bound({"d": bound({"s": numbers("source_text"), "t": numbers("target_text")}, both)}, lambda p: judged(p.d))
+
+
 def number_differences(pairs: DataFrame) -> DataFrame:
     """`pairs` (source_text, target_text) with missing, extra (values beyond the other side's) and reordered:
     whether both sides have the same numbers in another order."""
-    own = pairs.withColumns({"_s": numbers("source_text"), "_t": numbers("target_text")})
-    held = own.withColumns({"missing": bag_difference(F.col("_s"), F.col("_t")), "extra": bag_difference(F.col("_t"), F.col("_s"))})
-    return held.withColumn("reordered", (F.size("missing") == 0) & (F.size("extra") == 0) & (F.col("_s") != F.col("_t"))).drop("_s", "_t")
+    return pairs.withColumn("_d", _compared()).select(*pairs.columns, "_d.*")
 
 
 def number_report(pairs: DataFrame) -> DataFrame:
     """The segments with a target whose numbers differ."""
-    return number_differences(pairs.where(F.coalesce(F.trim("target_text"), F.lit("")) != "")).where("size(missing) > 0 OR size(extra) > 0 OR reordered")
+    odd = lambda d: (F.size(d.missing) > 0) | (F.size(d.extra) > 0) | d.reordered
+    given = pairs.where(F.coalesce(F.trim("target_text"), F.lit("")) != "")
+    # Chosen as elements: a condition on the columns would be worked out before them, with all that they are made of.
+    return given.select(*pairs.columns, F.explode(F.filter(F.array(_compared()), odd)).alias("_d")).select(*pairs.columns, "_d.*")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexibridge.functions import similarity as S
 from lexibridge.operators import alignment, memory, propagation, quality_rules, repetition, reports, terms
+from lexibridge.operators import quality_rules as Q
+from lexibridge.operators.numbers import number_report
 
 
 def grams(text):
@@ -177,3 +179,15 @@ def test_vector_matches_of_extreme_vectors(spark):
     e = spark.createDataFrame(rows, "entry_id long, vector array<double>")
     got = memory.vector_matches(e.withColumnRenamed("entry_id", "query_id"), e).collect()
     assert sorted((r.query_id, r.entry_id, r["rank"]) for r in got) == [(1, 2, 1), (2, 1, 1)]
+
+
+def test_words_and_numbers_of_a_segment_are_found_once(spark):
+    """Work on two texts must not be done again for every word or number of them."""
+    pairs = spark.createDataFrame([("Aa 1 2 bb. Cc", "aA 2 1 BB, CamelCase aA cC")], "source_text string, target_text string")
+    found = pairs.select(*[Q.rules()[r].alias(r) for r in ("same_word_case_mismatch", "multiple_upper_initials", "number_mismatch")])
+    assert [[(x.offset, x.length, x.detail) for x in c] for c in found.first()] == [[(7, 2, "BB"), (0, 2, "aA"), (24, 2, "cC")], [(11, 9, "CamelCase")], []]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(pairs.select(Q.rules()["same_word_case_mismatch"].alias("found"))).count("regexp_extract_all(") == 3
+    report = number_report(pairs)
+    assert [(r.missing, r.extra, r.reordered) for r in report.collect()] == [([], [], True)]
+    assert plan(report).count("regexp_extract_all(") == 2

@@ -81,3 +81,15 @@ def test_hashed_embedding_by_its_definition(spark):
             v[int.from_bytes(d[:4], "big") % len(v)] += weight if d[4] % 2 == 0 else -weight
     got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(similarity.hashed_embedding("t").alias("e")).collect()
     assert got[0].e == (v / np.linalg.norm(v)).round(8).tolist() and not any(got[1].e) and not any(got[2].e)
+
+
+def test_even_texts_are_normalised_as_all_others(spark):
+    """Texts that need no change are only trimmed; every sign in every place is as by the three replacements."""
+    signs = [chr(i) for i in [*range(0x180), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), 0xD7FF, 0xE000, *range(0xFEF0, 0x10000), 0x20000]]
+    texts = [x for c in signs for x in (c, f"a{c}b", f" a {c} b", f"a b{c}")] + ["a  b", "a b", " a. ", "a .", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    text = F.coalesce("t", F.lit(""))
+    spaced = F.regexp_replace(F.regexp_replace(text, T.INVISIBLE, " "), T.BLANK + "+", " ")
+    known = F.trim(F.regexp_replace(spaced, " +" + T.TIGHT_MARKS, "$1"))
+    assert rows.where(~T.normalize_text("t").eqNullSafe(known)).collect() == []
+    assert rows.where(F.col("t").isin("plain text, with marks.", "a b", " a. ") & F.col("t").rlike(T.UNEVEN)).collect() == []

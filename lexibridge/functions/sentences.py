@@ -32,16 +32,18 @@ def _next(words: list[str]) -> str:
 
 _ABBREVIATION = rf"(?i){_START}({'|'.join(a.replace('.', '[.]') for a in sorted(ABBREVIATIONS, key=len, reverse=True))})\."
 _INITIALS = rf"{_START}((?:[A-Za-z][.{INNER}])+[A-Za-z])\."
+#: In every text that `_INITIALS` matches.
+_LATER_INITIAL = rf"[.{INNER}][A-Za-z]\."
 
 #: Patterns of dots in the order of the rules; group 1 stands before the dot, the mark takes its place.
 DOTS = [
-    (r"(?<=(\p{Nd}))\.(?=\p{Nd})", INNER, False),
+    (r"\.(?<=\p{Nd}\.)(?=\p{Nd})", INNER, False),
     (rf"(?m)^([^\S\n]*{_WORD}*\p{{Nd}})\.(?=\s*\S)", INNER, True),
-    (r"(?<=(\p{Nd}))\.", FINAL, False),
+    (r"\.(?<=\p{Nd}\.)", FINAL, False),
     (_ABBREVIATION + _LAST, FINAL, True),
     (_ABBREVIATION + _next([w for w in STARTERS if w not in ("a", "an")]), FINAL, True),
     (_ABBREVIATION, INNER, True),
-    (rf"{_START}([A-Z])\.", INNER, True),
+    (rf"(?=[A-Z]\.){_START}([A-Z])\.", INNER, True),
     (_INITIALS + r"(?=\p{L}\.)", INNER, True),
     (_INITIALS + _LAST, FINAL, True),
     (_INITIALS + r"(?=\s*[(\[（【])", INNER, True),
@@ -49,7 +51,7 @@ DOTS = [
     ("(?i)" + _INITIALS + _next(CONTINUATIONS), INNER, True),
     (_INITIALS + r"(?=\s*[\p{Lu}\x{3400}-\x{9FFF}])", FINAL, True),
     (_INITIALS, INNER, True),
-    (rf"(?i){_START}([ivxlcdm]+)\.", INNER, True),
+    (rf"(?i)(?=[ivxlcdm]+\.){_START}([ivxlcdm]+)\.", INNER, True),
     (r"()\.(?=[A-Za-z0-9])", INNER, False),
     (r"()\.(?=\s+\p{Ll})", INNER, False),
 ]
@@ -60,9 +62,17 @@ HEADING = r"(?m)^(?=.{1,180}$)([^\S\n]*(?:[0-9]+(?:[." + INNER + r"][0-9]+){0,5}
 def sentences(c: Column | str) -> Column:
     """Normalised sentences of a text in order. One line feed alone does not end a sentence, two do, and a
     numbered heading stands by itself; a null or blank text has none."""
-    s = T.normalize_lines(c)
-    for pattern, mark, keeps in DOTS:
-        s = F.regexp_replace(s, pattern, ("$1" if keeps else "") + mark)
+
+    def marked(s: Column, rules: list) -> Column:
+        for pattern, mark, keeps in rules:
+            s = F.regexp_replace(s, pattern, ("$1" if keeps else "") + mark)
+        return s
+
+    # Few texts have initials; the others are not gone through for them.
+    own = [i for i, rule in enumerate(DOTS) if _INITIALS in rule[0]]
+    before = F.array(marked(T.normalize_lines(c), DOTS[: own[0]]))
+    s = F.transform(before, lambda x: F.when(x.rlike(_LATER_INITIAL), marked(x, DOTS[own[0] : own[-1] + 1])).otherwise(x))[0]
+    s = marked(s, DOTS[own[-1] + 1 :])
     s = F.regexp_replace(s, HEADING, f"{CUT}$1{CUT}")
     closers = "".join("\\" + x for x in CLOSERS)
     s = F.regexp_replace(s, rf"([{ENDINGS}{FINAL}][{ENDINGS}{FINAL}{INNER}]*[{closers}]*)", f"$1{CUT}")

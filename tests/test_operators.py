@@ -9,6 +9,7 @@ from lexibridge.functions import similarity as S
 from lexibridge.operators import alignment, memory, propagation, quality_rules, repetition, reports, terms
 from lexibridge.operators import quality_rules as Q
 from lexibridge.operators.numbers import number_report
+from lexibridge.plans import catalogue
 
 
 def grams(text):
@@ -191,3 +192,13 @@ def test_words_and_numbers_of_a_segment_are_found_once(spark):
     report = number_report(pairs)
     assert [(r.missing, r.extra, r.reordered) for r in report.collect()] == [([], [], True)]
     assert plan(report).count("regexp_extract_all(") == 2
+
+
+def test_words_of_texts_are_cut_and_counted_once(spark, data):
+    """Both uses of the counts of words by file are one shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalogue.queries()["repetition_word_intervals"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Generate explode") == 1 and "ReusedExchange" in plan

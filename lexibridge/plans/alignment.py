@@ -14,8 +14,9 @@ from lexibridge.plans.registry import query
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = V.bilingual(spark, sf_dir).withColumn("pair_id", F.col("conv_id") * 1000 + F.col("turn"))
-    side = lambda name, c: pairs.select("pair_id", F.lit(name).alias("side"), F.posexplode(F.filter(F.split(c, "[\n.]+"), lambda x: F.trim(x) != "")).alias("unit_index", "text"))
-    return side("source", "source_text").unionByName(side("target", "target_text")).withColumn("text", F.trim("text"))
+    # Both sides in one go, so that turns are joined once.
+    side = lambda name, c: F.coalesce(F.transform(F.filter(F.split(c, "[\n.]+"), lambda x: F.trim(x) != ""), lambda x, i: F.struct(F.lit(name).alias("side"), i.alias("unit_index"), F.trim(x).alias("text"))), F.array())
+    return pairs.select("pair_id", F.explode(F.concat(side("source", "source_text"), side("target", "target_text"))).alias("u")).select("pair_id", "u.*")
 
 
 _UNITS_SQL = rf"""{V.BILINGUAL_SQL}, units AS (SELECT pair_id, side, generate_subscripts(t, 1) - 1 AS unit_index, unnest(list_transform(t, lambda x: trim(x))) AS text FROM (

@@ -238,18 +238,19 @@ ALIGNMENT_STATUS = {"missing": "缺译", "added": "增译", "low": "低置信",
 
 def alignment_rows(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """Pairs as rows for review: pair_index, source_indices, target_indices, both texts, confidence, level, method, status."""
-
-    def side(indices: str, name: str, text: str) -> DataFrame:
-        each = pairs.select("pair_id", "pair_order", F.posexplode(indices).alias("place", "unit_index"))
-        held = each.join(units.where(F.col("side") == name).select("pair_id", "unit_index", "text"), ["pair_id", "unit_index"])
-        return held.groupBy("pair_id", "pair_order").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias(text))
-
-    both = pairs.join(side("src", "source", "source_text"), ["pair_id", "pair_order"], "left").join(side("tgt", "target", "target_text"), ["pair_id", "pair_order"], "left")
+    # A pair's own row and the units of both sides in one go, so that the alignment that pairs come from runs once.
+    head = F.struct("src", "tgt", "confidence", "level", "method")
+    none = F.lit(None).cast(pairs.select(head.alias("pair")).schema["pair"].dataType)
+    row = lambda side, place, i, pair: F.struct(side.cast("string").alias("side"), place.cast("int").alias("place"), i.cast("int").alias("unit_index"), pair.alias("pair"))
+    of = lambda side, c: F.coalesce(F.transform(c, lambda i, place: row(F.lit(side), place, i, none)), F.array())
+    each = pairs.select("pair_id", "pair_order", F.explode(F.concat(F.array(row(F.lit(None), F.lit(None), F.lit(None), head)), of("source", "src"), of("target", "tgt"))).alias("u")).select("pair_id", "pair_order", "u.*")
+    held = each.join(units.select("pair_id", "side", "unit_index", "text"), ["pair_id", "side", "unit_index"], "left")
+    text = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("place", "text")))), lambda x: x["text"]), " ").alias(f"{side}_text")
+    both = held.groupBy("pair_id", "pair_order").agg(F.first("pair", ignorenulls=True).alias("pair"), text("source"), text("target")).select("pair_id", "pair_order", "pair.*", "source_text", "target_text")
     kind = F.when(F.size("tgt") == 0, "missing").when(F.size("src") == 0, "added").otherwise(F.col("level"))
     status = F.element_at(F.create_map(*[F.lit(x) for p in ALIGNMENT_STATUS.items() for x in p]), kind)
     comma = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return both.select("pair_id", F.col("pair_order").alias("pair_index"), comma("src").alias("source_indices"), comma("tgt").alias("target_indices"), empty("source_text"), empty("target_text"), "confidence", F.col("level").alias("confidence_level"), "method", status.alias("status"))
+    return both.select("pair_id", F.col("pair_order").alias("pair_index"), comma("src").alias("source_indices"), comma("tgt").alias("target_indices"), "source_text", "target_text", "confidence", F.col("level").alias("confidence_level"), "method", status.alias("status"))
 
 
 def write_workbook(rows: DataFrame, path: str, *columns: str) -> None:

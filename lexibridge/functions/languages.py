@@ -28,6 +28,11 @@ LETTERS = {
 }
 TOKEN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 TOKENS, HINT, BASIC = 300, 3, 0.92
+#: Code points that mostly hold more tokens than are asked for; where they do not, the whole text is cut.
+HEAD = 4_096
+#: The telling letters as a few ranges and more: long sets of single letters are slow to match.
+_CODES = sorted({ord(x) for letters in LETTERS.values() for x in letters})
+TELLING = "".join(rf"\x{{{min(block):X}}}-\x{{{max(block):X}}}" for block in ([c for c in _CODES if c >> 8 == b] for b in sorted({c >> 8 for c in _CODES})))
 
 
 def _one_of(words: list[str]):
@@ -41,16 +46,25 @@ def latin_language(c: Column | str) -> Column:
     Hits: frequent words among the first 300 tokens, three more for a telling letter anywhere.
     """
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    low = F.lower(text)
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    # Only telling letters that a text has at all are looked for language by language.
-    told = F.array_distinct(F.regexp_extract_all(low, F.lit(f"([{''.join(sorted(set(''.join(LETTERS.values()))))}])"), 1))
-    own = F.struct(F.slice(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), 1, TOKENS).alias("tokens"), told.alias("told"), ((letters > 0) & (F.regexp_count(text, F.lit("[A-Za-z]")) >= letters * BASIC)).alias("basic"))
+    tokens = lambda t: F.regexp_extract_all(t, F.lit(f"({TOKEN})"), 1)
+    without = lambda t, pattern: F.regexp_replace(t, pattern, "")
+    # Most of most texts is ASCII: other letters are looked for in what is left without it. Counts are differences of lengths, so that no letter becomes a string.
+    parts = F.struct(text.alias("text"), without(text, r"[\x00-\x7F]+").alias("beyond"), (F.length(text) - F.length(without(text, "[A-Za-z]+"))).alias("plain"), tokens(F.left(text, F.lit(HEAD))).alias("head"))
+
+    def own(s: Column) -> Column:
+        # One token more than asked for: the last one asked for is not cut short.
+        first = F.when((F.size(s["head"]) > TOKENS) | (F.length(s["text"]) <= HEAD), s["head"]).otherwise(tokens(s["text"]))
+        letters = s["plain"] + F.length(without(s["beyond"], r"[^\p{L}]+"))
+        return F.struct(F.slice(first, 1, TOKENS).alias("tokens"), without(F.lower(s["beyond"]), f"[^{TELLING}]+").alias("told"), ((letters > 0) & (s["plain"] >= letters * BASIC)).alias("basic"))
+
+    def words(s: Column) -> Column:
+        frequent = F.filter(F.transform(s["tokens"], lambda t: F.lower(t)), _one_of(sorted({w for ws in STOPWORDS.values() for w in ws})))
+        return F.struct(F.size(s["tokens"]).alias("tokens"), frequent.alias("low"), s["told"].alias("told"), s["basic"].alias("basic"))
 
     def rank(s: Column) -> Column:
-        hits = {k: F.size(F.filter(s["low"], _one_of(ws))) + (F.when(F.exists(s["told"], _one_of(list(LETTERS[k]))), HINT).otherwise(0) if k in LETTERS else F.lit(0)) for k, ws in STOPWORDS.items()}
+        hits = {k: F.size(F.filter(s["low"], _one_of(ws))) + (F.when(s["told"].rlike(f"[{LETTERS[k]}]"), HINT).otherwise(0) if k in LETTERS else F.lit(0)) for k, ws in STOPWORDS.items()}
         ranked = F.array_sort(F.array(*[F.struct((-h).alias("less"), F.lit(i).alias("place"), F.lit(k).alias("language")) for i, (k, h) in enumerate(hits.items())]))
-        return F.struct(F.size(s["low"]).alias("tokens"), s["basic"].alias("basic"), ranked.alias("ranked"))
+        return F.struct(s["tokens"].alias("tokens"), s["basic"].alias("basic"), ranked.alias("ranked"))
 
     def judge(s: Column) -> Column:
         n, best, second = s["tokens"], -s["ranked"][0]["less"], -s["ranked"][1]["less"]
@@ -61,8 +75,10 @@ def latin_language(c: Column | str) -> Column:
         return F.when(n < 4, none).when((best <= 0) & (n >= 8) & s["basic"], out(F.lit("en-US"), best, F.lit(0.52))).when((best <= 0) | ((best < 2) & (n > 12)), none).otherwise(out(language, best, F.round(F.least(F.lit(0.93), sure), 2)))
 
     # Arrays of one element, so that every step is worked out once.
-    lowered = F.transform(F.array(own), lambda s: F.struct(F.transform(s["tokens"], lambda t: F.lower(t)).alias("low"), s["told"].alias("told"), s["basic"].alias("basic")))
-    return F.transform(F.transform(lowered, rank), judge)[0]
+    made = F.array(parts)
+    for step in (own, words, rank, judge):
+        made = F.transform(made, step)
+    return made[0]
 
 
 #: Code points of a file that its language is told from.

@@ -57,6 +57,26 @@ def test_languages_of_latin_texts(spark):
     assert got[0].confidence == 0.93
 
 
+def test_languages_of_long_texts_and_passes_over_them(spark):
+    """No letter of a text becomes a string of its own, and a text that is cut short has the tokens of the whole one."""
+    from lexibridge.functions import languages
+
+    n = languages.HEAD
+    cases = [
+        ("9" * n + " und der die das", 4, "de-DE", 4),
+        ("9" * (n - 2) + "eine die der und", 4, "de-DE", 4),
+        ("the " * 300 + "9" * n + " und" * 50, 300, "en-US", 300),
+        ("a " * 299 + "9" * (n - 599) + "dans" + " le" * 40, 300, "en-US", 299),
+        ("z" * n + " zz zz zz" + "ế", 4, "vi-VN", 3),
+        ("软" * n + "İ K zz zz zz zz zz", 6, None, 0),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", languages.latin_language("t").alias("l"))
+    got = {r.i: r.l for r in df.collect()}
+    assert [(got[i].tokens, got[i].language, got[i].score) for i in range(len(cases))] == [c[1:] for c in cases]
+    # Tokens alone are taken out one by one, of a text's head and of the whole text.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+
+
 def test_difference_markup_and_comparable_text(spark):
     from lexibridge.functions import similarity
 

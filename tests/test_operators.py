@@ -202,3 +202,87 @@ def test_words_of_texts_are_cut_and_counted_once(spark, data):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("Generate explode") == 1 and "ReusedExchange" in plan
+
+
+def fuzzy_brute_force(queries, entries, threshold, results, floor=0.0):
+    """Every query against every entry of its length band: score, rank as `fuzzy_matches` has them, without any recall before."""
+    want = set()
+    for q, t in queries:
+        a, scored = grams(t), []
+        for e, s in entries:
+            b, n = grams(s), len(t)
+            if max(1, int(0.4 * n) - 4) <= len(s) <= max(n + 12, int(2.2 * n) + 12):
+                likeness = len(a & b) / len(a | b)
+                score = max(likeness, SequenceMatcher(None, t, s).ratio())
+                if (score := round(score if t == s else min(score, 0.99), 4)) >= threshold and likeness >= floor:
+                    scored.append((-score, e))
+        want |= {(q, e, -score, k + 1) for k, (score, e) in enumerate(sorted(scored)[:results])}
+    return want
+
+
+def test_fuzzy_matches_are_not_cut_by_rank_or_trigrams(spark):
+    """More than three entries of a query count, the best by ratio is found whatever its rank by trigrams, and one that shares few trigrams is found too."""
+    near = [(i, f"the quick brown fox jumps over the lazy dog {w}") for i, w in enumerate("one two six ten four five nine".split())]
+    entries = [*near, (20, "dog the quick brown fox jumps over the lazy"), (30, "XbcdeXghijXlmnoXqrst"), (40, "the quick brown fox jumps over the lazy dog six")]
+    queries = [("many", "the quick brown fox jumps over the lazy dog six"), ("apart", "abcdefghijklmnopqrst"), ("none", "wholly other words of some length")]
+    got = memory.fuzzy_matches(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(entries, "entry_id long, source_text string"))
+    got = {(r.query_id, r.entry_id, r.score, r["rank"]) for r in got.collect()}
+    assert got == fuzzy_brute_force(queries, entries, 0.8, 5)
+    assert len([r for r in got if r[0] == "many"]) == 5 and ("apart", 30, 0.8, 1) in got
+
+
+@pytest.mark.parametrize("threshold,results,block,floor", [(0.8, 5, 4096, 0.0), (0.6, 2, 30, 0.0), (0.5, 50, 4096, 0.0), (0.5, 1, 4096, 0.3)])
+def test_fuzzy_matches_equal_brute_force(spark, data, monkeypatch, threshold, results, block, floor):
+    """Of texts of all lengths, in one block and in many, with copies of entries beyond the number of results."""
+    monkeypatch.setattr(memory, "ENTRY_BLOCK", block)
+    bench = [r[0] for r in spark.read.parquet(f"{data}/benchmark.parquet").select("text").collect()]
+    texts = [" ".join(s.split()) for t in bench for s in t.replace("\n", ".").replace(",", "").split(".") if s.strip()][:110]
+    texts += [" ".join(texts[i : i + 9]) for i in range(0, 60, 9)]
+    entries = list(enumerate(texts + texts[:9] * 3))
+    damaged = [t[: len(t) // 3] + t[len(t) // 3 + 2 :] for t in texts] + [t.upper() for t in texts[::3]] + [t.replace("e", "a") for t in texts[::2]]
+    queries = [(f"q{i}", t) for i, t in enumerate(" ".join(t.split()) for t in texts[::2] + damaged) if len(t) > 4]
+    got = memory.fuzzy_matches(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(entries, "entry_id long, source_text string"), threshold, results, floor=floor)
+    assert {(r.query_id, r.entry_id, r.score, r["rank"]) for r in got.collect()} == fuzzy_brute_force(queries, entries, threshold, results, floor)
+
+
+def test_floor_leaves_out_what_shares_few_trigrams(spark):
+    q = spark.createDataFrame([(1, "abcdefghijklmnopqrst"), (2, "the quick brown fox")], "query_id int, text string")
+    e = spark.createDataFrame([(1, "XbcdeXghijXlmnoXqrst"), (2, "the quick brown cat")], "entry_id int, source_text string")
+    assert {(r.query_id, r.entry_id) for r in memory.fuzzy_matches(q, e, 0.5).collect()} == {(1, 1), (2, 2)}
+    assert {(r.query_id, r.entry_id) for r in memory.fuzzy_matches(q, e, 0.5, floor=0.3).collect()} == {(2, 2)}
+
+
+def test_bounds_of_common_subsequences():
+    """Bit-parallel lengths of one word and of many equal the table method; pairs that fall short of the need stay below it."""
+    import random
+
+    import numpy as np
+
+    from lexibridge.functions import sequences
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *step(row, x, b)]
+        return row[-1]
+
+    def step(row, x, b):
+        left, out = 0, []
+        for j, y in enumerate(b):
+            left = row[j] + 1 if x == y else max(left, row[j + 1])
+            out.append(left)
+        return out
+
+    random.seed(3)
+    a = ["".join(random.choices("abcdeé€", k=random.choice([1, 5, 63, 64, 65, 127, 128, 129, 300, 330]))) for _ in range(14)]
+    b = ["".join(random.choices("abcdeé€", k=random.choice([1, 7, 64, 100, 129, 290]))) for _ in range(14)]
+    row, entry = (x.ravel() for x in np.indices((14, 14)))
+    want = np.array([longest(a[i], b[j]) for i, j in zip(row, entry)])
+    x, y = sequences.Signs(a), sequences.Signs(b)
+    assert (sequences.common_lengths(x, y, row, entry, np.zeros(len(row))) == want).all()
+    need = np.array([random.choice([w, w + 1, w * 1.3]) for w in want])
+    got = sequences.common_lengths(x, y, row, entry, need)
+    assert ((got == want) | ((want <= got) & (got < need))).all()
+    # Signs of one kind count as one: never less than the true length.
+    c = [t.replace("a", chr(ord("a") + 64)) for t in a]
+    assert (sequences.common_lengths(sequences.Signs(c), y, row, entry, np.zeros(len(row))) >= [longest(c[i], b[j]) for i, j in zip(row, entry)]).all()

@@ -7,6 +7,7 @@ import pytest
 
 from lexibridge.operators import boxes as B
 from lexibridge.operators import graphs as G
+from lexibridge.plans import boxes as plans
 
 BOX = "page long, layer string, box_id long, text string, x double, y double, width double, height double, rotation double, style string"
 LINE = "page long, axis string, place double, low double, high double"
@@ -154,3 +155,23 @@ def test_boxes_move_once_and_marks_equal_blocked(spark):
     pairs.collect()
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_breaks_found_once_equal_starts_new():
+    texts = [t.strip() for t in TEXTS + ["a、", "b：", "c；", "、x", "《y", "2) z", "A. b", "1. a label of more than twelve signs:", "1.", "x:", "》", "3、"]]
+    assert all(B._starts_new(B._breaks(a), B._breaks(b)) == B.starts_new(a, b) for a in texts for b in texts)
+
+
+def test_pages_are_joined_once_and_over_many_batches(spark):
+    """The plan of box_sentences holds one look at the pages, and pages that several batches hold come out as those of one batch."""
+    plan = plans.box_sentences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapGroupsInPandas") == 1
+    rows, lines = made(11, 60, pages=5, spread=100.0)
+    laid, lines = spark.createDataFrame(rows, BOX), spark.createDataFrame(lines, LINE)
+    pairs = G.cut(B.scored_pairs(laid))
+    whole = sorted(tuple(r) for r in B.clusters(laid, pairs, lines).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(tuple(r) for r in B.clusters(laid, pairs, lines).collect()) == whole and len(whole) == 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

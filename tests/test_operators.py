@@ -1,10 +1,14 @@
 """Operators against hand-made cases and brute force."""
 
+import random
+import re
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexibridge.functions import sequences
 from lexibridge.functions import similarity as S
 from lexibridge.operators import alignment, memory, propagation, quality_rules, repetition, reports, terms
 from lexibridge.operators import quality_rules as Q
@@ -286,3 +290,28 @@ def test_bounds_of_common_subsequences():
     # Signs of one kind count as one: never less than the true length.
     c = [t.replace("a", chr(ord("a") + 64)) for t in a]
     assert (sequences.common_lengths(sequences.Signs(c), y, row, entry, np.zeros(len(row))) >= [longest(c[i], b[j]) for i, j in zip(row, entry)]).all()
+
+
+def test_chunks_are_dealt_out_evenly(spark):
+    """Every partition meets one chunk of the queries, so none waits for several."""
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    entries = spark.range(5).select(F.col("id").alias("entry_id"), F.concat(F.lit("some words "), "id").alias("source_text"))
+    placed = memory._met(queries, entries).select("chunk", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(placed) == len({r.part for r in placed}) == len({r.chunk for r in placed}) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_first_bounds_lose_no_pair(monkeypatch):
+    """Few facts, many rests: pairs that reach the score by trigrams or ratio pass, not all pairs of like lengths do."""
+    monkeypatch.setattr(memory, "FACTS", 20)
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefg hij klm") for _ in range(r.randrange(12, 70))).strip() or "a" for _ in range(60)]
+    changed = ["".join(r.choice("xyz") if r.random() < 0.06 else c for c in t) for t in texts]
+    grams = lambda t: sorted({hash(g) for w in re.findall(r"\w+", t) for g in (f"  {w} "[i : i + 3] for i in range(len(w) + 1))})
+    batch = lambda ts: pa.record_batch({"entry_id": pa.array(range(len(ts)), pa.int64()), "text": ts, "grams": pa.array([grams(t) for t in ts], pa.list_(pa.int64())), "length": pa.array([len(t) for t in ts], pa.int64()), "low": pa.array([0] * len(ts), pa.int64()), "high": pa.array([10**6] * len(ts), pa.int64())})
+    block, rows = memory._Texts([batch(texts)], 5), batch(changed)
+    row, entry, _ = block.pairs(rows, sequences.Signs(changed).counts(), 0.8, 0.0)
+    got = {(i, block.texts[j]) for i, j in zip(row.tolist(), entry.tolist(), strict=True)}
+    like = lambda a, b: len(set(grams(a)) & set(grams(b))) / len(set(grams(a)) | set(grams(b)))
+    want = {(i, t) for i, c in enumerate(changed) for t in set(texts) if like(c, t) >= 0.8 or SequenceMatcher(None, c, t).ratio() >= 0.8}
+    near = sum(2 * min(len(c), len(t)) >= 0.8 * (len(c) + len(t)) for c in changed for t in set(texts))
+    assert len(want) > 30 and want <= got and len(got) < near

@@ -315,3 +315,14 @@ def test_first_bounds_lose_no_pair(monkeypatch):
     want = {(i, t) for i, c in enumerate(changed) for t in set(texts) if like(c, t) >= 0.8 or SequenceMatcher(None, c, t).ratio() >= 0.8}
     near = sum(2 * min(len(c), len(t)) >= 0.8 * (len(c) + len(t)) for c in changed for t in set(texts))
     assert len(want) > 30 and want <= got and len(got) < near
+
+
+def test_ratio_ends_early_below_what_counts():
+    r = random.Random(3)
+    for n in range(400):
+        a = "".join(r.choice("abcde fgh"[: r.choice((2, 4, 9))]) for _ in range(r.choice((0, 3, 20, 60, 260))))
+        b = "".join(r.choice("xyz ab") if r.random() < 0.1 else c for c in a) if n % 2 else "".join(r.choice("abc de") for _ in range(r.choice((0, 5, 30, 250))))
+        whole = SequenceMatcher(None, a, b).ratio()
+        for least in (0.0, 0.5, 0.8, whole):
+            got = sequences.ratio_from(a, b, least)
+            assert got == whole if whole >= least else got < least
